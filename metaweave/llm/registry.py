@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from metaweave.llm import decontamination, mixing, sharding, token_counts, toxicity
+from metaweave.llm import decontamination, mixing, nearest, sharding, token_counts, token_shards, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_sharding": sharding.query,
+    "op3_token_shards": token_shards.query,
     "op4_toxicity": toxicity.query,
     "op5_mixing": mixing.query,
+    "op6_warc": warc.query,
     "op8_token_counts": token_counts.query,
+    "op10_nearest": nearest.query,
 }
 SQL = {
     "op1_decontamination": decontamination.SQL,
+    "op6_warc": warc.SQL,
 }
