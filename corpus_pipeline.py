@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaweave.llm import common, decontamination, mixing, sharding, toxicity
+from metaweave.llm import common, decontamination, mixing, near_dedup, sharding, toxicity
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.remove(docs, toxicity.train(docs, common.read_table(spark, sf_dir, "labels")))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one document stays."""
+    return near_dedup.deduplicate(docs)
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more are benchmark windows go."""
     return decontamination.remove(docs, common.read_table(spark, sf_dir, "benchmark"))
@@ -31,7 +36,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.assign(docs)
 
 
-STAGES = [("toxicity", toxic), ("decontamination", contaminated), ("mixing", mix), ("sharding", shard)]
+STAGES = [("toxicity", toxic), ("near_dedup", near_copies), ("decontamination", contaminated), ("mixing", mix), ("sharding", shard)]
 
 #: Toxicity, near duplicates and mixing can't be expressed in SQL.
 ORACLE_SQL = None

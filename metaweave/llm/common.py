@@ -13,6 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,12 +67,13 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` bytes together, one text at least."""
+def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES, texts: int = 60_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes together, one text at least and `texts` at most."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
-        yield first, min(last, n)
+        last = min(last, n, first + texts)
+        yield first, last
         first = last
 
 
@@ -147,3 +151,43 @@ def hash_grams(words: np.ndarray, n: int) -> np.ndarray:
 def owners(bounds: np.ndarray) -> np.ndarray:
     """For items counted by bounds (n + 1 entries), which of the n ranges each is in."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+class Sides:
+    """Rows that belong to the partitions of a table which is scanned several times.
+
+    A scan of files has the same partitions with the same rows each time, so a row is known by
+    its partition and its place there. What the operator finds out about rows between two scans is written to the shared
+    folder, a folder a partition, and the task that scans the partition again reads its own
+    folder: texts are never shuffled. `check` compares the rows of each scan with those of the first, so a table whose
+    partitions changed meanwhile raises an error rather than giving wrong results.
+    """
+
+    ROW_BITS = 40  # row = partition << ROW_BITS | place
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.address = shared_dir(spark, name)
+
+    def write(self, rows: DataFrame, tasks: int) -> None:
+        """Rows with a column `part`, and others."""
+        rows.repartition(tasks, "part").sortWithinPartitions("part").write.partitionBy("part").parquet(self.address)
+
+    def read(self, part: int, columns: list[str]) -> list[np.ndarray] | None:
+        """The columns of a partition's rows; None if it has none."""
+        fs, path = pafs.FileSystem.from_uri(f"{self.address}/part={part}")
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return None
+        table = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=columns)
+        return [table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in columns]
+
+
+def partition_id() -> int:
+    return TaskContext.get().partitionId()
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """docs if it is a plain scan of files, whose partitions are the same each time it runs; else a written copy."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    if docs.inputFiles() and not any(x in plan for x in ("Exchange", "Join", "Python", "InArrow", "InPandas", "Aggregate", "Sort", "Union")):
+        return docs
+    return written(docs, "stable")
