@@ -1,20 +1,18 @@
 """Training-order materialisation: token sequences at keyed-permuted global slots, in fixed-stride binary shards.
 
-Every text is encoded with a byte-level BPE, its ids (uint16, an end-of-text id after each text) are cut into sequences of
-`SEQ_LEN` ids, the last one padded with `PAD`. The N sequences of the corpus are numbered; a keyed
-Feistel permutation with cycle-walking on 0..N-1 gives each its global slot, and slot ranges of
-`PER_SHARD` sequences make the shards. A shard is one file of consecutive records of the same
-length, so the record of slot s is at byte (s mod PER_SHARD) * stride of file s div PER_SHARD: reading is sequential, and
-resuming needs only the next slot.
-
-Numbering without a global sort: documents are counted per hash bucket, buckets get consecutive
-ranges, and within a bucket documents are numbered by (hash, doc_id). Texts are encoded twice
-(counting, writing) rather than stored in between, which costs CPU but keeps disk at one shuffle of the ids. Each shard is
+Every text is encoded with a byte-level BPE and followed by an end-of-text id; the ids (uint16) of a scan partition's
+texts, one after the other, are cut into sequences of `SEQ_LEN`, the partition's last one padded with
+`PAD`. The N sequences of the corpus are numbered by partition and place; a keyed Feistel permutation with
+cycle-walking on 0..N-1 gives each its global slot, and slot ranges of `PER_SHARD` sequences make
+the shards. A shard is one file of records of the same length: the record of slot s is at byte
+(s mod PER_SHARD) * stride of file s div PER_SHARD. Reading is sequential, and resuming needs only the next slot.
+
+Texts are encoded once and never shuffled; sequences go to the shared folder and through one shuffle, compressed by byte planes. Each shard is
 written under a temporary name and renamed, so repeated tasks are harmless; a task holds one shard's
-records at a time (PER_SHARD * stride bytes, 8 MB).
+records at a time (PER_SHARD * stride bytes, 8 MB). The driver collects a count per scan partition.
 
-Defined cases: a null or empty text has no sequences; ties in hash and doc_id go by the text's CRC, rows that agree in all are
-interchangeable copies; an empty table gives no shards and no rows. Extra columns are not read.
+Defined cases: a null or empty text gives no ids; repeated rows are each encoded; an empty table gives no shards
+and no rows. Sequences hold ids of several documents; first_doc names the one that a sequence begins in. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +20,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metaweave.llm import common as C
@@ -36,9 +33,9 @@ from metaweave.llm.warc import Store
 
 SEQ_LEN = 2048
 PER_SHARD = 2048
+MAX_TASKS = 20_000
 EOT = 50256
 PAD = 65535
-BUCKETS = 512
 KEY = 0x5EED_0F_0DE5
 
 _encoders: dict = {}
@@ -61,93 +58,97 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def sequences(ids: list[int], seq_len: int = SEQ_LEN) -> Iterator[np.ndarray]:
-    """The ids and an end-of-text id in sequences of one length, padded at the end."""
-    full = np.full(-(-(len(ids) + 1) // seq_len) * seq_len, PAD, np.uint16)
-    full[: len(ids)] = ids
-    full[len(ids)] = EOT
-    yield from full.reshape(-1, seq_len)
+def packed(ids: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(ids.view(np.uint8).reshape(-1, 2).T.tobytes())
 
 
-def materialise(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY, ranks: str | None = None) -> DataFrame:
-    """Write the shards below folder; returns a row for each sequence: slot, shard, byte_offset, doc_id, part (of its text), n_tokens, sha256 (of the record)."""
-    spark = docs.sparkSession
-    ids = docs.select("doc_id", "text", F.coalesce(F.crc32("text"), F.lit(0)).alias("crc"))
-    ids = ids.select("doc_id", "text", F.xxhash64("doc_id", "crc").alias("h"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, -1).T.copy().view(np.uint16).ravel()
+
+
+def encode(docs: DataFrame, seq_len: int = SEQ_LEN, ranks: str | None = None) -> DataFrame:
+    """The sequences: part (scan partition), place, first_doc, n_tokens and ids (packed), written to the shared folder."""
+    kept = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+    def run(batches):
+        enc, part, place = encoder(ranks or default_ranks()), C.partition_id(), 0
+        rest, starts, owners = np.zeros(0, np.uint16), [], []  # ids not yet given out; where texts start in them
+
+        def table(last: bool):
+            nonlocal rest, starts, owners, place
+            n = -(-len(rest) // seq_len) if last else len(rest) // seq_len
+            at = np.searchsorted(np.array(starts, np.int64), np.arange(n) * seq_len, "right") - 1 if n else []
+            ids = [rest[i * seq_len : (i + 1) * seq_len] for i in range(n)]
+            rows = [[part] * n, list(range(place, place + n)), [owners[k] for k in at], [len(x) for x in ids], [packed(x) for x in ids]]
+            place += n
+            cut = n * seq_len
+            rest = rest[cut:]
+            keep = max(0, int(np.searchsorted(np.array(starts, np.int64), cut, "right")) - 1) if starts else 0
+            starts, owners = [max(0, s - cut) for s in starts[keep:]], owners[keep:]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()))], names=["part", "place", "first_doc", "n_tokens", "ids"])
 
-    def count(batches):
-        enc = encoder(ranks or default_ranks())
-        for batch in batches:
-            n = [-(-(len(enc.encode_ordinary(t)) + 1) // seq_len) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["doc_id", "h", "n"])
-
-    counted = C.written(ids.mapInArrow(count, f"doc_id {kind}, h long, n long").where("n > 0").withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")), "token-counts")
-    per_bucket = {r.bucket: r.n for r in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # BUCKETS rows at most
-    firsts, total = [], 0
-    for b in sorted(per_bucket):
-        firsts.append((b, total))
-        total += per_bucket[b]
-    first = spark.createDataFrame(firsts, "bucket int, base long")
-    order = W.partitionBy("bucket").orderBy("h", "doc_id")
-    numbered = counted.withColumn("first", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).join(F.broadcast(first), "bucket").select("doc_id", "h", "n", (F.col("base") + F.col("first")).alias("first"))
-    # copies that agree in doc_id and text: all their numbers, each row of the text writes every one, and shards keep one record a slot
-    numbered = numbered.groupBy("doc_id", "h").agg(F.collect_list("first").alias("firsts"))
-    joined = ids.where(F.length("text") > 0).join(numbered, ids.doc_id.eqNullSafe(numbered.doc_id) & (ids.h == numbered.h)).select(ids.doc_id, "text", "firsts")
-
-    def emit(batches):
-        enc = encoder(ranks or default_ranks())
-        perm = Permutation(total, key)
         for batch in batches:
-            rows: list[tuple] = []
-            size = 0
-            for doc, text, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                parts = list(sequences(enc.encode_ordinary(text), seq_len))
-                for start in sorted(starts):
-                    slots = perm.rank(np.arange(start, start + len(parts)))
-                    for i, (slot, part) in enumerate(zip(slots.tolist(), parts)):
-                        real = seq_len - int((part == PAD).sum())
-                        rows.append((slot // per_shard, slot, doc, i, real, part[:real].tobytes()))
-                        size += 2 * real
+            new, size = [rest], len(rest)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text:
+                    ids = enc.encode_ordinary(text)
+                    ids.append(EOT)
+                    starts.append(size)
+                    owners.append(doc)
+                    new.append(np.array(ids, np.uint16))
+                    size += len(ids)
                 if size > 4 << 20:
-                    yield table(rows)
-                    rows, size = [], 0
-            yield table(rows)
+                    rest = np.concatenate(new)
+                    yield table(False)
+                    new, size = [rest], len(rest)
+            rest = np.concatenate(new)
+            yield table(False)
+        yield table(True)
 
-    doc_type = pa.int64() if kind == "bigint" else None
+    return C.written(kept.mapInArrow(run, "part long, place long, first_doc string, n_tokens long, ids binary"), "token-sequences")
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), doc_type, pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=["shard", "slot", "doc_id", "part", "n_tokens", "ids"])
 
+def materialise(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY, ranks: str | None = None) -> DataFrame:
+    """Write the shards below folder; returns a row for each sequence: slot, shard, byte_offset, part, place, first_doc, n_tokens, sha256 (of the record)."""
+    spark = docs.sparkSession
+    encoded = encode(docs, seq_len, ranks)
+    bases, total = [], 0
+    for r in sorted(encoded.groupBy("part").count().collect()):
+        bases.append((r.part, total))
+        total += r["count"]
+    base = spark.createDataFrame(bases, "part long, base long")
     shards = -(-total // per_shard)
-    dealt = joined.mapInArrow(emit, f"shard long, slot long, doc_id {kind}, part long, n_tokens long, ids binary").repartition(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
 
-    def store(batches):
-        at, records, last = None, [], None
-        out = Store(folder)
+    def place(batches):
+        perm = Permutation(total, key)
+        for batch in batches:
+            slots = perm.rank(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), *batch.columns[1:]], names=["shard", "slot", *batch.schema.names[1:]])
 
-        def put():
-            if records:
-                out.put(f"shard-{at:08d}.bin", b"".join(records))
+    numbered = encoded.join(F.broadcast(base), "part").select((F.col("base") + F.col("place")).alias("number"), "part", "place", "first_doc", "n_tokens", "ids")
+    dealt = numbered.mapInArrow(place, "shard long, slot long, part long, place long, first_doc string, n_tokens long, ids binary")
+    dealt = dealt.repartition(max(1, min(shards, MAX_TASKS)), "shard").sortWithinPartitions("shard", "slot")
+    names = ["slot", "shard", "byte_offset", "part", "place", "first_doc", "n_tokens", "sha256"]
+    kinds = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.string()]
 
+    def store(batches):
+        out, at, records = Store(folder), None, []
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                if r["slot"] == last:  # a copy wrote the same record
-                    continue
-                last = r["slot"]
                 if r["shard"] != at:
-                    put()
+                    if records:
+                        out.put(f"shard-{at:08d}.bin", b"".join(records))
                     at, records = r["shard"], []
-                record = r["ids"] + b"\xff" * (2 * seq_len - len(r["ids"]))
+                record = unpacked(r["ids"]).tobytes().ljust(2 * seq_len, b"\xff")
                 records.append(record)
-                rows.append((r["slot"], r["shard"], r["slot"] % per_shard * 2 * seq_len, r["doc_id"], r["part"], r["n_tokens"], hashlib.sha256(record).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), doc_type, pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], names=["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "sha256"])
-        put()
+                rows.append((r["slot"], at, r["slot"] % per_shard * 2 * seq_len, r["part"], r["place"], r["first_doc"], r["n_tokens"], hashlib.sha256(record).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [[]] * len(kinds), kinds)], names=names)
+        if records:
+            out.put(f"shard-{at:08d}.bin", b"".join(records))
 
-    return C.written(dealt.mapInArrow(store, f"slot long, shard long, byte_offset long, doc_id {kind}, part long, n_tokens long, sha256 string"), "token-shards")
+    rows = C.written(dealt.mapInArrow(store, "slot long, shard long, byte_offset long, part long, place long, first_doc string, n_tokens long, sha256 string"), "token-shards")
+    return rows.withColumn("first_doc", F.col("first_doc").cast(docs.schema["doc_id"].dataType))
 
 
 def read_slots(folder: str, slot: int, n: int, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD) -> np.ndarray:
