@@ -23,7 +23,9 @@ U64 = np.uint64
 #: Bytes that separate words when words are runs of `[^\x20\x09-\x0D]`.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Texts are worked on in chunks of about this many bytes (a longer text is a chunk of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Kernels are given batches of about this many bytes.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -47,6 +49,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of at most BATCH_BYTES, so that a worker's memory doesn't grow with the number of rows it is given at once."""
+
+    def sliced(batches):
+        def pieces():
+            for batch in batches:
+                step = max(1, int(len(batch) * BATCH_BYTES / max(1, batch.nbytes)))
+                for i in range(0, len(batch), step):
+                    yield batch.slice(i, step)
+        return run(pieces())
+
+    return df.mapInArrow(sliced, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

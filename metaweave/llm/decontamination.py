@@ -181,7 +181,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int
             )
 
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<from:long,to:long>>, contaminated boolean")
+    return C.mapped(kept, run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<from:long,to:long>>, contaminated boolean")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -202,7 +202,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: in
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.mapped(docs, run, docs.schema)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:

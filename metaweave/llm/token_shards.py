@@ -7,7 +7,7 @@ cycle-walking on 0..N-1 gives each its global slot, and slot ranges of `PER_SHAR
 the shards. A shard is one file of records of the same length: the record of slot s is at byte
 (s mod PER_SHARD) * stride of file s div PER_SHARD. Reading is sequential, and resuming needs only the next slot.
 
-Texts are encoded once and never shuffled; sequences go to the shared folder and through one shuffle, compressed by byte planes. Each shard is
+Texts are encoded once and never shuffled; sequences go to the shared folder and through one shuffle, compressed. Each shard is
 written under a temporary name and renamed, so repeated tasks are harmless; a task holds one shard's
 records at a time (PER_SHARD * stride bytes, 8 MB). The driver collects a count per scan partition.
 
@@ -59,11 +59,11 @@ def encoder(path: str):
 
 
 def packed(ids: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(ids.view(np.uint8).reshape(-1, 2).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(ids.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, -1).T.copy().view(np.uint16).ravel()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint16)
 
 
 def encode(docs: DataFrame, seq_len: int = SEQ_LEN, ranks: str | None = None) -> DataFrame:
