@@ -17,6 +17,7 @@ in order by doc_id, CRC and size; of rows that agree in all three, either may co
 
 from __future__ import annotations
 
+import heapq
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,31 +55,48 @@ class SlotMap:
         self.at = at
 
     def rebalance(self) -> None:
-        """A new version with loads as equal as the slots allow; a slot stays unless its shard is too heavy."""
-        target = sum(self.sizes.values()) / self.shards
+        """A new version with loads as equal as the slots allow; a slot stays unless its shard is too heavy.
+
+        A key heavier than an even share has a shard to itself, and the others share the rest evenly.
+        """
+        order = sorted(self.at, key=lambda k: (-self.sizes[k], k))
+        total, giants = sum(self.sizes.values()), 0
+        while giants < min(len(order), self.shards - 1) and self.sizes[order[giants]] * (self.shards - giants) > total:
+            total -= self.sizes[order[giants]]
+            giants += 1
+        target = total / (self.shards - giants)
+        loads, at, alone = [0] * self.shards, {}, set()
+        for k in order[:giants]:
+            free = [s for s in range(self.shards) if s not in alone]
+            at[k] = self.at[k] if self.at[k] in free else free[0]
+            alone.add(at[k])
+        open_shards = [s for s in range(self.shards) if s not in alone]
+        pool = []
+        for k in order[giants:]:
+            s = self.at[k]
+            if s not in alone and loads[s] + self.sizes[k] <= target:
+                loads[s] += self.sizes[k]
+                at[k] = s
+            else:
+                pool.append(k)
+        heap = [(loads[s], s) for s in open_shards]
+        heapq.heapify(heap)
+        for k in pool:
+            load, s = heapq.heappop(heap)
+            at[k] = s
+            loads[s] = load + self.sizes[k]
+            heapq.heappush(heap, (loads[s], s))
         by: list[list] = [[] for _ in range(self.shards)]
-        for k, s in self.at.items():
-            by[s].append(k)
-        loads, pool = [0] * self.shards, []
-        for s, keys in enumerate(by):
-            kept = []
-            for k in sorted(keys, key=lambda k: (-self.sizes[k], k)):
-                if loads[s] + self.sizes[k] <= target:
-                    loads[s] += self.sizes[k]
-                    kept.append(k)
-                else:
-                    pool.append(k)
-            by[s] = kept
-        for k in sorted(pool, key=lambda k: (-self.sizes[k], k)):
-            s = min(range(self.shards), key=lambda s: (loads[s], s))
+        for k, s in at.items():
             by[s].append(k)
-            loads[s] += self.sizes[k]
         for _ in range(50 * self.shards):
-            high = max(range(self.shards), key=lambda s: (loads[s], -s))
-            low = min(range(self.shards), key=lambda s: (loads[s], s))
-            gap = loads[high] - loads[low]
-            fit = max((k for k in by[high] if 0 < self.sizes[k] < gap), key=lambda k: (-abs(gap - 2 * self.sizes[k]), k), default=None)
-            if fit is None:
+            low = min(open_shards, key=lambda s: (loads[s], s))
+            for high in sorted(open_shards, key=lambda s: (-loads[s], s)):
+                gap = loads[high] - loads[low]
+                fit = max((k for k in by[high] if 0 < self.sizes[k] < gap), key=lambda k: (-abs(gap - 2 * self.sizes[k]), k), default=None)
+                if fit is not None:
+                    break
+            else:
                 break
             by[high].remove(fit)
             by[low].append(fit)
