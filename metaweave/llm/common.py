@@ -6,6 +6,7 @@ hashed by prefix sums, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -49,6 +50,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: memory is kept for the next task, as without this
+
+
+def trimmed(run):
+    """run, after which the worker gives its freed memory back: workers live on idle beside later stages, which need the room."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow with batches of at most BATCH_BYTES, so that a worker's memory doesn't grow with the number of rows it is given at once."""
 
@@ -60,7 +81,7 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
                     yield batch.slice(i, step)
         return run(pieces())
 
-    return df.mapInArrow(sliced, schema)
+    return df.mapInArrow(trimmed(sliced), schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

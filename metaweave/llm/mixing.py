@@ -189,7 +189,7 @@ def digest(docs: DataFrame) -> DataFrame:
                 total[rows], target[rows] = plan.value.sizes[s], plan.value.targets[s]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).field("size"), pa.array(total), pa.array(target), pa.array(taken)], names=["doc_id", "size", "source_size", "target", "taken"])
 
-    return placed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, source_size long, target double, taken long")
+    return placed.mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, source_size long, target double, taken long")
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def manifest(docs: DataFrame) -> DataFrame:
             for _, rows, (doc, nth, lo, hi, shard, place) in _by_source(plan.value, batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[doc])), *(pa.array(x.astype(np.int64)) for x in (nth, lo, hi, shard, place))], names=["doc_id", "pass", "from", "to", "shard", "place"])
 
-    return placed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pass long, `from` long, `to` long, shard long, place long")
+    return placed.mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pass long, `from` long, `to` long, shard long, place long")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def mixed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
 
     docs_columns = docs.columns
-    return placed.mapInArrow(run, docs.schema)
+    return placed.mapInArrow(C.trimmed(run), docs.schema)
 
 
 def _slices(text: str, spans: list[list[int]]) -> str:

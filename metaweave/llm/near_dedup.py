@@ -139,7 +139,7 @@ def _scan(docs: DataFrame, bands: int, rows: int, weights: str) -> DataFrame:
             )
             row += m
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, k1 long, k2 long, n long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"row long, doc_id {kind}, k1 long, k2 long, n long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: C.Sides) -> DataFrame:
@@ -163,7 +163,7 @@ def _sets(docs: DataFrame, wanted: C.Sides) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
             row += len(batch)
 
-    return docs.select("text").mapInArrow(run, "node long, set binary")
+    return docs.select("text").mapInArrow(C.trimmed(run), "node long, set binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -185,7 +185,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(C.trimmed(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             row += len(batch)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.trimmed(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

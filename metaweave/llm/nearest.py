@@ -140,7 +140,7 @@ def search(vectors: DataFrame, is_query: Column | None = None, top: int = 5, rer
                 codes, norms = encode(unit(matrix(part.column(1))), books.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(np.maximum(norms, 1e-12)).astype(np.float32))], names=["vec_id", "codes", "norm"])
 
-    index = C.written(rows.mapInArrow(code, "vec_id long, codes binary, norm float"), "aq-index")
+    index = C.written(rows.mapInArrow(C.trimmed(code), "vec_id long, codes binary, norm float"), "aq-index")
     queries = rows.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "embedding")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
@@ -173,7 +173,7 @@ def search(vectors: DataFrame, is_query: Column | None = None, top: int = 5, rer
             keep = [i for i in range(len(own)) if best[i]]
             yield pa.RecordBatch.from_arrays([pa.array(own[keep].astype(np.int64)), pa.array([best[i][0] for i in keep], pa.binary())], names=names)
 
-        tops = index.mapInArrow(scan, "query_id long, best binary")
+        tops = index.mapInArrow(C.trimmed(scan), "query_id long, best binary")
         found = tops if found is None else found.unionByName(tops)
 
     def merge(batches):
@@ -181,7 +181,7 @@ def search(vectors: DataFrame, is_query: Column | None = None, top: int = 5, rer
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged(x, rerank) for x in batch.column(1).to_pylist()], pa.binary())], names=["query_id", "best"])
 
     for key in (F.pmod(F.spark_partition_id(), F.lit(MERGE)), F.lit(0)):
-        found = found.withColumn("part", key).groupBy("query_id", "part").agg(F.collect_list("best").alias("best")).select("query_id", "best").mapInArrow(merge, "query_id long, best binary")
+        found = found.withColumn("part", key).groupBy("query_id", "part").agg(F.collect_list("best").alias("best")).select("query_id", "best").mapInArrow(C.trimmed(merge), "query_id long, best binary")
 
     def unpack(batches):
         for batch in batches:
@@ -191,7 +191,7 @@ def search(vectors: DataFrame, is_query: Column | None = None, top: int = 5, rer
             live = np.isfinite(every["score"])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)[live]), pa.array(every["id"][live].copy())], names=["query_id", "vec_id"])
 
-    pairs = found.mapInArrow(unpack, "query_id long, vec_id long").distinct()
+    pairs = found.mapInArrow(C.trimmed(unpack), "query_id long, vec_id long").distinct()
     near = pairs.join(rows.select("vec_id", F.col("embedding").alias("v")), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
 
     def exact(batches):
@@ -201,7 +201,7 @@ def search(vectors: DataFrame, is_query: Column | None = None, top: int = 5, rer
             score = (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))) if len(v) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    scored = near.select("query_id", "vec_id", "v", "q").mapInArrow(exact, "query_id long, vec_id long, score double")
+    scored = near.select("query_id", "vec_id", "v", "q").mapInArrow(C.trimmed(exact), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -105,7 +105,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> C.Sides
                 yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(loc)], names=["fp", "loc"])
             row += len(batch)
 
-    found = C.written(texts.mapInArrow(find, "fp long, loc long"), "anchors")
+    found = C.written(texts.mapInArrow(C.trimmed(find), "fp long, loc long"), "anchors")
     total = found.count()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     shards = max(4 * tasks, -(-total // SHARD_ANCHORS))
@@ -156,7 +156,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> C.Sides
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=names)
             row += len(batch)
 
-    spans = texts.mapInArrow(send, "shard int, phase int, doc_id long, part int, place long, start long, words binary")
+    spans = texts.mapInArrow(C.trimmed(send), "shard int, phase int, doc_id long, part int, place long, start long, words binary")
     sorted_ = spans.repartition("shard").sortWithinPartitions("shard", "phase", "doc_id", "part", "place", "start")
 
     def match(batches):
@@ -199,7 +199,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> C.Sides
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*out)) or [[]] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["part", "place", "from", "to"])
 
     covered = C.Sides(spark, "covered")
-    covered.write(sorted_.mapInArrow(match, "part int, place long, `from` long, `to` long"), tasks)
+    covered.write(sorted_.mapInArrow(C.trimmed(match), "part int, place long, `from` long, `to` long"), tasks)
     return covered
 
 
@@ -255,7 +255,7 @@ def annotate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
             none = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n or none)), pa.array(np.concatenate(gone or none).astype(np.int64)), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -276,7 +276,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.trimmed(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,7 +215,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT)
                 [batch.column(0), pa.array(np.diff(offsets)), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
 
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return kept.mapInArrow(C.trimmed(run), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def encode(docs: DataFrame, seq_len: int = SEQ_LEN, ranks: str | None = None) ->
             yield table(False)
         yield table(True)
 
-    return C.written(kept.mapInArrow(run, "part long, place long, first_doc string, n_tokens long, ids binary"), "token-sequences")
+    return C.written(kept.mapInArrow(C.trimmed(run), "part long, place long, first_doc string, n_tokens long, ids binary"), "token-sequences")
 
 
 def materialise(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY, ranks: str | None = None) -> DataFrame:
@@ -126,7 +126,7 @@ def materialise(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_shard:
             yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), *batch.columns[1:]], names=["shard", "slot", *batch.schema.names[1:]])
 
     numbered = encoded.join(F.broadcast(base), "part").select((F.col("base") + F.col("place")).alias("number"), "part", "place", "first_doc", "n_tokens", "ids")
-    dealt = numbered.mapInArrow(place, "shard long, slot long, part long, place long, first_doc string, n_tokens long, ids binary")
+    dealt = numbered.mapInArrow(C.trimmed(place), "shard long, slot long, part long, place long, first_doc string, n_tokens long, ids binary")
     dealt = dealt.repartition(max(1, min(shards, MAX_TASKS)), "shard").sortWithinPartitions("shard", "slot")
     names = ["slot", "shard", "byte_offset", "part", "place", "first_doc", "n_tokens", "sha256"]
     kinds = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.string()]
@@ -147,7 +147,7 @@ def materialise(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_shard:
         if records:
             out.put(f"shard-{at:08d}.bin", b"".join(records))
 
-    rows = C.written(dealt.mapInArrow(store, "slot long, shard long, byte_offset long, part long, place long, first_doc string, n_tokens long, sha256 string"), "token-shards")
+    rows = C.written(dealt.mapInArrow(C.trimmed(store), "slot long, shard long, byte_offset long, part long, place long, first_doc string, n_tokens long, sha256 string"), "token-shards")
     return rows.withColumn("first_doc", F.col("first_doc").cast(docs.schema["doc_id"].dataType))
 
 

@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None,
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
     counts = np.zeros((2, 1 << BITS), np.int64)
-    for r in rows.mapInArrow(count, "sums binary").toLocalIterator():  # TASKS arrays of a fixed size
+    for r in rows.mapInArrow(C.trimmed(count), "sums binary").toLocalIterator():  # TASKS arrays of a fixed size
         counts += np.frombuffer(r[0], np.int32).reshape(2, -1)
     smooth = counts + 1.0
     ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None,
             lists = [feats[a:b].astype(np.uint16).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], names=["y", "f"])
 
-    sample = sorted((r[1], r[0]) for r in rows.mapInArrow(extract, "y int, f binary").collect())  # bounded by max_labelled and n_features
+    sample = sorted((r[1], r[0]) for r in rows.mapInArrow(C.trimmed(extract), "y int, f binary").collect())  # bounded by max_labelled and n_features
     lists = [np.frombuffer(f, np.uint16).astype(np.int64) for f, _ in sample]
     y = np.array([label for _, label in sample], float)
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return kept.mapInArrow(C.trimmed(run), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def remove(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -213,7 +213,7 @@ def remove(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.trimmed(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,7 +185,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         flush()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["file", "records"])
 
-    return C.written(plan(pages).select("page_id", "url", "row", "digest", "html", "best").mapInArrow(run, "file string, records long"), "warc-manifest")
+    return C.written(plan(pages).select("page_id", "url", "row", "digest", "html", "best").mapInArrow(C.trimmed(run), "file string, records long"), "warc-manifest")
 
 
 _OUT = "page_id string, payload_bytes long, payload_digest string, declared string, record_type string, refers_to string, record string, origin string, segment long, total long, part binary"
@@ -231,7 +231,7 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # rows must lie in the shared folder before they are read twice: files are parsed once
-    rows = C.written(manifest.select("file").repartition(tasks).mapInArrow(run, _OUT), "warc-records")
+    rows = C.written(manifest.select("file").repartition(tasks).mapInArrow(C.trimmed(run), _OUT), "warc-records")
 
     def join(batches):
         for batch in batches:
@@ -247,7 +247,7 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
 
     # a group is the segments of one record, and so as large as one page
     segments = rows.where("record_type = 'segment'").groupBy("origin").agg(F.collect_list(F.struct("segment", "total", "part", "page_id", "declared")).alias("parts"))
-    joined = C.written(segments.mapInArrow(join, _OUT), "warc-joined")
+    joined = C.written(segments.mapInArrow(C.trimmed(join), _OUT), "warc-joined")
     responses = rows.where("record_type = 'response'").unionByName(joined)
     known = responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
     revisits = rows.where("record_type = 'revisit'").join(known, "payload_digest").withColumn("payload_bytes", F.col("full")).drop("full")
