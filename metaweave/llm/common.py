@@ -43,10 +43,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The rows written as Parquet (with the writer's options) to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

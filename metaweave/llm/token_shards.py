@@ -58,16 +58,16 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def packed(ids: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(ids.tobytes())
+def packed(ids: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(ids)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint16)
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def encode(docs: DataFrame, seq_len: int = SEQ_LEN, ranks: str | None = None) -> DataFrame:
-    """The sequences: part (scan partition), place, first_doc, n_tokens and ids (packed), written to the shared folder."""
+    """The sequences: part (scan partition), place, first_doc, n_tokens and ids, written to the shared folder (Zstandard over whole pages, so that texts alike in a page are stored once)."""
     kept = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
     def run(batches):
@@ -79,7 +79,7 @@ def encode(docs: DataFrame, seq_len: int = SEQ_LEN, ranks: str | None = None) ->
             n = -(-len(rest) // seq_len) if last else len(rest) // seq_len
             at = np.searchsorted(np.array(starts, np.int64), np.arange(n) * seq_len, "right") - 1 if n else []
             ids = [rest[i * seq_len : (i + 1) * seq_len] for i in range(n)]
-            rows = [[part] * n, list(range(place, place + n)), [owners[k] for k in at], [len(x) for x in ids], [packed(x) for x in ids]]
+            rows = [[part] * n, list(range(place, place + n)), [owners[k] for k in at], [len(x) for x in ids], [x.tobytes() for x in ids]]
             place += n
             cut = n * seq_len
             rest = rest[cut:]
@@ -105,7 +105,7 @@ def encode(docs: DataFrame, seq_len: int = SEQ_LEN, ranks: str | None = None) ->
             yield table(False)
         yield table(True)
 
-    return C.written(kept.mapInArrow(C.trimmed(run), "part long, place long, first_doc string, n_tokens long, ids binary"), "token-sequences")
+    return C.written(kept.mapInArrow(C.trimmed(run), "part long, place long, first_doc string, n_tokens long, ids binary"), "token-sequences", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "6"})
 
 
 def materialise(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY, ranks: str | None = None) -> DataFrame:
@@ -123,7 +123,8 @@ def materialise(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_shard:
         perm = Permutation(total, key)
         for batch in batches:
             slots = perm.rank(batch.column(0).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), *batch.columns[1:]], names=["shard", "slot", *batch.schema.names[1:]])
+            ids = pa.array([packed(x) for x in batch.column(5).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), *batch.columns[1:5], ids], names=["shard", "slot", *batch.schema.names[1:]])
 
     numbered = encoded.join(F.broadcast(base), "part").select((F.col("base") + F.col("place")).alias("number"), "part", "place", "first_doc", "n_tokens", "ids")
     dealt = numbered.mapInArrow(C.trimmed(place), "shard long, slot long, part long, place long, first_doc string, n_tokens long, ids binary")
@@ -140,7 +141,7 @@ def materialise(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_shard:
                     if records:
                         out.put(f"shard-{at:08d}.bin", b"".join(records))
                     at, records = r["shard"], []
-                record = unpacked(r["ids"]).tobytes().ljust(2 * seq_len, b"\xff")
+                record = unpacked(r["ids"]).ljust(2 * seq_len, b"\xff")
                 records.append(record)
                 rows.append((r["slot"], at, r["slot"] % per_shard * 2 * seq_len, r["part"], r["place"], r["first_doc"], r["n_tokens"], hashlib.sha256(record).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [[]] * len(kinds), kinds)], names=names)
