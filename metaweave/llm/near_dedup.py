@@ -13,9 +13,9 @@ exactly the Jaccard similarity, with `weights="count"` shingles weigh their numb
 Texts with equal sets are one node (128-bit digests of the sets), so copies are never paired. Nodes that share a band of `ROWS` registers are
 candidates: a pair at 0.8 is missed by all `BANDS` bands with a probability of 3e-6. In each band's bucket
 one node, the leader, is compared with the others, exactly, by shingle sets; links make components;
-then buckets that still hold several components get further leaders (twice as many each round) until every bucket holds one
-component or all of its pairs across components are compared. So no bucket is expanded into pairs if it is
-one group, and no pair of a bucket is given up. All this is joins and aggregations on node ids,
+then buckets that still hold several components get further leaders, from outside their largest one and GROWTH times as many each
+round, until all of their pairs across components are compared. So no bucket is expanded into pairs if it is
+one group, and no pair of a bucket is given up; pairs whose set sizes rule the similarity out are not made. All this is joins and aggregations on node ids,
 in which Spark splits skewed keys; components are found by label propagation with
 pointer jumping, written to the shared folder each round. Sets are extracted, in a second scan, for candidates only.
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,6 +39,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 5
+#: Leaders of a bucket grow by this factor each round.
+GROWTH = 4
 _NEVER = np.uint64(2**64 - 1)
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -209,38 +211,44 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     scanned = C.written(_scan(docs, bands, rows, weights), "sketches")
     full = scanned.where("n > 0")
     nodes = full.groupBy("k1", "k2", "n").agg(F.min("row").alias("node"))
-    heads = full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands")
-    entries = heads.select("node", F.explode("bands").alias("bucket"))
+    heads = full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "bands")
+    entries = heads.select("node", "n", F.explode("bands").alias("bucket"))
     several = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    buckets = C.written(entries.join(several, "bucket").select("bucket", "node"), "buckets")
+    buckets = C.written(entries.join(several, "bucket").select("bucket", "node", "n"), "buckets")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     wanted = C.Sides(spark, "candidates")
     wanted.write(buckets.select("node").distinct().withColumn("part", F.shiftright("node", 40).cast("int")), tasks)
     sets = C.written(_sets(docs, wanted), "sets")
 
-    links, labels, leaders = None, None, 1
-    done = None  # pairs compared, as (bucket, leader): a leader is compared with its whole bucket
+    def fits(x: str, y: str) -> Column:
+        """Sets of such sizes can be similar enough: pairs that can't are not made."""
+        return F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6
+
+    # the first node of each bucket is compared with the others
+    first = buckets.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead")).select("bucket", F.col("lead.node").alias("a"), F.col("lead.n").alias("an"))
+    pairs = buckets.join(first, "bucket").where((F.col("a") != F.col("node")) & fits("n", "an")).select("a", F.col("node").alias("b"))
+    links = C.written(_similar(pairs.distinct(), sets, similarity), "links")
+    labels = components(links)
+    done = C.written(first.select("bucket", F.col("a").alias("node")), "leaders")  # nodes compared with their whole bucket
+    leaders = GROWTH
     while True:
-        now = buckets if labels is None else buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("bucket", "node", "comp")
-        if labels is None:
-            lead = now.groupBy("bucket").agg(F.array(F.min("node")).alias("leads"))
-            pairs = now.join(lead.select("bucket", F.explode("leads").alias("a")), "bucket").where("a <> node").select("a", F.col("node").alias("b"))
-        else:
-            mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-            now = C.written(now.join(mixed, "bucket"), "open-buckets")
-            fresh = now.join(done, ["bucket", "node"], "left_anti") if done is not None else now
-            order = W.partitionBy("bucket").orderBy("node")
-            lead = fresh.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders).select("bucket", F.col("node").alias("a"), F.col("comp").alias("acomp"))
-            pairs = now.join(lead, "bucket").where("comp <> acomp").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        lead = C.written(lead.select("bucket", F.explode("leads").alias("node")) if labels is None else lead.select("bucket", F.col("a").alias("node")), "leaders")
-        if labels is not None and not lead.limit(1).count():
+        now = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("bucket", "node", "n", "comp")
+        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+        largest = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+        now = C.written(now.join(largest.select("bucket", "largest"), "bucket"), "open-buckets")
+        # every pair across components has a node outside the largest one: when these are done, all pairs are
+        fresh = now.where("comp <> largest").select("bucket", "node", "n", "comp").join(done, ["bucket", "node"], "left_anti")
+        order = W.partitionBy("bucket").orderBy("node")
+        lead = C.written(fresh.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders).select("bucket", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp")), "leaders")
+        if not lead.limit(1).count():
             break
+        pairs = now.join(lead, "bucket").where((F.col("comp") != F.col("acomp")) & fits("n", "an")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         found = C.written(_similar(pairs.distinct(), sets, similarity), "links")
-        done = lead if done is None else done.unionByName(lead)
-        links = found if links is None else links.unionByName(found)
-        if labels is None or found.limit(1).count():
+        done = done.unionByName(lead.select("bucket", F.col("a").alias("node")))
+        if found.limit(1).count():
+            links = links.unionByName(found)
             labels = components(links)
-        leaders *= 2
+        leaders *= GROWTH
     member = full.join(nodes, ["k1", "k2", "n"]).join(labels, "node", "left").select("row", "doc_id", "n", F.coalesce("comp", "node").alias("comp"))
     member = C.written(member.unionByName(scanned.where("n = 0").select("row", "doc_id", "n", F.col("row").alias("comp"))), "members")
     named = member.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
