@@ -10,6 +10,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,14 +191,53 @@ def owners(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
+class Scans:
+    """The guard of a table that is scanned several times: the first scan of each partition leaves its number of
+    rows and a digest of their ids and texts in the shared folder; every later one is compared with it and raises an
+    error where they differ, so a table that changed meanwhile never gives wrong results."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.address = shared_dir(spark, name)
+
+    def check(self, batches, ids: int, text: int, first: bool = False):
+        """The batches, which must be all of a partition; ids and text are places of columns."""
+        part, rows, sums = partition_id(), 0, [0] * 4
+        for batch in batches:
+            rows += len(batch)
+            for k, at in enumerate((ids, text)):
+                column = batch.column(at)
+                data, offsets = flat_text(column.cast(pa.large_string(), safe=False))
+                sizes = np.diff(offsets)
+                if column.null_count:
+                    sizes[column.is_null().to_numpy(zero_copy_only=False)] = -1
+                sums[2 * k] = zlib.crc32(data, sums[2 * k])
+                sums[2 * k + 1] = zlib.crc32(sizes.tobytes(), sums[2 * k + 1])
+            yield batch
+        mine = " ".join(map(str, (rows, *sums))).encode()
+        fs, path = pafs.FileSystem.from_uri(self.address)
+        at = f"{path}/scan-{part}"
+        if first:
+            fs.create_dir(path, recursive=True)
+            hidden = f"{path}/.{part}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(hidden) as f:
+                f.write(mine)
+            fs.move(hidden, at)
+            return
+        known = b"nothing"
+        if fs.get_file_info(at).type != pafs.FileType.NotFound:
+            with fs.open_input_stream(at) as f:
+                known = f.read()
+        if known != mine:
+            raise RuntimeError(f"partition {part} of a table changed between two scans: rows and digests were {known.decode()}, now {mine.decode()}")
+
+
 class Sides:
     """Rows that belong to the partitions of a table which is scanned several times.
 
-    A scan of files has the same partitions with the same rows each time, so a row is known by
-    its partition and its place there. What the operator finds out about rows between two scans is written to the shared
+    The table is one that `stable` made, whose partitions are the same each time, so a row is known by
+    its partition and its place there; `Scans` proves it. What the operator finds out about rows between two scans is written to the shared
     folder, a folder a partition, and the task that scans the partition again reads its own
-    folder: texts are never shuffled. `check` compares the rows of each scan with those of the first, so a table whose
-    partitions changed meanwhile raises an error rather than giving wrong results.
+    folder: texts are never shuffled.
     """
 
     ROW_BITS = 40  # row = partition << ROW_BITS | place
@@ -222,9 +262,19 @@ def partition_id() -> int:
     return TaskContext.get().partitionId()
 
 
+def pinned(docs: DataFrame) -> DataFrame:
+    """docs over partitions that are planned now, once: a scan planned anew could cut files otherwise, as the split size follows the number of cores there are at the time. Plans name the files' folder (or file)."""
+    spark, files = docs.sparkSession, docs.inputFiles()
+    rdd = docs._jdf.queryExecution().toRdd()
+    if files:
+        rdd.setName(os.path.commonpath(files))
+    rdd.getNumPartitions()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rdd, docs._jdf.schema(), False), spark)
+
+
 def stable(docs: DataFrame) -> DataFrame:
-    """docs if it is a plain scan of files, whose partitions are the same each time it runs; else a written copy."""
+    """docs with the same rows in the same partitions each time it runs: a plain scan of files, or else a written copy, with pinned partitions."""
     plan = docs._jdf.queryExecution().executedPlan().toString()
     if docs.inputFiles() and not any(x in plan for x in ("Exchange", "Join", "Python", "InArrow", "InPandas", "Aggregate", "Sort", "Union")):
-        return docs
-    return written(docs, "stable")
+        return pinned(docs)
+    return pinned(written(docs, "stable"))

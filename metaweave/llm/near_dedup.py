@@ -97,13 +97,13 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def _scan(docs: DataFrame, bands: int, rows: int, weights: str) -> DataFrame:
+def _scan(docs: DataFrame, scans: C.Scans, bands: int, rows: int, weights: str) -> DataFrame:
     """row, doc_id, k1, k2 (digest of the set), n (its size) and bands of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         part, row = C.partition_id(), 0
-        for batch in batches:
+        for batch in scans.check(batches, 0, 1, first=True):
             m = len(batch)
             n, k1, k2 = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64)
             keys = np.zeros((m, bands), np.uint64)
@@ -144,20 +144,23 @@ def _scan(docs: DataFrame, bands: int, rows: int, weights: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"row long, doc_id {kind}, k1 long, k2 long, n long, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: C.Sides) -> DataFrame:
+def _sets(docs: DataFrame, scans: C.Scans, wanted: C.Sides) -> DataFrame:
     """node and shingles (sorted numbers of 8 bytes) of the wanted rows."""
 
     def run(batches):
         part, row = C.partition_id(), 0
+        batches = scans.check(batches, 0, 1)
         side = wanted.read(part, ["node"])
         if side is None:
+            for _ in batches:  # all the same: rows of another partition may have come here
+                pass
             return
         rows = np.sort(side[0]) - (np.int64(part) << 40)
         for batch in batches:
             mine = rows[(rows >= row) & (rows < row + len(batch))] - row
             if len(mine):
                 nodes, sets = [], []
-                for a, b, x, _ in shingles(batch.column(0).take(pa.array(mine))):
+                for a, b, x, _ in shingles(batch.column(1).take(pa.array(mine))):
                     bounds = np.searchsorted(x, np.arange(b - a + 1, dtype=np.uint64) << np.uint64(48))
                     for d in range(b - a):
                         nodes.append(int(mine[a + d]) + row + (part << 40))
@@ -165,7 +168,7 @@ def _sets(docs: DataFrame, wanted: C.Sides) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
             row += len(batch)
 
-    return docs.select("text").mapInArrow(C.trimmed(run), "node long, set binary")
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), "node long, set binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -206,9 +209,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "unit") -> DataFrame:
     """row, doc_id, comp (the class by its first row), class_id, class_size and n_shingles of every document; row is its scan partition and place."""
+    return _classes(C.stable(docs.select("doc_id", "text")), C.Scans(docs.sparkSession, "scans"), similarity, bands, rows, weights)
+
+
+def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "unit") -> DataFrame:
+    """classes of a stable table."""
     spark = docs.sparkSession
-    docs = C.stable(docs)
-    scanned = C.written(_scan(docs, bands, rows, weights), "sketches")
+    scanned = C.written(_scan(docs, scans, bands, rows, weights), "sketches")
     full = scanned.where("n > 0")
     nodes = full.groupBy("k1", "k2", "n").agg(F.min("row").alias("node"))
     heads = full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "bands")
@@ -218,7 +225,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     wanted = C.Sides(spark, "candidates")
     wanted.write(buckets.select("node").distinct().withColumn("part", F.shiftright("node", 40).cast("int")), tasks)
-    sets = C.written(_sets(docs, wanted), "sets")
+    sets = C.written(_sets(docs, scans, wanted), "sets")
 
     def fits(x: str, y: str) -> Column:
         """Sets of such sizes can be similar enough: pairs that can't are not made."""
@@ -257,8 +264,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns kept, with one of each class: the first row (in scan order) of the smallest doc_id."""
-    docs = C.stable(docs)
-    found = classes(docs, similarity).withColumn("part", F.shiftright("row", 40).cast("int"))
+    docs, scans = C.stable(docs), C.Scans(docs.sparkSession, "scans")
+    ids, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    found = _classes(docs, scans, similarity).withColumn("part", F.shiftright("row", 40).cast("int"))
     # classes of one row stay; of the others the kept row is the smallest by (doc_id, row)
     many = found.where("class_size > 1")
     best = many.groupBy("comp").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
@@ -270,7 +278,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         part, row = C.partition_id(), 0
         side = drop.read(part, ["row"])
         gone = np.sort(side[0]) - (np.int64(part) << 40) if side is not None else np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in scans.check(batches, ids, text):
             keep = np.ones(len(batch), bool)
             keep[gone[(gone >= row) & (gone < row + len(batch))] - row] = False
             row += len(batch)

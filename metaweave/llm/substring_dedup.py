@@ -87,14 +87,14 @@ def _key(place: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return C.mix(fp ^ C.mix(place.astype(np.uint64)))
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> C.Sides:
-    """For each scan partition the covered word ranges of its rows (place, from, to)."""
+def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int = GRAM) -> C.Sides:
+    """For each scan partition of a stable table the covered word ranges of its rows (place, from, to)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("doc_id").alias("own"))
 
     def find(batches):
         part, row = C.partition_id(), 0
-        for batch in batches:
+        for batch in scans.check(batches, 2, 1, first=True):
             for a, b, data, starts, ends, bounds in _Texts(batch.column(1)):
                 doc = C.owners(bounds)
                 at, fp = anchors(C.hash_words(data, starts, ends), doc, window, gram)
@@ -117,8 +117,11 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> C.Sides
 
     def send(batches):
         part, row = C.partition_id(), 0
+        batches = scans.check(batches, 2, 1)
         side = routes.read(part, ["place", "fp", "shard"])
         if side is None:
+            for _ in batches:  # all the same: rows of another partition may have come here
+                pass
             return
         keys = _key(side[0], side[1].view(np.uint64))
         order = np.argsort(keys)
@@ -209,14 +212,14 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _kept(batches, at: int, covered: C.Sides):
+def _kept(batches, ids: int, at: int, covered: C.Sides, scans: C.Scans):
     """Of each batch: chunk range, data, word places, bounds and which words are covered."""
     row = 0
     side = covered.read(C.partition_id(), ["place", "from", "to"])
     if side is not None:
         order = np.argsort(side[0], kind="stable")
         side = [x[order] for x in side]
-    for batch in batches:
+    for batch in scans.check(batches, ids, at):
         out = []
         for a, b, data, starts, ends, bounds in _Texts(batch.column(at)):
             change = np.zeros(len(starts) + 1, np.int64)
@@ -232,11 +235,11 @@ def _kept(batches, at: int, covered: C.Sides):
 
 def annotate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) of every document."""
-    docs = C.stable(docs)
-    covered = repeated(docs, window, gram)
+    docs, scans = C.stable(docs.select("doc_id", "text")), C.Scans(docs.sparkSession, "scans")
+    covered = repeated(docs, scans, window, gram)
 
     def run(batches):
-        for batch, parts in _kept(batches, 1, covered):
+        for batch, parts in _kept(batches, 0, 1, covered, scans):
             n, gone, sha = [], [], []
             for a, b, data, starts, ends, bounds, cut in parts:
                 sums = np.concatenate([[0], np.cumsum(cut)])
@@ -255,16 +258,16 @@ def annotate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
             none = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n or none)), pa.array(np.concatenate(gone or none).astype(np.int64)), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    return docs.mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The documents, all columns kept, their covered words cut out of the text (other text stays as it is)."""
-    docs = C.stable(docs)
-    covered, at = repeated(docs, window, gram), docs.columns.index("text")
+    docs, scans = C.stable(docs), C.Scans(docs.sparkSession, "scans")
+    covered, ids, at = repeated(docs, scans, window, gram), docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches):
-        for batch, parts in _kept(batches, at, covered):
+        for batch, parts in _kept(batches, ids, at, covered, scans):
             texts = batch.column(at).to_pylist()
             for a, b, data, starts, ends, bounds, cut in parts:
                 raw = data.tobytes()
