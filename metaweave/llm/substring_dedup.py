@@ -7,7 +7,7 @@ can repeat are sent, each to the one shard that can hold its earlier copies:
 
 1. Scan: of every window the smallest hash of its `GRAM`-word grams is an anchor (a minimiser), so equal
    windows have equal anchors. Anchors are counted over the whole corpus; an anchor that occurs again is
-   routed to the shard of its first occurrence (partition, row and block of `BLOCK` words).
+   routed to the shard of one of its places (row and block of `BLOCK` words), the one of the smallest hash.
 2. Scan: around each such anchor the words that its windows can cover are sent to the anchor's shard, as word
    hashes, neighbouring spans merged. All occurrences of a window meet in one shard.
 3. Shard: spans come sorted by document and stream past the shard's automaton. A small counting
@@ -98,20 +98,18 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
             for a, b, data, starts, ends, bounds in _Texts(batch.column(1)):
                 doc = C.owners(bounds)
                 at, fp = anchors(C.hash_words(data, starts, ends), doc, window, gram)
-                place = row + a + doc[at]
-                loc = (np.int64(part) << 42) | (place << 21) | ((at - bounds[doc[at]]) // BLOCK)
-                if len(at) and (place.max() >= 1 << 21 or part >= 1 << 21):
-                    raise ValueError("a scan partition has over 2^21 rows, or there are over 2^21 partitions: use smaller, or fewer, partitions")
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(loc)], names=["fp", "loc"])
+                line = (np.int64(part) << C.Sides.ROW_BITS) + row + a + doc[at]
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(line), pa.array((at - bounds[doc[at]]) // BLOCK)], names=["fp", "row", "block"])
             row += len(batch)
 
-    found = C.written(texts.mapInArrow(C.trimmed(find), "fp long, loc long"), "anchors")
+    found = C.written(texts.mapInArrow(C.trimmed(find), "fp long, row long, block long"), "anchors")
     total = found.count()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     shards = max(4 * tasks, -(-total // SHARD_ANCHORS))
-    again = found.groupBy("fp").agg(F.min("loc").alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int").alias("shard"))
+    # any one place of an anchor names its shard, as long as anchors that occur together mostly agree: the one of the smallest hash
+    again = found.groupBy("fp").agg(F.min(F.xxhash64("row", "block")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", F.pmod("first", F.lit(shards)).cast("int").alias("shard"))
     routes = C.Sides(spark, "routes")
-    routes.write(found.join(again, "fp").select("fp", "shard", F.shiftright("loc", 42).cast("int").alias("part"), (F.shiftright("loc", 21).bitwiseAND(F.lit((1 << 21) - 1))).alias("place")).distinct(), tasks)
+    routes.write(found.join(again, "fp").select("fp", "shard", F.shiftright("row", C.Sides.ROW_BITS).cast("int").alias("part"), F.col("row").bitwiseAND(F.lit((1 << C.Sides.ROW_BITS) - 1)).alias("place")).distinct(), tasks)
 
     names = ["shard", "phase", "doc_id", "part", "place", "start", "words"]
 
