@@ -27,7 +27,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each document and pass that the mix takes, its text what is taken."""
+    """A row for each piece of a document that the mix takes, its text what is taken, in order of the mix."""
     return mixing.mixed(docs)
 
 

@@ -22,11 +22,14 @@ size (rows equal in these are interchangeable); an empty table gives no rows. A
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from metaweave.llm import common as C
 from metaweave.llm.feistel import Permutation
@@ -176,7 +179,7 @@ def _by_source(plan: Plan, at: pa.StructArray):
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, size, source_size, target and taken (words, repeats counted)."""
+    """Per document: doc_id, size, source_size, target, taken (words, repeats counted), n_pieces and pieces_sha256 (of pass, from, to, shard and place of its pieces in `manifest`, by pass and from, as 64-bit little-endian numbers)."""
     placed, plan, _ = _placed(docs, extra=False)
     plan = docs.sparkSession.sparkContext.broadcast(plan)
 
@@ -184,12 +187,21 @@ def digest(docs: DataFrame) -> DataFrame:
         for batch in batches:
             taken = np.zeros(len(batch), np.int64)
             total, target = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            for s, rows, (doc, _, lo, hi, _, _) in _by_source(plan.value, batch.column(1)):
+            own, parts = [np.zeros(0, np.int64)], [np.zeros((0, 5), "<i8")]
+            for s, rows, (doc, *piece) in _by_source(plan.value, batch.column(1)):
+                _, lo, hi, _, _ = piece
+                own.append(rows[doc])
+                parts.append(np.stack(piece, axis=1).astype("<i8"))
                 taken[rows] = np.bincount(doc, hi - lo, len(rows)).astype(np.int64)
                 total[rows], target[rows] = plan.value.sizes[s], plan.value.targets[s]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).field("size"), pa.array(total), pa.array(target), pa.array(taken)], names=["doc_id", "size", "source_size", "target", "taken"])
+            own, parts = np.concatenate(own), np.concatenate(parts)
+            parts = parts[np.lexsort((parts[:, 1], parts[:, 0], own))]
+            n = np.bincount(own, minlength=len(batch))
+            ends = np.cumsum(n)
+            sha = [hashlib.sha256(parts[i:j].tobytes()).hexdigest() for i, j in zip((ends - n).tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).field("size"), *(pa.array(x) for x in (total, target, taken, n)), pa.array(sha, pa.string())], names=["doc_id", "size", "source_size", "target", "taken", "n_pieces", "pieces_sha256"])
 
-    return placed.mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, source_size long, target double, taken long")
+    return placed.mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, source_size long, target double, taken long, n_pieces long, pieces_sha256 string")
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -206,44 +218,47 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix as rows with the columns of docs: a row for each document and pass that takes any of it, its text what is taken (pieces joined by a line break; n_chars follows)."""
+    """The mix as rows with the columns of docs: a row for each piece of `manifest`, its text what is taken (n_chars follows), in order of shard and place."""
     placed, plan, own = _placed(docs, extra=True)
+    total, before = int(plan.room.sum()), np.cumsum(plan.room) - plan.room
     plan = docs.sparkSession.sparkContext.broadcast(plan)
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns and docs.schema["n_chars"].dataType.simpleString() in ("bigint", "int") else None
+    docs_columns = docs.columns
 
     def run(batches):
         for batch in batches:
             place = batch.column(len(docs_columns))
-            size = place.field("size").to_numpy(zero_copy_only=False)
-            wanted: dict[tuple[int, int], list] = {}
-            for _, rows, (doc, nth, lo, hi, _, _) in _by_source(plan.value, place):
-                for d, p, a, b in zip(rows[doc].tolist(), nth.tolist(), lo.tolist(), hi.tolist()):
-                    spans = wanted.setdefault((d, p), [])
-                    if spans and spans[-1][1] == a:
-                        spans[-1][1] = b
-                    else:
-                        spans.append([a, b])
-            texts = batch.column(text_at)
-            rows, out = [], []
-            for (d, _), spans in sorted(wanted.items()):
-                rows.append(d)
-                text = texts[d].as_py()
-                out.append(text if spans == [[0, size[d]]] else _slices(text, spans))
-            columns = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(len(docs_columns))]
+            size, first = (place.field(x).to_numpy(zero_copy_only=False) for x in ("size", "first"))
+            parts = [np.zeros((0, 5), np.int64)]
+            for _, rows, (doc, nth, lo, hi, shard, inner) in _by_source(plan.value, place):
+                parts.append(np.stack([rows[doc], nth, lo, hi, before[shard] + inner], axis=1))
+            parts = np.concatenate(parts)
+            parts = parts[np.lexsort((parts[:, 2], parts[:, 1], parts[:, 0]))]
+            texts, out, at, spans = batch.column(text_at), [], None, None
+            for d, _, a, b, _ in parts.tolist():
+                if d != at:
+                    at, text, spans = d, texts[d].as_py(), None
+                if b - a == size[d]:
+                    out.append(text)
+                    continue
+                if spans is None:
+                    raw = np.frombuffer(text.encode(), np.uint8)
+                    spans = C.find_words(_IS_WORD[raw], np.array([0, len(raw)]))
+                out.append(raw[spans[0][a] : spans[1][b - 1]].tobytes().decode())
+            rows = pa.array(parts[:, 0])
+            columns = [batch.column(i).take(rows) for i in range(len(docs_columns))]
             columns[text_at] = pa.array(out, texts.type)
             if chars_at is not None:
                 columns[chars_at] = pa.array([len(x) for x in out], columns[chars_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
-
-    docs_columns = docs.columns
-    return placed.mapInArrow(C.trimmed(run), docs.schema)
-
-
-def _slices(text: str, spans: list[list[int]]) -> str:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    starts, ends, _ = C.find_words(_IS_WORD[raw], np.array([0, len(raw)]))
-    return "\n".join(raw[starts[a] : ends[b - 1]].tobytes().decode() for a, b in spans)
+            key = pa.StructArray.from_arrays([pa.array(parts[:, 4]), pa.array(first[parts[:, 0]] + parts[:, 2])], names=["number", "at"])
+            yield pa.RecordBatch.from_arrays([*columns, key], names=[*docs_columns, own])
+
+    pieces = placed.mapInArrow(C.trimmed(run), StructType(list(docs.schema.fields)).add(own, StructType().add("number", "long").add("at", "long")))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    # a piece's number among all places is known, so equal ranges of places need no sample of the rows
+    ordered = pieces.repartitionById(tasks, F.floor(F.col(f"{own}.number") * tasks / max(1, total)).cast("int")).sortWithinPartitions(f"{own}.number", f"{own}.at")
+    return ordered.select(*docs_columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
