@@ -11,8 +11,9 @@ Queries are worked on in blocks of `QUERY_BLOCK` that are broadcast (bounded); e
 candidates per query as packed arrays, which are merged in two steps, so no task gets a group that grows with the
 number of rows.
 
-Ties: equal scores go to the smaller vec_id, among approximate scores too; rows whose score ties with the last
-kept one stay in, so copies of one vector can't push each other out unseen.
+Ties: equal scores go to the smaller vec_id, among approximate scores too. Copies of one vector (rows with the same components) score the same,
+so only the smallest `top` ids of them can be in a result: no more take places among the `RERANK`, and copies can't push a
+nearer vector out. Vectors that are only alike do compete for the places.
 
 Defined cases: vectors that are null, zero, or have null or non-finite components take no part; nor
 do vectors of another length than most. Rows that share the query's vec_id are its own. Null vec_ids take no part.
@@ -112,14 +113,36 @@ def _top(scores: np.ndarray, ids: np.ndarray, r: int) -> np.ndarray:
     return np.arange(len(scores))
 
 
-_PACKED = np.dtype([("score", "<f4"), ("id", "<i8")])
+_PACKED = np.dtype([("score", "<f4"), ("id", "<i8"), ("copy", "<i8")])
 
 
-def _merged(blobs: list[bytes], r: int) -> bytes:
+def _few(copies: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the `most` smallest ids of each group of copies, and which of these is the last one allowed; repeated ids of a group count once."""
+    order = np.lexsort((ids, copies))
+    g, i = copies[order], ids[order]
+    new = np.append(True, g[1:] != g[:-1]) if len(g) else np.zeros(0, bool)
+    fresh = new | np.append(True, i[1:] != i[:-1]) if len(g) else new
+    order, new = order[fresh], new[fresh]
+    at = np.arange(len(order))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    return order[nth < most], nth[nth < most] == most - 1
+
+
+def _merged(blobs: list[bytes], r: int, top: int) -> bytes:
     x = np.frombuffer(b"".join(blobs), _PACKED)
+    x = x[_few(x["copy"], x["id"], top)[0]]
     return x[_top(x["score"], x["id"], r)].tobytes()
 
 
+def _copies(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each vector's components."""
+    bits = (x + 0.0).view(np.uint64)  # -0.0 is 0.0
+    out = np.zeros(len(x), np.uint64)
+    for j in range(x.shape[1]):
+        out = C.mix(out ^ C.mix(bits[:, j] + np.uint64(j + 1)))
+    return out.view(np.int64)
+
+
 def search(vectors: DataFrame, is_query: Column | None = None, top: int = 5, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id and score of each query's nearest rows by cosine."""
     spark = vectors.sparkSession
@@ -137,10 +160,11 @@ def search(vectors: DataFrame, is_query: Column | None = None, top: int = 5, rer
         for batch in batches:
             for i in range(0, len(batch), 2048):
                 part = batch.slice(i, 2048)
-                codes, norms = encode(unit(matrix(part.column(1))), books.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(np.maximum(norms, 1e-12)).astype(np.float32))], names=["vec_id", "codes", "norm"])
+                x = matrix(part.column(1))
+                codes, norms = encode(unit(x), books.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(np.maximum(norms, 1e-12)).astype(np.float32)), pa.array(_copies(x))], names=["vec_id", "codes", "norm", "copy"])
 
-    index = C.written(rows.mapInArrow(C.trimmed(code), "vec_id long, codes binary, norm float"), "aq-index")
+    index = C.written(rows.mapInArrow(C.trimmed(code), "vec_id long, codes binary, norm float, copy long"), "aq-index")
     queries = rows.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "embedding")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
@@ -158,17 +182,22 @@ def search(vectors: DataFrame, is_query: Column | None = None, top: int = 5, rer
                 vec = batch.column(0).to_numpy(zero_copy_only=False)
                 codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, m)
                 norm = batch.column(2).to_numpy(zero_copy_only=False)
+                copy = batch.column(3).to_numpy(zero_copy_only=False)
+                few, spare = _few(copy, vec, top + 1)  # one to spare, as the query's own id may be among them
+                vec, codes, norm, copy = vec[few], codes[few], norm[few], copy[few]
                 for i, query in enumerate(own):
                     lut = (books.value @ q[i]).astype(np.float32)  # books x words
                     score = lut[0][codes[:, 0]].copy()
                     for j in range(1, m):
                         score += lut[j][codes[:, j]]
                     score /= norm
-                    score[vec == query] = -np.inf
+                    mine = vec == query
+                    score[spare & ~np.isin(copy, copy[mine]) | mine] = -np.inf
                     sel = _top(score, vec, rerank)
+                    sel = sel[score[sel] > -np.inf]
                     x = np.empty(len(sel), _PACKED)
-                    x["score"], x["id"] = score[sel], vec[sel]
-                    best[i] = [_merged([*best[i], x.tobytes()], rerank)]
+                    x["score"], x["id"], x["copy"] = score[sel], vec[sel], copy[sel]
+                    best[i] = [_merged([*best[i], x.tobytes()], rerank, top)]
             names = ["query_id", "best"]
             keep = [i for i in range(len(own)) if best[i]]
             yield pa.RecordBatch.from_arrays([pa.array(own[keep].astype(np.int64)), pa.array([best[i][0] for i in keep], pa.binary())], names=names)
@@ -178,7 +207,7 @@ def search(vectors: DataFrame, is_query: Column | None = None, top: int = 5, rer
 
     def merge(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged(x, rerank) for x in batch.column(1).to_pylist()], pa.binary())], names=["query_id", "best"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged(x, rerank, top) for x in batch.column(1).to_pylist()], pa.binary())], names=["query_id", "best"])
 
     for key in (F.pmod(F.spark_partition_id(), F.lit(MERGE)), F.lit(0)):
         found = found.withColumn("part", key).groupBy("query_id", "part").agg(F.collect_list("best").alias("best")).select("query_id", "best").mapInArrow(C.trimmed(merge), "query_id long, best binary")
