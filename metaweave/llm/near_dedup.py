@@ -4,11 +4,10 @@ Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` with A-Z lower-cased; a
 words (a text of fewer words, but not none, is one shingle). Two documents are linked if the
 Jaccard similarity of their sets is `SIMILARITY` or more; classes are the connected components.
 
-Sketch: each weighted shingle sends arrivals of a Poisson process of its rate (exponential gaps),
+Sketch: each shingle sends arrivals of a Poisson process of rate 1 (exponential gaps),
 each to a random register; a register keeps its earliest arrival. A document's rounds end as soon as no shingle can
 still arrive before the latest register. The probability that a register agrees is the
-probability-Jaccard similarity of the weights; with `weights="unit"` (the default, since classes are defined on sets) this is
-exactly the Jaccard similarity, with `weights="count"` shingles weigh their number of occurrences.
+probability-Jaccard similarity of the weights, which are all 1, since classes are defined on sets: exactly the Jaccard similarity.
 
 Texts with equal sets are one node (128-bit digests of the sets), so copies are never paired. Nodes that share a band of `ROWS` registers are
 candidates: a pair at 0.8 is missed by all `BANDS` bands with a probability of 3e-6. In each band's bucket
@@ -46,7 +45,7 @@ _LOW48 = np.uint64((1 << 48) - 1)
 
 
 def shingles(column: pa.Array, n: int = SHINGLE):
-    """Chunk by chunk: first and last text, and the sorted (text, shingle) keys (16 bits the text in the chunk, 48 the shingle), with counts."""
+    """Chunk by chunk: first and last text, and the sorted (text, shingle) keys (16 bits the text in the chunk, 48 the shingle)."""
     data, offsets = C.flat_text(column)
     for a, b in C.chunks(offsets):
         part = _NORMAL[data[offsets[a] : offsets[b]]]
@@ -64,11 +63,10 @@ def shingles(column: pa.Array, n: int = SHINGLE):
         keys = (np.concatenate(own).astype(np.uint64) << np.uint64(48)) | (np.concatenate(hashes) & _LOW48)
         keys.sort()
         new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        yield a, b, keys[at], np.diff(np.append(at, len(keys)))
+        yield a, b, keys[new]
 
 
-def sketch(doc: np.ndarray, elements: np.ndarray, weights: np.ndarray | None, n_docs: int, registers: int) -> np.ndarray:
+def sketch(doc: np.ndarray, elements: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
     """ProbMinHash registers: for each document the 32-bit elements that arrived first."""
     table = np.full(n_docs * registers, _NEVER)
     time = np.zeros(len(elements))
@@ -77,7 +75,7 @@ def sketch(doc: np.ndarray, elements: np.ndarray, weights: np.ndarray | None, n_
         round_ += 1
         u = C.mix(elements + np.uint64(round_ * 0x9E3779B97F4A7C15 & 2**64 - 1))
         gap = -np.log1p(-(u >> np.uint64(11)).astype(np.float64) / 2.0**53)
-        time = time + (gap if weights is None else gap / weights)
+        time = time + gap
         register = ((C.mix(u ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)
         packed = (time.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (elements & np.uint64(0xFFFFFFFF))
         np.minimum.at(table, doc * registers + register.astype(np.int64), packed)
@@ -85,7 +83,6 @@ def sketch(doc: np.ndarray, elements: np.ndarray, weights: np.ndarray | None, n_
         limit = np.where(latest == np.uint64(0xFFFFFFFF), np.inf, latest.astype(np.uint32).view(np.float32))
         alive = time < limit[doc]
         doc, elements, time = doc[alive], elements[alive], time[alive]
-        weights = None if weights is None else weights[alive]
     return (table & np.uint64(0xFFFFFFFF)).reshape(n_docs, registers)
 
 
@@ -97,7 +94,7 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def _scan(docs: DataFrame, scans: C.Scans, bands: int, rows: int, weights: str) -> DataFrame:
+def _scan(docs: DataFrame, scans: C.Scans, bands: int, rows: int) -> DataFrame:
     """row, doc_id, k1, k2 (digest of the set), n (its size) and bands of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -109,11 +106,11 @@ def _scan(docs: DataFrame, scans: C.Scans, bands: int, rows: int, weights: str)
             keys = np.zeros((m, bands), np.uint64)
             small: list[tuple] = []
 
-            def put(docs_, elements, counts, ids):
-                regs = sketch(docs_, elements, counts if weights == "count" else None, len(ids), bands * rows)
+            def put(docs_, elements, ids):
+                regs = sketch(docs_, elements, len(ids), bands * rows)
                 keys[ids] = band_keys(regs, bands, rows)
 
-            for a, b, x, counts in shingles(batch.column(1)):
+            for a, b, x in shingles(batch.column(1)):
                 own = (x >> np.uint64(48)).astype(np.int64)
                 elements = C.mix((x & _LOW48) + np.uint64(0x632BE59BD9B4E019))
                 size = np.bincount(own, minlength=b - a)
@@ -128,13 +125,13 @@ def _scan(docs: DataFrame, scans: C.Scans, bands: int, rows: int, weights: str)
                 if len(ids):
                     place = np.zeros(b - a, np.int64)
                     place[ids] = np.arange(len(ids))
-                    put(place[own[large]], elements[large], counts[large].astype(float), ids + a)
+                    put(place[own[large]], elements[large], ids + a)
                 if not large.all():
-                    small.append((own[~large] + a, elements[~large], counts[~large].astype(float)))
+                    small.append((own[~large] + a, elements[~large]))
             if small:
-                own, elements, counts = (np.concatenate(x) for x in zip(*small))
+                own, elements = (np.concatenate(x) for x in zip(*small))
                 ids, place = np.unique(own, return_inverse=True)
-                put(place, elements, counts, ids)
+                put(place, elements, ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array((np.int64(part) << 40) + row + np.arange(m)), batch.column(0), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n), pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))],
                 names=["row", "doc_id", "k1", "k2", "n", "bands"],
@@ -160,7 +157,7 @@ def _sets(docs: DataFrame, scans: C.Scans, wanted: C.Sides) -> DataFrame:
             mine = rows[(rows >= row) & (rows < row + len(batch))] - row
             if len(mine):
                 nodes, sets = [], []
-                for a, b, x, _ in shingles(batch.column(1).take(pa.array(mine))):
+                for a, b, x in shingles(batch.column(1).take(pa.array(mine))):
                     bounds = np.searchsorted(x, np.arange(b - a + 1, dtype=np.uint64) << np.uint64(48))
                     for d in range(b - a):
                         nodes.append(int(mine[a + d]) + row + (part << 40))
@@ -207,15 +204,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "unit") -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """row, doc_id, comp (the class by its first row), class_id, class_size and n_shingles of every document; row is its scan partition and place."""
-    return _classes(C.stable(docs.select("doc_id", "text")), C.Scans(docs.sparkSession, "scans"), similarity, bands, rows, weights)
+    return _classes(C.stable(docs.select("doc_id", "text")), C.Scans(docs.sparkSession, "scans"), similarity, bands, rows)
 
 
-def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "unit") -> DataFrame:
+def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """classes of a stable table."""
     spark = docs.sparkSession
-    scanned = C.written(_scan(docs, scans, bands, rows, weights), "sketches")
+    scanned = C.written(_scan(docs, scans, bands, rows), "sketches")
     full = scanned.where("n > 0")
     nodes = full.groupBy("k1", "k2", "n").agg(F.min("row").alias("node"))
     heads = full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "bands")
