@@ -30,17 +30,26 @@ CHUNK_BYTES = 1 << 19
 BATCH_BYTES = 8 << 20
 
 
+_fallback: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies in `spark.checkpoint.dir`, as the session has it. Only where that is unset (tests, one
-    machine) a temporary folder is made and set for the session.
+    It lies in `spark.checkpoint.dir`, as the session has it. Only where that is unset and everything runs on one
+    machine (tests) a temporary folder is used; on a cluster an unset directory is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="metaweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if sc.applicationId not in _fallback:
+            _fallback[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="metaweave-")
+        root = _fallback[sc.applicationId]
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)  # a path without a scheme is one of the cluster's default file system
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    root = root.replace("file:/", "file:///", 1) if not root.startswith("file://") else root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -48,7 +57,21 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows written as Parquet (with the writer's options) to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the folders of tables made by `written` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._folder)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Into how many partitions rows are dealt where the number has to be stated."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def _release() -> None:
@@ -236,26 +259,28 @@ class Sides:
 
     The table is one that `stable` made, whose partitions are the same each time, so a row is known by
     its partition and its place there; `Scans` proves it. What the operator finds out about rows between two scans is written to the shared
-    folder, a folder a partition, and the task that scans the partition again reads its own
-    folder: texts are never shuffled.
+    folder, sorted by partition and in as many folders as there are tasks; the task that scans a partition again
+    reads its rows from its folder by row group statistics: texts are never shuffled.
     """
 
     ROW_BITS = 40  # row = partition << ROW_BITS | place
 
     def __init__(self, spark: SparkSession, name: str):
-        self.address = shared_dir(spark, name)
+        self.address, self.folders = shared_dir(spark, name), tasks(spark)
 
-    def write(self, rows: DataFrame, tasks: int) -> None:
-        """Rows with a column `part`, and others."""
-        rows.repartition(tasks, "part").sortWithinPartitions("part").write.partitionBy("part").parquet(self.address)
+    def write(self, rows: DataFrame, distinct: bool = False) -> None:
+        """Rows with a column `part`, and others; each once if distinct."""
+        rows = rows.withColumn("folder", F.pmod("part", F.lit(self.folders)).cast("int")).repartition(self.folders, "folder")
+        rows = rows.distinct() if distinct else rows
+        rows.sortWithinPartitions("folder", "part").write.partitionBy("folder").option("parquet.block.size", 4 << 20).parquet(self.address)
 
     def read(self, part: int, columns: list[str]) -> list[np.ndarray] | None:
         """The columns of a partition's rows; None if it has none."""
-        fs, path = pafs.FileSystem.from_uri(f"{self.address}/part={part}")
+        fs, path = pafs.FileSystem.from_uri(f"{self.address}/folder={part % self.folders}")
         if fs.get_file_info(path).type == pafs.FileType.NotFound:
             return None
-        table = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=columns)
-        return [table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in columns]
+        table = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=columns, filter=pads.field("part") == part)
+        return [table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in columns] if len(table) else None
 
 
 def partition_id() -> int:
@@ -272,9 +297,16 @@ def pinned(docs: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rdd, docs._jdf.schema(), False), spark)
 
 
+def _plain(plan) -> bool:
+    """Whether a plan gives the same rows in the same order each time: columns and filters of files, without randomness."""
+    children = plan.children()
+    if plan.nodeName() not in ("Project", "Filter", "LogicalRelation", "SubqueryAlias") or not plan.deterministic():
+        return False
+    return all(_plain(children.apply(i)) for i in range(children.size()))
+
+
 def stable(docs: DataFrame) -> DataFrame:
     """docs with the same rows in the same partitions each time it runs: a plain scan of files, or else a written copy, with pinned partitions."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    if docs.inputFiles() and not any(x in plan for x in ("Exchange", "Join", "Python", "InArrow", "InPandas", "Aggregate", "Sort", "Union")):
+    if docs.inputFiles() and _plain(docs._jdf.queryExecution().optimizedPlan()):
         return pinned(docs)
     return pinned(written(docs, "stable"))

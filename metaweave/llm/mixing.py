@@ -255,7 +255,7 @@ def mixed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, key], names=[*docs_columns, own])
 
     pieces = placed.mapInArrow(C.trimmed(run), StructType(list(docs.schema.fields)).add(own, StructType().add("number", "long").add("at", "long")))
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    tasks = C.tasks(docs.sparkSession)
     # a piece's number among all places is known, so equal ranges of places need no sample of the rows
     ordered = pieces.repartitionById(tasks, F.floor(F.col(f"{own}.number") * tasks / max(1, total)).cast("int")).sortWithinPartitions(f"{own}.number", f"{own}.at")
     return ordered.select(*docs_columns)

@@ -1,22 +1,26 @@
 """Near-duplicate detection by ProbMinHash, banding and exact verification.
 
-Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` with A-Z lower-cased; a document's set is its distinct runs of `SHINGLE`
-words (a text of fewer words, but not none, is one shingle). Two documents are linked if the
-Jaccard similarity of their sets is `SIMILARITY` or more; classes are the connected components.
+Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` with A-Z lower-cased; a document's shingles are its runs of `SHINGLE`
+words (a text of fewer words, but not none, is one shingle), each with its number of occurrences as weight. Two documents
+are linked if the probability Jaccard similarity of their weighted shingles is `SIMILARITY` or more (the Jaccard
+similarity of the sets, where no shingle occurs twice); classes are the connected components.
 
-Sketch: each shingle sends arrivals of a Poisson process of rate 1 (exponential gaps),
+Sketch: each shingle sends arrivals of a Poisson process whose rate is its weight (exponential gaps),
 each to a random register; a register keeps its earliest arrival. A document's rounds end as soon as no shingle can
-still arrive before the latest register. The probability that a register agrees is the
-probability-Jaccard similarity of the weights, which are all 1, since classes are defined on sets: exactly the Jaccard similarity.
-
-Texts with equal sets are one node (128-bit digests of the sets), so copies are never paired. Nodes that share a band of `ROWS` registers are
-candidates: a pair at 0.8 is missed by all `BANDS` bands with a probability of 3e-6. In each band's bucket
-one node, the leader, is compared with the others, exactly, by shingle sets; links make components;
-then buckets that still hold several components get further leaders, from outside their largest one and GROWTH times as many each
-round, until all of their pairs across components are compared. So no bucket is expanded into pairs if it is
-one group, and no pair of a bucket is given up; pairs whose set sizes rule the similarity out are not made. All this is joins and aggregations on node ids,
-in which Spark splits skewed keys; components are found by label propagation with
-pointer jumping, written to the shared folder each round. Sets are extracted, in a second scan, for candidates only.
+still arrive before the latest register. The probability that a register agrees is the probability Jaccard similarity.
+A byte of each of the `REGISTERS` registers is kept.
+
+Texts with equal weighted shingles are one node (128-bit digests), so copies are never paired. Nodes that share a band of `ROWS` registers
+meet in a bucket: a pair at 0.8 shares none of `BANDS` bands with a probability of 5e-6. First each bucket's leader, the node
+with most neighbours, is compared with the others, exactly, by shingles; links make components. Then, in buckets that hold
+several components, every node outside the largest one is compared with all of other components, so no pair that could
+join two components is given up, and none inside a component is looked at. These pairs are not made as rows: blocks of at most
+about `BLOCK` sketches are compared within a task, where a pair counts at its first common band, and only if so many registers agree as a pair at
+0.8 has but with a probability of `MISS`; what passes is compared exactly. If that is much work (over `WORK` comparisons an entry), rounds of
+`LEADERS` nodes of each bucket go before it as long as they join components; they change the work, not the classes.
+
+Components are found by label propagation with pointer jumping, written to the shared folder each round. Shingles
+are extracted, in a second scan, for candidates only. All joins are on node and bucket ids, in which Spark splits skewed keys.
 
 Defined cases: a null or empty text (no words) is a class of its own row; repeated rows are members of one class; rows without a doc_id
 come last in choosing a class id; a class id is the smallest doc_id of the class; an empty table gives no rows. Extra columns are
@@ -25,9 +29,12 @@ kept by `deduplicate`, not read by `classes`.
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,16 +43,20 @@ from metaweave.llm.decontamination import _NORMAL
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 32
-ROWS = 5
-#: Leaders of a bucket grow by this factor each round.
-GROWTH = 4
+BANDS = 40
+ROWS = 6
+REGISTERS = 384
+BLOCK = 512
+MISS = 1e-6
+LEADERS = 8
+WORK = 64
 _NEVER = np.uint64(2**64 - 1)
 _LOW48 = np.uint64((1 << 48) - 1)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(column: pa.Array, n: int = SHINGLE):
-    """Chunk by chunk: first and last text, and the sorted (text, shingle) keys (16 bits the text in the chunk, 48 the shingle)."""
+    """Chunk by chunk: first and last text, the sorted distinct (text, shingle) keys (16 bits the text in the chunk, 48 the shingle) and how often each occurs."""
     data, offsets = C.flat_text(column)
     for a, b in C.chunks(offsets):
         part = _NORMAL[data[offsets[a] : offsets[b]]]
@@ -62,40 +73,70 @@ def shingles(column: pa.Array, n: int = SHINGLE):
                 own.append(short)
         keys = (np.concatenate(own).astype(np.uint64) << np.uint64(48)) | (np.concatenate(hashes) & _LOW48)
         keys.sort()
-        new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-        yield a, b, keys[new]
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        yield a, b, keys[at], np.diff(np.append(at, len(keys)))
 
 
-def sketch(doc: np.ndarray, elements: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
-    """ProbMinHash registers: for each document the 32-bit elements that arrived first."""
+def sketch(doc: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
+    """ProbMinHash registers: for each document the 32-bit elements that arrived first. Elements come by document, all documents have some."""
     table = np.full(n_docs * registers, _NEVER)
-    time = np.zeros(len(elements))
-    round_ = 0
+    time, mean, round_ = np.zeros(len(elements)), 1 / weights, 0
+    step = int(np.clip(registers * n_docs // max(1, len(elements)), 1, 64))  # arrivals looked at before the limits are
     while len(elements):
-        round_ += 1
-        u = C.mix(elements + np.uint64(round_ * 0x9E3779B97F4A7C15 & 2**64 - 1))
-        gap = -np.log1p(-(u >> np.uint64(11)).astype(np.float64) / 2.0**53)
-        time = time + gap
+        turns = np.arange(round_ + 1, round_ + step + 1, dtype=np.uint64) * _GOLDEN
+        round_ += step
+        u = C.mix(elements[:, None] + turns)
+        gaps = -np.log1p(-(u >> np.uint64(11)).astype(np.float64) / 2.0**53) * mean[:, None]
+        times = np.cumsum(np.concatenate([time[:, None], gaps], axis=1), axis=1)[:, 1:]
         register = ((C.mix(u ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)
-        packed = (time.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (elements & np.uint64(0xFFFFFFFF))
-        np.minimum.at(table, doc * registers + register.astype(np.int64), packed)
-        latest = table.reshape(n_docs, registers).max(axis=1) >> np.uint64(32)
-        limit = np.where(latest == np.uint64(0xFFFFFFFF), np.inf, latest.astype(np.uint32).view(np.float32))
+        packed = (times.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (elements & np.uint64(0xFFFFFFFF))[:, None]
+        np.minimum.at(table, ((doc * registers)[:, None] + register.astype(np.int64)).ravel(), packed.ravel())
+        time = times[:, -1]
+        live = doc[np.append(True, doc[1:] != doc[:-1])]
+        latest = table.reshape(n_docs, registers)[live].max(axis=1) >> np.uint64(32)
+        limit = np.zeros(n_docs)
+        limit[live] = np.where(latest == np.uint64(0xFFFFFFFF), np.inf, latest.astype(np.uint32).view(np.float32))
         alive = time < limit[doc]
-        doc, elements, time = doc[alive], elements[alive], time[alive]
+        doc, elements, time, mean = doc[alive], elements[alive], time[alive], mean[alive]
     return (table & np.uint64(0xFFFFFFFF)).reshape(n_docs, registers)
 
 
-def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    x = registers.reshape(len(registers), bands, rows)
-    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), x.shape[:2]).copy()
-    for r in range(rows):
-        key = C.mix(key ^ C.mix(x[:, :, r] + np.uint64(r + 1)))
-    return key
-
-
-def _scan(docs: DataFrame, scans: C.Scans, bands: int, rows: int) -> DataFrame:
-    """row, doc_id, k1, k2 (digest of the set), n (its size) and bands of every document."""
+def band_keys(signs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The buckets of sketches (a byte a register)."""
+    x = signs[:, : bands * rows].reshape(len(signs), bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), x.shape[:2]).copy()
+    for first in range(0, rows, 7):
+        part = np.zeros(x.shape[:2], np.uint64)
+        for r in range(first, min(rows, first + 7)):
+            part = (part << np.uint64(8)) | x[:, :, r]
+        key = C.mix(key * _GOLDEN ^ part)
+    return key.view(np.int64)
+
+
+def least_agreement(similarity: float, registers: int, miss: float = MISS) -> int:
+    """So many equal bytes or more a pair at that similarity has, but with a probability of miss."""
+    p = similarity + (1 - similarity) / 256
+    return max(0, math.floor(registers * p + NormalDist().inv_cdf(miss) * math.sqrt(registers * p * (1 - p))))
+
+
+def probability_jaccard(x: np.ndarray, wx: np.ndarray | None, y: np.ndarray, wy: np.ndarray | None) -> float:
+    """The sum over common elements i of 1 / sum over all j of max(x_j / x_i, y_j / y_i). Elements sorted, each once; no weights are weights of 1."""
+    if wx is None and wy is None:
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return common / (len(both) - common) if len(both) else 0.0
+    wx, wy = (np.ones(len(e)) if w is None else w.astype(float) for e, w in ((x, wx), (y, wy)))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    p, q = wx[i], wy[j]
+    order = np.argsort(-p / q, kind="stable")
+    p, q = p[order], q[order]
+    above, below = wx.sum() - p.sum() + np.cumsum(p), wy.sum() - np.cumsum(q)
+    return float((1 / (above / p + below / q)).sum())
+
+
+def _scan(docs: DataFrame, scans: C.Scans, registers: int) -> DataFrame:
+    """row, doc_id, k1, k2 (digest of the weighted shingles), n (distinct ones) and sketch of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -103,46 +144,59 @@ def _scan(docs: DataFrame, scans: C.Scans, bands: int, rows: int) -> DataFrame:
         for batch in scans.check(batches, 0, 1, first=True):
             m = len(batch)
             n, k1, k2 = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-            keys = np.zeros((m, bands), np.uint64)
+            signs = np.zeros((m, registers), np.uint8)
             small: list[tuple] = []
 
-            def put(docs_, elements, ids):
-                regs = sketch(docs_, elements, len(ids), bands * rows)
-                keys[ids] = band_keys(regs, bands, rows)
-
-            for a, b, x in shingles(batch.column(1)):
+            def put(own, elements, weights):
+                """By sizes: documents of few shingles need more arrivals of each."""
+                size = np.bincount(own, minlength=m)
+                for c in range(int(size.max()).bit_length()):
+                    ids = np.flatnonzero((size >> c) == 1)
+                    most = max(1, (1 << 18) // max(1 << c, registers))
+                    for i in range(0, len(ids), most):
+                        some = ids[i : i + most]
+                        place = np.full(m, -1)
+                        place[some] = np.arange(len(some))
+                        at = place[own] >= 0 if len(some) < len(own) else slice(None)
+                        signs[some] = sketch(place[own[at]], elements[at], weights[at], len(some), registers) & np.uint64(0xFF)
+
+            for a, b, x, counts in shingles(batch.column(1)):
                 own = (x >> np.uint64(48)).astype(np.int64)
                 elements = C.mix((x & _LOW48) + np.uint64(0x632BE59BD9B4E019))
                 size = np.bincount(own, minlength=b - a)
                 n[a:b] = size
                 bounds = np.concatenate([[0], np.cumsum(size)])
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(elements ^ np.uint64(s)), dtype=np.uint64)]) for s in (0x1D8AF066, 0x5851F42D)]
+                weighted = C.mix(elements ^ (counts.astype(np.uint64) * _GOLDEN))
+                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(weighted ^ np.uint64(s)), dtype=np.uint64)]) for s in (0x1D8AF066, 0x5851F42D)]
                 for k, total in zip((k1, k2), sums):
                     k[a:b] = total[bounds[1:]] - total[bounds[:-1]]
-                # documents of few shingles need many rounds: these of the whole batch go together
                 large = (size >= 64)[own]
-                ids = np.flatnonzero(size >= 64)
-                if len(ids):
-                    place = np.zeros(b - a, np.int64)
-                    place[ids] = np.arange(len(ids))
-                    put(place[own[large]], elements[large], ids + a)
+                if large.any():
+                    put(own[large] + a, elements[large], counts[large])
                 if not large.all():
-                    small.append((own[~large] + a, elements[~large]))
+                    small.append((own[~large] + a, elements[~large], counts[~large]))
             if small:
-                own, elements = (np.concatenate(x) for x in zip(*small))
-                ids, place = np.unique(own, return_inverse=True)
-                put(place, elements, ids)
+                put(*(np.concatenate(x) for x in zip(*small)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array((np.int64(part) << 40) + row + np.arange(m)), batch.column(0), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n), pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))],
-                names=["row", "doc_id", "k1", "k2", "n", "bands"],
+                [pa.array((np.int64(part) << 40) + row + np.arange(m)), batch.column(0), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n), _binary(signs)],
+                names=["row", "doc_id", "k1", "k2", "n", "signs"],
             )
             row += m
 
-    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"row long, doc_id {kind}, k1 long, k2 long, n long, bands array<long>")
+    return C.mapped(docs.select("doc_id", "text"), run, f"row long, doc_id {kind}, k1 long, k2 long, n long, signs binary")
+
+
+def _binary(signs: np.ndarray) -> pa.Array:
+    ends = np.arange(len(signs) + 1, dtype=np.int32) * signs.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(signs), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(signs))])
+
+
+def _bytes(column: pa.Array, registers: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, registers)
 
 
 def _sets(docs: DataFrame, scans: C.Scans, wanted: C.Sides) -> DataFrame:
-    """node and shingles (sorted numbers of 8 bytes) of the wanted rows."""
+    """node, its shingles (sorted numbers of 8 bytes) and their weights (4 bytes each; null if all are 1) of the wanted rows."""
 
     def run(batches):
         part, row = C.partition_id(), 0
@@ -156,38 +210,93 @@ def _sets(docs: DataFrame, scans: C.Scans, wanted: C.Sides) -> DataFrame:
         for batch in batches:
             mine = rows[(rows >= row) & (rows < row + len(batch))] - row
             if len(mine):
-                nodes, sets = [], []
-                for a, b, x in shingles(batch.column(1).take(pa.array(mine))):
+                nodes, sets, weights = [], [], []
+                for a, b, x, counts in shingles(batch.column(1).take(pa.array(mine))):
                     bounds = np.searchsorted(x, np.arange(b - a + 1, dtype=np.uint64) << np.uint64(48))
                     for d in range(b - a):
+                        own = slice(bounds[d], bounds[d + 1])
                         nodes.append(int(mine[a + d]) + row + (part << 40))
-                        sets.append((x[bounds[d] : bounds[d + 1]] & _LOW48).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+                        sets.append((x[own] & _LOW48).tobytes())
+                        weights.append(None if (counts[own] == 1).all() else counts[own].astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(weights, pa.binary())], names=["node", "set", "weights"])
             row += len(batch)
 
-    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), "node long, set binary")
+    return C.mapped(docs.select("doc_id", "text"), run, "node long, set binary, weights binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are that similar."""
+    """Of the pairs (a, b) those that are so similar."""
 
     def run(batches):
         for batch in batches:
             ok = []
-            for i in range(len(batch)):
-                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            for x, wx, y, wy in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                wx, wy = (None if w is None else np.frombuffer(w, np.uint32) for w in (wx, wy))
+                ok.append(probability_jaccard(x, wx, y, wy) >= similarity - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(C.trimmed(run), "a long, b long")
+    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y"), F.col("weights").alias("wy")), "b")
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x"), F.col("weights").alias("wx")), "a")
+    return C.mapped(both.select("a", "b", "x", "wx", "y", "wy"), run, "a long, b long")
+
+
+def _buckets(heads: DataFrame, bands: int, rows: int, registers: int) -> DataFrame:
+    """bucket and node for each band."""
+
+    def run(batches):
+        for batch in batches:
+            keys = band_keys(_bytes(batch.column(1), registers), bands, rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], names=["bucket", "node"])
+
+    return C.mapped(heads.select("node", "signs"), run, "bucket long, node long")
+
+
+def _across(open_: DataFrame, signs: DataFrame, leaders: int | None, similarity: float, bands: int, rows: int, registers: int) -> DataFrame:
+    """Pairs of nodes of different components that may be similar: of each bucket all with a node outside its largest component, or with such
+    a node among the first `leaders` by neighbours. open_: bucket, node, comp, size and outside (how many of the bucket, and of these outside), out, rank."""
+    least = least_agreement(similarity, registers)
+    known = open_.join(signs.select("node", "signs"), "node")
+
+    def blocks(of: DataFrame, count: str, name: str) -> DataFrame:
+        place = F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / BLOCK))
+        return of.groupBy("bucket", place.alias("block")).agg(F.collect_list(F.struct("node", "comp", "out", "signs")).alias(name)).select("bucket", name)
+
+    outside = known.where("out") if leaders is None else known.where(F.col("out") & (F.col("rank") <= leaders))
+    both = blocks(outside, "outside", "x").join(blocks(known, "size", "y"), "bucket")
+
+    def run(batches):
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            sides = []
+            for k in (1, 2):
+                lists = batch.column(k)
+                x = lists.flatten()
+                ends = (o := lists.offsets.to_numpy()) - o[0]
+                sides.append((ends, x.field(0).to_numpy(), x.field(1).to_numpy(), x.field(2).to_numpy(zero_copy_only=False), _bytes(x.field(3), registers)))
+            (xe, xn, xc, _, xs), (ye, yn, yc, yo, ys) = sides
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                y = slice(ye[i], ye[i + 1])
+                step = max(1, (1 << 22) // max(1, (ye[i + 1] - ye[i]) * registers))
+                for s in range(xe[i], xe[i + 1], step):
+                    x = slice(s, min(s + step, xe[i + 1]))
+                    same = xs[x, None, :] == ys[None, y, :]
+                    # two nodes outside the largest component meet twice, unless one of them isn't among the leaders
+                    ok = (np.count_nonzero(same, axis=2) >= least) & (xc[x, None] != yc[None, y])
+                    if leaders is None:
+                        ok &= ~yo[None, y] | (xn[x, None] < yn[None, y])
+                    p, q = np.nonzero(ok)
+                    if len(p):
+                        bands_ = same[p, q, : bands * rows].reshape(-1, bands, rows).all(axis=2)
+                        first = bands_.argmax(axis=1)
+                        mine = band_keys(xs[x][p], bands, rows)[np.arange(len(p)), first] == bucket
+                        pair = np.stack([xn[x][p[mine]], yn[y][q[mine]]], axis=1)
+                        found.append(np.sort(pair, axis=1))
+            found = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+    pairs = C.mapped(both, run, "a long, b long")
+    return pairs if leaders is None else pairs.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,62 +308,76 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
         jumped = lower.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp", "left")
-        labels = C.written(jumped.select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
+        last, labels = labels, C.written(jumped.select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
+        C.drop(last)
         if not labels.where("old <> comp").limit(1).count():
-            return labels.select("node", "comp")
+            C.drop(edges)
+            out = labels.select("node", "comp")
+            out._folder = labels._folder
+            return out
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
     """row, doc_id, comp (the class by its first row), class_id, class_size and n_shingles of every document; row is its scan partition and place."""
-    return _classes(C.stable(docs.select("doc_id", "text")), C.Scans(docs.sparkSession, "scans"), similarity, bands, rows)
+    return _classes(C.stable(docs.select("doc_id", "text")), C.Scans(docs.sparkSession, "scans"), similarity, bands, rows, registers)
 
 
-def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
     """classes of a stable table."""
     spark = docs.sparkSession
-    scanned = C.written(_scan(docs, scans, bands, rows), "sketches")
+    scanned = C.written(_scan(docs, scans, registers), "sketches")
     full = scanned.where("n > 0")
-    nodes = full.groupBy("k1", "k2", "n").agg(F.min("row").alias("node"))
-    heads = full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "bands")
-    entries = heads.select("node", "n", F.explode("bands").alias("bucket"))
-    several = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    buckets = C.written(entries.join(several, "bucket").select("bucket", "node", "n"), "buckets")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # copies meet in one row, and already in the tasks that scan them
+    heads = C.written(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("row", "signs")).alias("first")).select("k1", "k2", "n", F.col("first.row").alias("node"), "first.signs"), "heads")
+    entries = _buckets(heads, bands, rows, registers)
+    several = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = C.written(entries.join(several, "bucket").select("bucket", "node", "size"), "buckets")
+    n_entries = buckets.count()
     wanted = C.Sides(spark, "candidates")
-    wanted.write(buckets.select("node").distinct().withColumn("part", F.shiftright("node", 40).cast("int")), tasks)
+    wanted.write(buckets.select("node", F.shiftright("node", 40).cast("int").alias("part")), distinct=True)
     sets = C.written(_sets(docs, scans, wanted), "sets")
-
-    def fits(x: str, y: str) -> Column:
-        """Sets of such sizes can be similar enough: pairs that can't are not made."""
-        return F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6
-
-    # the first node of each bucket is compared with the others
-    first = buckets.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead")).select("bucket", F.col("lead.node").alias("a"), F.col("lead.n").alias("an"))
-    pairs = buckets.join(first, "bucket").where((F.col("a") != F.col("node")) & fits("n", "an")).select("a", F.col("node").alias("b"))
-    links = C.written(_similar(pairs.distinct(), sets, similarity), "links")
+    signs = heads.select("node", "signs")
+
+    # neighbours of a node, counted once a bucket: the one with most is likely to resemble all of a group
+    neighbours = buckets.groupBy("node").agg(F.sum("size").alias("neighbours"))
+    ranked = buckets.join(neighbours, "node")
+    lead = ranked.groupBy("bucket").agg(F.max(F.struct("neighbours", "node")).alias("lead")).select("bucket", F.col("lead.node").alias("leader"))
+    pairs = buckets.join(lead, "bucket").where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+    judged = C.written(pairs.distinct(), "pairs")
+    links = C.written(_similar(judged, sets, similarity), "links")
     labels = components(links)
-    done = C.written(first.select("bucket", F.col("a").alias("node")), "leaders")  # nodes compared with their whole bucket
-    leaders = GROWTH
+    last = False
     while True:
-        now = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("bucket", "node", "n", "comp")
-        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-        largest = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        now = C.written(now.join(largest.select("bucket", "largest"), "bucket"), "open-buckets")
-        # every pair across components has a node outside the largest one: when these are done, all pairs are
-        fresh = now.where("comp <> largest").select("bucket", "node", "n", "comp").join(done, ["bucket", "node"], "left_anti")
-        order = W.partitionBy("bucket").orderBy("node")
-        lead = C.written(fresh.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders).select("bucket", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp")), "leaders")
-        if not lead.limit(1).count():
+        now = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("part"))
+        several = parts.groupBy("bucket").agg(F.max(F.struct("part", "comp")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+        several = C.written(several.select("bucket", F.col("largest.comp").alias("largest"), F.col("largest.part").alias("inside")), "open-buckets")
+        open_ = now.join(several, "bucket").select("bucket", "node", "comp", "size", (F.col("size") - F.col("inside")).alias("outside"), (F.col("comp") != F.col("largest")).alias("out"))
+        work = open_.agg(F.sum(F.when(F.col("out"), F.col("size")))).first()[0] or 0
+        if not work:
             break
-        pairs = now.join(lead, "bucket").where((F.col("comp") != F.col("acomp")) & fits("n", "an")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        found = C.written(_similar(pairs.distinct(), sets, similarity), "links")
-        done = done.unionByName(lead.select("bucket", F.col("a").alias("node")))
-        if found.limit(1).count():
+        last = last or work <= WORK * n_entries
+        if last:
+            open_ = open_.withColumn("rank", F.lit(0))
+        else:
+            order = W.partitionBy("bucket").orderBy(F.col("out").desc(), F.col("neighbours").desc(), "node")
+            open_ = open_.join(neighbours, "node").withColumn("rank", F.row_number().over(order))
+        pairs = _across(open_, signs, None if last else LEADERS, similarity, bands, rows, registers)
+        fresh = C.written(pairs.join(judged, ["a", "b"], "left_anti"), "pairs")
+        found = C.written(_similar(fresh, sets, similarity), "links")
+        some = bool(found.limit(1).count())
+        if some:
             links = links.unionByName(found)
+            C.drop(labels)
             labels = components(links)
-        leaders *= GROWTH
-    member = full.join(nodes, ["k1", "k2", "n"]).join(labels, "node", "left").select("row", "doc_id", "n", F.coalesce("comp", "node").alias("comp"))
+        if last:
+            break
+        judged, last = judged.unionByName(fresh), not some
+    C.drop(buckets, sets)
+    nodes = heads.select("k1", "k2", "n", "node").join(labels, "node", "left").select("k1", "k2", "n", F.coalesce("comp", "node").alias("comp"))
+    member = full.select("row", "doc_id", "k1", "k2", "n").join(nodes, ["k1", "k2", "n"]).select("row", "doc_id", "n", "comp")
     member = C.written(member.unionByName(scanned.where("n = 0").select("row", "doc_id", "n", F.col("row").alias("comp"))), "members")
+    C.drop(scanned, heads, labels)
     named = member.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return member.join(named, "comp").select("row", "doc_id", "comp", "class_id", "class_size", F.col("n").alias("n_shingles"))
 
@@ -268,8 +391,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     many = found.where("class_size > 1")
     best = many.groupBy("comp").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
     drop = C.Sides(docs.sparkSession, "dropped")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
-    drop.write(many.join(best, "row", "left_anti").select("part", "row"), tasks)
+    drop.write(many.join(best, "row", "left_anti").select("part", "row"))
 
     def run(batches):
         part, row = C.partition_id(), 0

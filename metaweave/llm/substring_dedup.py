@@ -104,12 +104,11 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
 
     found = C.written(texts.mapInArrow(C.trimmed(find), "fp long, row long, block long"), "anchors")
     total = found.count()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    shards = max(4 * tasks, -(-total // SHARD_ANCHORS))
+    shards = max(4 * C.tasks(spark), -(-total // SHARD_ANCHORS))
     # any one place of an anchor names its shard, as long as anchors that occur together mostly agree: the one of the smallest hash
     again = found.groupBy("fp").agg(F.min(F.xxhash64("row", "block")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", F.pmod("first", F.lit(shards)).cast("int").alias("shard"))
     routes = C.Sides(spark, "routes")
-    routes.write(found.join(again, "fp").select("fp", "shard", F.shiftright("row", C.Sides.ROW_BITS).cast("int").alias("part"), F.col("row").bitwiseAND(F.lit((1 << C.Sides.ROW_BITS) - 1)).alias("place")).distinct(), tasks)
+    routes.write(found.join(again, "fp").select("fp", "shard", F.shiftright("row", C.Sides.ROW_BITS).cast("int").alias("part"), F.col("row").bitwiseAND(F.lit((1 << C.Sides.ROW_BITS) - 1)).alias("place")), distinct=True)
 
     names = ["shard", "phase", "doc_id", "part", "place", "start", "words"]
 
@@ -200,7 +199,7 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*out)) or [[]] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["part", "place", "from", "to"])
 
     covered = C.Sides(spark, "covered")
-    covered.write(sorted_.mapInArrow(C.trimmed(match), "part int, place long, `from` long, `to` long"), tasks)
+    covered.write(sorted_.mapInArrow(C.trimmed(match), "part int, place long, `from` long, `to` long"))
     return covered
 
 

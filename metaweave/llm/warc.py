@@ -229,9 +229,8 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
                         rows, size = [], 0
                 yield table(rows)
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # rows must lie in the shared folder before they are read twice: files are parsed once
-    rows = C.written(manifest.select("file").repartition(tasks).mapInArrow(C.trimmed(run), _OUT), "warc-records")
+    rows = C.written(manifest.select("file").repartition(C.tasks(spark)).mapInArrow(C.trimmed(run), _OUT), "warc-records")
 
     def join(batches):
         for batch in batches:

@@ -23,6 +23,31 @@ def lower(text):
     return WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
+def weighted(text):
+    w = lower(text)
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def similarity(x, y):
+    """Probability Jaccard, by its definition; of sets it is their Jaccard similarity."""
+    if max(x.values()) == max(y.values()) == 1:
+        return len(x.keys() & y.keys()) / len(x.keys() | y.keys())
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+def near_labels(texts):
+    """For each text the first of its class."""
+    bags = [weighted(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(bags[i].keys() & bags[j].keys())
+            if common and (bags[i] == bags[j] or common > 5 or len(bags[i]) < 8) and similarity(bags[i], bags[j]) >= 0.8 - 1e-9:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
 def rows(spark, name, folder):
     return [r.asDict() for r in registry.QUERIES[name](spark, folder).collect()]
 
@@ -174,13 +199,7 @@ def test_token_counts_of_odd_texts(text):
 
 
 def test_near_dedup(spark, tables, docs):
-    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := lower(t)) else frozenset() for _, t, _ in docs]
-    label = list(range(len(docs)))
-    for i in range(len(docs)):
-        for j in range(i):
-            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = label[i], label[j]
-                label = [min(a, b) if x in (a, b) else x for x in label]
+    label = near_labels([t for _, t, _ in docs])
     smallest = {}
     for (d, *_), x in zip(docs, label):
         smallest[x] = min(d, smallest.get(x, d))

@@ -53,9 +53,3 @@ def test_many_short_rows_in_a_partition(spark, tmp_path):
     assert docs.rdd.getNumPartitions() == 1
     got = substring_dedup.annotate(docs).where("n_words > 0").orderBy("doc_id").collect()
     assert [(r["doc_id"], r["n_words"], r["n_removed"]) for r in got] == [(1, 25, 0), (2, 25, 25)]
-
-
-def test_no_weights_that_are_not_judged(spark, tables):
-    """Pairs are judged by sets, so weights by number of occurrences can't be asked for."""
-    with pytest.raises(TypeError):
-        near_dedup.classes(common.read_table(spark, tables, "documents"), weights="count")

@@ -8,7 +8,7 @@ import numpy as np
 import corpus_pipeline
 from metaweave.llm import common, feistel, mixing, token_shards
 
-from .test_operators import TOKEN, lower, rows
+from .test_operators import TOKEN, near_labels, rows
 
 
 def test_shard_files_hold_the_ids(spark, tables, docs, tmp_path):
@@ -34,13 +34,7 @@ def test_shard_files_hold_the_ids(spark, tables, docs, tmp_path):
 def test_run_is_its_stages(spark, tables, docs):
     gone = {r["doc_id"] for r in rows(spark, "op4_toxicity", tables) if r["predicted"]}
     left = [(d, t) for d, t, _ in docs if d not in gone]
-    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := lower(t)) else frozenset() for _, t in left]
-    label = list(range(len(left)))
-    for i in range(len(left)):
-        for j in range(i):
-            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = label[i], label[j]
-                label = [min(a, b) if x in (a, b) else x for x in label]
+    label = near_labels([t for _, t in left])
     first = {}
     for (d, _), x in zip(left, label):
         first[x] = min(d, first.get(x, d))
