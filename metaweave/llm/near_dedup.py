@@ -15,8 +15,8 @@ meet in a bucket: a pair at 0.8 shares none of `BANDS` bands with a probability
 with most neighbours, is compared with the others, exactly, by shingles; links make components. Then, in buckets that hold
 several components, every node outside the largest one is compared with all of other components, so no pair that could
 join two components is given up, and none inside a component is looked at. These pairs are not made as rows: blocks of at most
-about `BLOCK` sketches are compared within a task, where a pair counts at its first common band, and only if so many registers agree as a pair at
-0.8 has but with a probability of `MISS`; what passes is compared exactly. If that is much work (over `WORK` comparisons an entry), rounds of
+about `BLOCK` nodes and `BLOCK_BYTES` are compared within a task, where a pair counts at its first common band, and only if so many registers agree as a pair at
+0.8 has but with a probability of `MISS`; what passes is compared exactly, there too. If that is much work (over `WORK` comparisons an entry), rounds of
 `LEADERS` nodes of each bucket go before it as long as they join components; they change the work, not the classes.
 
 Components are found by label propagation with pointer jumping, written to the shared folder each round. Shingles
@@ -47,6 +47,7 @@ BANDS = 40
 ROWS = 6
 REGISTERS = 384
 BLOCK = 512
+BLOCK_BYTES = 4 << 20
 MISS = 1e-6
 LEADERS = 8
 WORK = 64
@@ -229,11 +230,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, wx, y, wy in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                wx, wy = (None if w is None else np.frombuffer(w, np.uint32) for w in (wx, wy))
-                ok.append(probability_jaccard(x, wx, y, wy) >= similarity - 1e-9)
+            ok = [_alike(batch.columns[2:4], i, batch.columns[4:6], i, similarity) for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y"), F.col("weights").alias("wy")), "b")
@@ -252,51 +249,57 @@ def _buckets(heads: DataFrame, bands: int, rows: int, registers: int) -> DataFra
     return C.mapped(heads.select("node", "signs"), run, "bucket long, node long")
 
 
-def _across(open_: DataFrame, signs: DataFrame, leaders: int | None, similarity: float, bands: int, rows: int, registers: int) -> DataFrame:
-    """Pairs of nodes of different components that may be similar: of each bucket all with a node outside its largest component, or with such
-    a node among the first `leaders` by neighbours. open_: bucket, node, comp, size and outside (how many of the bucket, and of these outside), out, rank."""
+def _across(open_: DataFrame, heads: DataFrame, sets: DataFrame, leaders: int | None, similarity: float, bands: int, rows: int, registers: int) -> DataFrame:
+    """Links between nodes of different components: of each bucket all pairs with a node outside its largest component are looked at, or with such
+    a node among the first `leaders` by neighbours. open_: bucket, node, comp, out, rank, and size, outside, bytes, outside_bytes of the bucket (and of these outside)."""
     least = least_agreement(similarity, registers)
-    known = open_.join(signs.select("node", "signs"), "node")
+    known = open_.join(heads.select("node", "signs"), "node").join(sets, "node")
 
-    def blocks(of: DataFrame, count: str, name: str) -> DataFrame:
-        place = F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / BLOCK))
-        return of.groupBy("bucket", place.alias("block")).agg(F.collect_list(F.struct("node", "comp", "out", "signs")).alias(name)).select("bucket", name)
+    def blocks(of: DataFrame, count: str, weight: str, name: str) -> DataFrame:
+        n = F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(weight) / BLOCK_BYTES))
+        place = F.pmod(F.xxhash64("node"), n)
+        return of.groupBy("bucket", place.alias("block")).agg(F.collect_list(F.struct("node", "comp", "out", "signs", "set", "weights")).alias(name)).select("bucket", name)
 
     outside = known.where("out") if leaders is None else known.where(F.col("out") & (F.col("rank") <= leaders))
-    both = blocks(outside, "outside", "x").join(blocks(known, "size", "y"), "bucket")
+    both = blocks(outside, "outside", "outside_bytes", "x").join(blocks(known, "size", "bytes", "y"), "bucket")
 
     def run(batches):
         for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
+            found: list[tuple[int, int]] = []
             sides = []
             for k in (1, 2):
                 lists = batch.column(k)
                 x = lists.flatten()
                 ends = (o := lists.offsets.to_numpy()) - o[0]
-                sides.append((ends, x.field(0).to_numpy(), x.field(1).to_numpy(), x.field(2).to_numpy(zero_copy_only=False), _bytes(x.field(3), registers)))
-            (xe, xn, xc, _, xs), (ye, yn, yc, yo, ys) = sides
+                sides.append((ends, x.field(0).to_numpy(), x.field(1).to_numpy(), x.field(2).to_numpy(zero_copy_only=False), _bytes(x.field(3), registers), x.field(4), x.field(5)))
+            (xe, xn, xc, _, xs, *xsets), (ye, yn, yc, yo, ys, *ysets) = sides
             for i, bucket in enumerate(batch.column(0).to_pylist()):
                 y = slice(ye[i], ye[i + 1])
                 step = max(1, (1 << 22) // max(1, (ye[i + 1] - ye[i]) * registers))
                 for s in range(xe[i], xe[i + 1], step):
                     x = slice(s, min(s + step, xe[i + 1]))
                     same = xs[x, None, :] == ys[None, y, :]
-                    # two nodes outside the largest component meet twice, unless one of them isn't among the leaders
                     ok = (np.count_nonzero(same, axis=2) >= least) & (xc[x, None] != yc[None, y])
-                    if leaders is None:
+                    if leaders is None:  # two nodes outside the largest component meet twice
                         ok &= ~yo[None, y] | (xn[x, None] < yn[None, y])
                     p, q = np.nonzero(ok)
                     if len(p):
-                        bands_ = same[p, q, : bands * rows].reshape(-1, bands, rows).all(axis=2)
-                        first = bands_.argmax(axis=1)
+                        first = same[p, q, : bands * rows].reshape(-1, bands, rows).all(axis=2).argmax(axis=1)
                         mine = band_keys(xs[x][p], bands, rows)[np.arange(len(p)), first] == bucket
-                        pair = np.stack([xn[x][p[mine]], yn[y][q[mine]]], axis=1)
-                        found.append(np.sort(pair, axis=1))
-            found = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+                        for j, k in zip((p[mine] + s).tolist(), (q[mine] + ye[i]).tolist()):
+                            if _alike(xsets, j, ysets, k, similarity):
+                                found.append((xn[j], yn[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    pairs = C.mapped(both, run, "a long, b long")
-    return pairs if leaders is None else pairs.distinct()
+    return C.mapped(both, run, "a long, b long")
+
+
+def _alike(xs: list[pa.Array], i: int, ys: list[pa.Array], j: int, similarity: float) -> bool:
+    """Whether the weighted sets (columns set and weights) at i and j are that similar."""
+    (x, wx), (y, wy) = [[column[k].as_buffer() for column in side] for side, k in ((xs, i), (ys, j))]
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    wx, wy = (None if w is None else np.frombuffer(w, np.uint32) for w in (wx, wy))
+    return probability_jaccard(x, wx, y, wy) >= similarity - 1e-9
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -331,28 +334,28 @@ def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
     heads = C.written(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("row", "signs")).alias("first")).select("k1", "k2", "n", F.col("first.row").alias("node"), "first.signs"), "heads")
     entries = _buckets(heads, bands, rows, registers)
     several = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = C.written(entries.join(several, "bucket").select("bucket", "node", "size"), "buckets")
+    # what a node takes in a block: its set, weights and sketch
+    takes = heads.select("node", (12 * F.col("n") + registers + 32).alias("bytes"))
+    buckets = C.written(entries.join(several, "bucket").join(takes, "node").select("bucket", "node", "size", "bytes"), "buckets")
     n_entries = buckets.count()
     wanted = C.Sides(spark, "candidates")
     wanted.write(buckets.select("node", F.shiftright("node", 40).cast("int").alias("part")), distinct=True)
     sets = C.written(_sets(docs, scans, wanted), "sets")
-    signs = heads.select("node", "signs")
 
     # neighbours of a node, counted once a bucket: the one with most is likely to resemble all of a group
     neighbours = buckets.groupBy("node").agg(F.sum("size").alias("neighbours"))
     ranked = buckets.join(neighbours, "node")
     lead = ranked.groupBy("bucket").agg(F.max(F.struct("neighbours", "node")).alias("lead")).select("bucket", F.col("lead.node").alias("leader"))
     pairs = buckets.join(lead, "bucket").where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-    judged = C.written(pairs.distinct(), "pairs")
-    links = C.written(_similar(judged, sets, similarity), "links")
+    links = C.written(_similar(pairs.distinct(), sets, similarity), "links")
     labels = components(links)
     last = False
     while True:
         now = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("part"))
-        several = parts.groupBy("bucket").agg(F.max(F.struct("part", "comp")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        several = C.written(several.select("bucket", F.col("largest.comp").alias("largest"), F.col("largest.part").alias("inside")), "open-buckets")
-        open_ = now.join(several, "bucket").select("bucket", "node", "comp", "size", (F.col("size") - F.col("inside")).alias("outside"), (F.col("comp") != F.col("largest")).alias("out"))
+        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("part"), F.sum("bytes").alias("bytes"))
+        several = parts.groupBy("bucket").agg(F.max(F.struct("part", "comp", "bytes")).alias("l"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1")
+        several = C.written(several.select("bucket", F.col("l.comp").alias("largest"), F.col("l.part").alias("inside"), "bytes", (F.col("bytes") - F.col("l.bytes")).alias("outside_bytes")), "open-buckets")
+        open_ = now.drop("bytes").join(several, "bucket").select("bucket", "node", "comp", "size", "bytes", "outside_bytes", (F.col("size") - F.col("inside")).alias("outside"), (F.col("comp") != F.col("largest")).alias("out"))
         work = open_.agg(F.sum(F.when(F.col("out"), F.col("size")))).first()[0] or 0
         if not work:
             break
@@ -362,9 +365,7 @@ def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
         else:
             order = W.partitionBy("bucket").orderBy(F.col("out").desc(), F.col("neighbours").desc(), "node")
             open_ = open_.join(neighbours, "node").withColumn("rank", F.row_number().over(order))
-        pairs = _across(open_, signs, None if last else LEADERS, similarity, bands, rows, registers)
-        fresh = C.written(pairs.join(judged, ["a", "b"], "left_anti"), "pairs")
-        found = C.written(_similar(fresh, sets, similarity), "links")
+        found = C.written(_across(open_, heads, sets, None if last else LEADERS, similarity, bands, rows, registers), "links")
         some = bool(found.limit(1).count())
         if some:
             links = links.unionByName(found)
@@ -372,13 +373,13 @@ def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
             labels = components(links)
         if last:
             break
-        judged, last = judged.unionByName(fresh), not some
+        last = not some
     C.drop(buckets, sets)
     nodes = heads.select("k1", "k2", "n", "node").join(labels, "node", "left").select("k1", "k2", "n", F.coalesce("comp", "node").alias("comp"))
     member = full.select("row", "doc_id", "k1", "k2", "n").join(nodes, ["k1", "k2", "n"]).select("row", "doc_id", "n", "comp")
     member = C.written(member.unionByName(scanned.where("n = 0").select("row", "doc_id", "n", F.col("row").alias("comp"))), "members")
     C.drop(scanned, heads, labels)
-    named = member.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    named = C.written(member.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "named")
     return member.join(named, "comp").select("row", "doc_id", "comp", "class_id", "class_size", F.col("n").alias("n_shingles"))
 
 
