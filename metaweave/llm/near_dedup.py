@@ -15,8 +15,8 @@ meet in a bucket: a pair at 0.8 shares none of `BANDS` bands with a probability
 with most neighbours, is compared with the others, exactly, by shingles; links make components. Then, in buckets that hold
 several components, every node outside the largest one is compared with all of other components, so no pair that could
 join two components is given up, and none inside a component is looked at. These pairs are not made as rows: blocks of at most
-about `BLOCK` nodes and `BLOCK_BYTES` are compared within a task, where a pair counts at its first common band, and only if so many registers agree as a pair at
-0.8 has but with a probability of `MISS`; what passes is compared exactly, there too. If that is much work (over `WORK` comparisons an entry), rounds of
+about `BLOCK` nodes are compared within a task, where a pair counts at its first common band, and only if so many registers, of its sketches and of `FINE` further
+ones, agree as a pair at 0.8 has but with a probability of `MISS`; what passes is compared exactly. If that is much work (over `WORK` comparisons an entry), rounds of
 `LEADERS` nodes of each bucket go before it as long as they join components; they change the work, not the classes.
 
 Components are found by label propagation with pointer jumping, written to the shared folder each round. Shingles
@@ -46,8 +46,9 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 6
 REGISTERS = 384
+#: More registers of the nodes that are compared in blocks.
+FINE = 1024
 BLOCK = 512
-BLOCK_BYTES = 4 << 20
 MISS = 1e-6
 LEADERS = 8
 WORK = 64
@@ -102,6 +103,22 @@ def sketch(doc: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_docs: i
     return (table & np.uint64(0xFFFFFFFF)).reshape(n_docs, registers)
 
 
+def signs_of(own: np.ndarray, elements: np.ndarray, weights: np.ndarray, m: int, registers: int) -> np.ndarray:
+    """Sketches, a byte a register, of m documents (0 where one has no elements); elements come by document."""
+    out = np.zeros((m, registers), np.uint8)
+    size = np.bincount(own, minlength=m)
+    for c in range(int(size.max(initial=0)).bit_length()):  # by size: documents of few shingles need more arrivals of each
+        ids = np.flatnonzero((size >> c) == 1)
+        most = max(1, (1 << 18) // max(1 << c, registers))
+        for i in range(0, len(ids), most):
+            some = ids[i : i + most]
+            place = np.full(m, -1)
+            place[some] = np.arange(len(some))
+            at = place[own] >= 0
+            out[some] = sketch(place[own[at]], elements[at], weights[at], len(some), registers) & np.uint64(0xFF)
+    return out
+
+
 def band_keys(signs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """The buckets of sketches (a byte a register)."""
     x = signs[:, : bands * rows].reshape(len(signs), bands, rows)
@@ -148,19 +165,6 @@ def _scan(docs: DataFrame, scans: C.Scans, registers: int) -> DataFrame:
             signs = np.zeros((m, registers), np.uint8)
             small: list[tuple] = []
 
-            def put(own, elements, weights):
-                """By sizes: documents of few shingles need more arrivals of each."""
-                size = np.bincount(own, minlength=m)
-                for c in range(int(size.max()).bit_length()):
-                    ids = np.flatnonzero((size >> c) == 1)
-                    most = max(1, (1 << 18) // max(1 << c, registers))
-                    for i in range(0, len(ids), most):
-                        some = ids[i : i + most]
-                        place = np.full(m, -1)
-                        place[some] = np.arange(len(some))
-                        at = place[own] >= 0 if len(some) < len(own) else slice(None)
-                        signs[some] = sketch(place[own[at]], elements[at], weights[at], len(some), registers) & np.uint64(0xFF)
-
             for a, b, x, counts in shingles(batch.column(1)):
                 own = (x >> np.uint64(48)).astype(np.int64)
                 elements = C.mix((x & _LOW48) + np.uint64(0x632BE59BD9B4E019))
@@ -173,11 +177,13 @@ def _scan(docs: DataFrame, scans: C.Scans, registers: int) -> DataFrame:
                     k[a:b] = total[bounds[1:]] - total[bounds[:-1]]
                 large = (size >= 64)[own]
                 if large.any():
-                    put(own[large] + a, elements[large], counts[large])
+                    signs[a:b] = signs_of(own[large], elements[large], counts[large], b - a, registers)
                 if not large.all():
                     small.append((own[~large] + a, elements[~large], counts[~large]))
             if small:
-                put(*(np.concatenate(x) for x in zip(*small)))
+                own, elements, counts = (np.concatenate(x) for x in zip(*small))
+                ids, place = np.unique(own, return_inverse=True)
+                signs[ids] = signs_of(place, elements, counts, len(ids), registers)
             yield pa.RecordBatch.from_arrays(
                 [pa.array((np.int64(part) << 40) + row + np.arange(m)), batch.column(0), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n), _binary(signs)],
                 names=["row", "doc_id", "k1", "k2", "n", "signs"],
@@ -249,33 +255,48 @@ def _buckets(heads: DataFrame, bands: int, rows: int, registers: int) -> DataFra
     return C.mapped(heads.select("node", "signs"), run, "bucket long, node long")
 
 
-def _across(open_: DataFrame, heads: DataFrame, sets: DataFrame, leaders: int | None, similarity: float, bands: int, rows: int, registers: int) -> DataFrame:
-    """Links between nodes of different components: of each bucket all pairs with a node outside its largest component are looked at, or with such
-    a node among the first `leaders` by neighbours. open_: bucket, node, comp, out, rank, and size, outside, bytes, outside_bytes of the bucket (and of these outside)."""
-    least = least_agreement(similarity, registers)
-    known = open_.join(heads.select("node", "signs"), "node").join(sets, "node")
+def _fine(sets: DataFrame, wanted: DataFrame, registers: int) -> DataFrame:
+    """node and a second, finer sketch of the wanted nodes."""
+
+    def run(batches):
+        for batch in batches:
+            x = [np.frombuffer(v, np.uint64) for v in batch.column(1).to_pylist()]
+            w = [np.ones(len(e), np.int64) if v is None else np.frombuffer(v, np.uint32).astype(np.int64) for e, v in zip(x, batch.column(2).to_pylist())]
+            sizes = [len(e) for e in x]
+            elements = C.mix(np.concatenate(x) + np.uint64(0x9FB21C651E98DF25)) if x else np.zeros(0, np.uint64)
+            signs = signs_of(np.repeat(np.arange(len(x)), sizes), elements, np.concatenate(w) if w else np.zeros(0), len(x), registers)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(signs)], names=["node", "fine"])
+
+    return C.mapped(sets.join(wanted, "node", "left_semi").select("node", "set", "weights"), run, "node long, fine binary")
+
+
+def _across(open_: DataFrame, heads: DataFrame, fine: DataFrame, leaders: int | None, similarity: float, bands: int, rows: int, registers: int) -> DataFrame:
+    """Pairs of nodes of different components that may be similar: of each bucket all pairs with a node outside its largest component are looked at, or with such
+    a node among the first `leaders` by neighbours. open_: bucket, node, comp, out, rank, and size and outside (how many of the bucket, and of these outside)."""
+    width = registers + FINE
+    least = least_agreement(similarity, width)
+    known = open_.join(heads.select("node", "signs"), "node").join(fine, "node").withColumn("signs", F.concat("signs", "fine"))
 
-    def blocks(of: DataFrame, count: str, weight: str, name: str) -> DataFrame:
-        n = F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(weight) / BLOCK_BYTES))
-        place = F.pmod(F.xxhash64("node"), n)
-        return of.groupBy("bucket", place.alias("block")).agg(F.collect_list(F.struct("node", "comp", "out", "signs", "set", "weights")).alias(name)).select("bucket", name)
+    def blocks(of: DataFrame, count: str, name: str) -> DataFrame:
+        place = F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / BLOCK))
+        return of.groupBy("bucket", place.alias("block")).agg(F.collect_list(F.struct("node", "comp", "out", "signs")).alias(name)).select("bucket", name)
 
     outside = known.where("out") if leaders is None else known.where(F.col("out") & (F.col("rank") <= leaders))
-    both = blocks(outside, "outside", "outside_bytes", "x").join(blocks(known, "size", "bytes", "y"), "bucket")
+    both = blocks(outside, "outside", "x").join(blocks(known, "size", "y"), "bucket")
 
     def run(batches):
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            found = [np.zeros((0, 2), np.int64)]
             sides = []
             for k in (1, 2):
                 lists = batch.column(k)
                 x = lists.flatten()
                 ends = (o := lists.offsets.to_numpy()) - o[0]
-                sides.append((ends, x.field(0).to_numpy(), x.field(1).to_numpy(), x.field(2).to_numpy(zero_copy_only=False), _bytes(x.field(3), registers), x.field(4), x.field(5)))
-            (xe, xn, xc, _, xs, *xsets), (ye, yn, yc, yo, ys, *ysets) = sides
+                sides.append((ends, x.field(0).to_numpy(), x.field(1).to_numpy(), x.field(2).to_numpy(zero_copy_only=False), _bytes(x.field(3), width)))
+            (xe, xn, xc, _, xs), (ye, yn, yc, yo, ys) = sides
             for i, bucket in enumerate(batch.column(0).to_pylist()):
                 y = slice(ye[i], ye[i + 1])
-                step = max(1, (1 << 22) // max(1, (ye[i + 1] - ye[i]) * registers))
+                step = max(1, (1 << 22) // max(1, (ye[i + 1] - ye[i]) * width))
                 for s in range(xe[i], xe[i + 1], step):
                     x = slice(s, min(s + step, xe[i + 1]))
                     same = xs[x, None, :] == ys[None, y, :]
@@ -286,12 +307,12 @@ def _across(open_: DataFrame, heads: DataFrame, sets: DataFrame, leaders: int |
                     if len(p):
                         first = same[p, q, : bands * rows].reshape(-1, bands, rows).all(axis=2).argmax(axis=1)
                         mine = band_keys(xs[x][p], bands, rows)[np.arange(len(p)), first] == bucket
-                        for j, k in zip((p[mine] + s).tolist(), (q[mine] + ye[i]).tolist()):
-                            if _alike(xsets, j, ysets, k, similarity):
-                                found.append((xn[j], yn[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                        found.append(np.sort(np.stack([xn[x][p[mine]], yn[y][q[mine]]], axis=1), axis=1))
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], names=["a", "b"])
 
-    return C.mapped(both, run, "a long, b long")
+    pairs = C.mapped(both, run, "a long, b long")
+    return pairs if leaders is None else pairs.distinct()
 
 
 def _alike(xs: list[pa.Array], i: int, ys: list[pa.Array], j: int, similarity: float) -> bool:
@@ -334,9 +355,7 @@ def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
     heads = C.written(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("row", "signs")).alias("first")).select("k1", "k2", "n", F.col("first.row").alias("node"), "first.signs"), "heads")
     entries = _buckets(heads, bands, rows, registers)
     several = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    # what a node takes in a block: its set, weights and sketch
-    takes = heads.select("node", (12 * F.col("n") + registers + 32).alias("bytes"))
-    buckets = C.written(entries.join(several, "bucket").join(takes, "node").select("bucket", "node", "size", "bytes"), "buckets")
+    buckets = C.written(entries.join(several, "bucket").select("bucket", "node", "size"), "buckets")
     n_entries = buckets.count()
     wanted = C.Sides(spark, "candidates")
     wanted.write(buckets.select("node", F.shiftright("node", 40).cast("int").alias("part")), distinct=True)
@@ -349,13 +368,13 @@ def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
     pairs = buckets.join(lead, "bucket").where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
     links = C.written(_similar(pairs.distinct(), sets, similarity), "links")
     labels = components(links)
-    last = False
+    last, fine = False, None
     while True:
         now = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("part"), F.sum("bytes").alias("bytes"))
-        several = parts.groupBy("bucket").agg(F.max(F.struct("part", "comp", "bytes")).alias("l"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1")
-        several = C.written(several.select("bucket", F.col("l.comp").alias("largest"), F.col("l.part").alias("inside"), "bytes", (F.col("bytes") - F.col("l.bytes")).alias("outside_bytes")), "open-buckets")
-        open_ = now.drop("bytes").join(several, "bucket").select("bucket", "node", "comp", "size", "bytes", "outside_bytes", (F.col("size") - F.col("inside")).alias("outside"), (F.col("comp") != F.col("largest")).alias("out"))
+        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("part"))
+        several = parts.groupBy("bucket").agg(F.max(F.struct("part", "comp")).alias("l"), F.count("*").alias("parts")).where("parts > 1")
+        several = C.written(several.select("bucket", F.col("l.comp").alias("largest"), F.col("l.part").alias("inside")), "open-buckets")
+        open_ = now.join(several, "bucket").select("bucket", "node", "comp", "size", (F.col("size") - F.col("inside")).alias("outside"), (F.col("comp") != F.col("largest")).alias("out"))
         work = open_.agg(F.sum(F.when(F.col("out"), F.col("size")))).first()[0] or 0
         if not work:
             break
@@ -365,7 +384,10 @@ def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
         else:
             order = W.partitionBy("bucket").orderBy(F.col("out").desc(), F.col("neighbours").desc(), "node")
             open_ = open_.join(neighbours, "node").withColumn("rank", F.row_number().over(order))
-        found = C.written(_across(open_, heads, sets, None if last else LEADERS, similarity, bands, rows, registers), "links")
+        if fine is None:  # buckets that are open later are open now
+            fine = C.written(_fine(sets, open_.select("node"), FINE), "fine-sketches")
+        pairs = C.written(_across(open_, heads, fine, None if last else LEADERS, similarity, bands, rows, registers), "pairs")
+        found = C.written(_similar(pairs, sets, similarity), "links")
         some = bool(found.limit(1).count())
         if some:
             links = links.unionByName(found)
