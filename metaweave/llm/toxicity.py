@@ -30,13 +30,18 @@ BITS = 20
 FEATURES = 4_096
 MAX_LABELLED = 10_000
 THRESHOLD = 0.3
-TASKS = 12
-
-#: Lower case of characters up to U+024F whose lower case is one such character.
-_LOWER = np.arange(0x250, dtype=np.uint32)
-for _c in range(0x250):
+TASKS = 24
+#: Counts are summed in 2^SLICE_BITS slices of the buckets.
+SLICE_BITS = 5
+SLICES = 1 << SLICE_BITS
+#: Entries of the training matrix that are worked on at once.
+ENTRIES = 1 << 18
+
+#: Lower case of the characters of the basic plane whose lower case is one such character.
+_LOWER = np.arange(0x10000, dtype=np.uint32)
+for _c in range(0x10000):
     _l = chr(_c).lower()
-    if len(_l) == 1 and ord(_l) < 0x250:
+    if len(_l) == 1 and ord(_l) < 0x10000:
         _LOWER[_c] = ord(_l)
 
 
@@ -60,7 +65,7 @@ def _grams(chars: np.ndarray, offsets: np.ndarray):
 
 def _chars(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    small = chars < 0x250
+    small = chars < 0x10000
     chars[small] = _LOWER[chars[small]]
     starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     return chars, starts[offsets]
@@ -103,11 +108,17 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.n
     """Weights and bias that minimise the summed log loss + l2/2 |w|^2, by L-BFGS; the matrix is given by its entries."""
     n, memory = len(y), 8
 
+    parts = [slice(i, i + ENTRIES) for i in range(0, len(rows), ENTRIES)]
+
     def loss(w):
-        z = np.bincount(rows, values * w[cols], n) + w[width]
+        z = np.full(n, w[width])
+        for part in parts:
+            z += np.bincount(rows[part], values[part] * w[cols[part]], n)
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         e = p - y
-        grad = np.append(np.bincount(cols, values * e[rows], width) + l2 * w[:width], e.sum())
+        grad = np.append(l2 * w[:width], e.sum())
+        for part in parts:
+            grad[:width] += np.bincount(cols[part], values[part] * e[rows[part]], width)
         return float(np.logaddexp(0, z).sum() - (y * z).sum() + l2 / 2 * (w[:width] ** 2).sum()), grad
 
     w = np.zeros(width + 1)
@@ -162,17 +173,24 @@ def train(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None,
             y = batch.column(0).to_numpy(zero_copy_only=False)
             docs, feats = features(batch.column(1), None)
             for label in (0, 1):
-                sums[label] += np.bincount(feats[y[docs] == label], minlength=1 << BITS).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+                np.add.at(sums[label], feats[y[docs] == label], 1)
+        parts = sums.reshape(2, SLICES, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([parts[:, i].tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "sums"])
+
+    def total(batches):
+        for batch in batches:
+            sums = [sum((np.frombuffer(x, np.int32).astype(np.int64) for x in own), np.zeros(2 << BITS >> SLICE_BITS, np.int64)) for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sums], pa.binary())], names=["slice", "sums"])
 
-    counts = np.zeros((2, 1 << BITS), np.int64)
-    for r in rows.mapInArrow(C.trimmed(count), "sums binary").toLocalIterator():  # TASKS arrays of a fixed size
-        counts += np.frombuffer(r[0], np.int32).reshape(2, -1)
+    # TASKS arrays of a fixed size are summed by slices of the buckets, and fetched once
+    sliced = C.mapped(rows, count, "slice long, sums binary").groupBy("slice").agg(F.collect_list("sums").alias("all")).mapInArrow(C.trimmed(total), "slice long, sums binary")
+    counts = np.concatenate([np.frombuffer(r[1], np.int64).reshape(2, -1) for r in sorted(sliced.collect())], axis=1)
     smooth = counts + 1.0
     ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
     sure = np.abs(ratio) / np.sqrt(1 / smooth[0] + 1 / smooth[1])
     sure[counts.sum(axis=0) < 2] = 0
     best = np.argsort(-sure, kind="stable")[: min(n_features, int((sure > 0).sum()))]
+    del counts, smooth, sure
     table[best] = np.arange(1, len(best) + 1)
     values = np.append(0.0, ratio[best])
 
@@ -183,13 +201,16 @@ def train(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None,
             lists = [feats[a:b].astype(np.uint16).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], names=["y", "f"])
 
-    sample = sorted((r[1], r[0]) for r in rows.mapInArrow(C.trimmed(extract), "y int, f binary").collect())  # bounded by max_labelled and n_features
-    lists = [np.frombuffer(f, np.uint16).astype(np.int64) for f, _ in sample]
-    y = np.array([label for _, label in sample], float)
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    cols = np.concatenate(lists)
-    weights, bias = fit_logistic(owner, cols, values[cols], y, len(values))
-    return Model(table, weights * values, bias)
+    sample = sorted((r[1], r[0]) for r in C.mapped(rows, extract, "y int, f binary").collect())  # bounded by max_labelled and n_features
+    y = np.array([label for _, label in sample], np.float64)
+    owner = np.repeat(np.arange(len(sample), dtype=np.int32), [len(f) // 2 for f, _ in sample])
+    cols = np.frombuffer(b"".join(f for f, _ in sample), np.uint16).astype(np.int32)
+    del sample
+    weights, bias = fit_logistic(owner, cols, values[cols].astype(np.float32), y, len(values))
+    model = Model(table, weights * values, bias)
+    del owner, cols
+    C._release()  # the driver, too, gives its memory back before the next stage
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -202,7 +223,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(C.trimmed(run), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return C.mapped(kept, run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def remove(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -213,7 +234,7 @@ def remove(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(C.trimmed(run), docs.schema)
+    return C.mapped(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
