@@ -7,7 +7,8 @@ the vocabulary counts its UTF-8 bytes). Counts of pre-tokens are kept in a bound
 
 Where the rank belongs to one piece and every piece made from that one ranks later, all its places in a sequence are merged in
 the round, from the left without overlap; at other ranks (ties) only the leftmost is. Both give the
-library's order of merges.
+library's order of merges. A pre-token of over `LONG` characters would need nearly as many rounds as it has characters, so its
+pairs wait in a heap by rank and place, which gives the same order.
 
 Pre-tokens start at a space that follows another character. No merge crosses such a place if no
 piece has a space after another character, which is checked when the model is read; else a whole
@@ -19,6 +20,7 @@ library has it. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -33,6 +35,8 @@ SPACE = "▁"
 LIMIT = 4096
 #: Pre-tokens whose counts a worker keeps.
 KEPT = 300_000
+#: Pre-tokens of more characters are merged one by one.
+LONG = 512
 _NONE = np.int32(2**31 - 1)
 
 
@@ -118,9 +122,17 @@ class MergeModel:
         self.safe = np.append(safe, False)
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.known: dict[str, int] = {}
+        self.merges: dict[int, tuple[int, int]] = {}
 
     def count(self, pretokens: list[str]) -> np.ndarray:
         """Symbols that are left of each pre-token (with its spaces as SPACE)."""
+        long = [i for i, p in enumerate(pretokens) if len(p) > LONG]
+        if long:
+            rest = [i for i, p in enumerate(pretokens) if len(p) <= LONG]
+            counts = np.zeros(len(pretokens), np.int64)
+            counts[rest] = self.count([pretokens[i] for i in rest])
+            counts[long] = [self.count_long(pretokens[i]) for i in long]
+            return counts
         counts = np.zeros(len(pretokens), np.int64)
         size = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
         text = np.frombuffer("".join(pretokens).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -160,6 +172,36 @@ class MergeModel:
             ids, owner = ids[keep], owner[keep]
         return counts
 
+    def count_long(self, text: str) -> int:
+        """As count, for one pre-token of any length: in a round nearly all of its symbols would stay as they are, so its pairs wait in a heap instead."""
+        if not self.merges:
+            self.merges = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.result.tolist())}
+        get = self.merges.get
+        ids = [self.symbols.get(c, -1) for c in text]
+        count = sum(len(c.encode("utf-8", "surrogatepass")) for c, i in zip(text, ids) if i < 0)
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+        for i in range(n - 1):
+            if ids[i] >= 0 and ids[i + 1] >= 0 and (hit := get(ids[i] << 32 | ids[i + 1])):
+                heap.append((hit[0], i, ids[i], ids[i + 1], hit[1]))
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = made, -2
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if ids[k] >= 0 and (hit := get(made << 32 | ids[k])):
+                    heapq.heappush(heap, (hit[0], i, made, ids[k], hit[1]))
+            k = before[i]
+            if k >= 0 and ids[k] >= 0 and (hit := get(ids[k] << 32 | made)):
+                heapq.heappush(heap, (hit[0], k, ids[k], made, hit[1]))
+        return count + sum(int(self.cost[i]) for i in ids if i >= 0)
+
     def pretokens(self, text: str) -> list[str]:
         """Pieces that merge on their own. The first space of each is left out."""
         text = text.replace(SPACE, " ")
@@ -215,7 +257,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT)
                 [batch.column(0), pa.array(np.diff(offsets)), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
 
-    return kept.mapInArrow(C.trimmed(run), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return C.mapped(kept, run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
