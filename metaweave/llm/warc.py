@@ -1,22 +1,24 @@
 """WARC archives: writing pages as records, and reading them back with segment reassembly.
 
-Writing: each task writes .warc.gz files (a gzip member a record) of about `FILE_BYTES` to a shared
+Writing: a first scan takes the payloads' digests, and rows whose payload another row has too are decided on as narrow rows; in a
+second scan each task writes its pages as .warc.gz files (a gzip member a record) of about `FILE_BYTES` to a shared
 folder, each under a temporary name first and renamed when whole, so a repeated or lost task leaves
-no half file; a manifest written as Parquet names the files that count. A payload goes into an
+no half file; a manifest written as Parquet names the files that count, with their numbers of records. A payload goes into an
 HTTP response with chunked transfer framing; content blocks over `SEGMENT_BYTES` are cut into
 segments (a first record and `continuation` records with the origin's id, their segment numbers and, on
 the last, the total length). A payload of `DEDUP_BYTES` or more that another page of larger page_id
-has too becomes a `revisit` that refers to that page's response.
+has too becomes a `revisit` that refers to that page's response. Pages are never shuffled.
 
 Reading: files are dealt out to tasks and parsed record by record; whole records are decoded in
 place, only segments are shuffled. These are grouped by origin id and split by the origin's hash, put in order by segment
 number, checked against the total length, joined, and their chunked framing is decoded. Revisits
-get the full payload's length from the response that they name.
+get the full payload's length and page_id from the response that they name.
 
 Defined cases: a null html is an empty payload; null urls give the target URI "urn:none"; the response of equal
-payloads is the row with the largest page_id (null lowest); of rows that also share that page_id the first by url and row
-hash; repeated rows are records of their own. An empty table gives no files and no rows. Missing, repeated or
-inconsistent segments raise an error that names the origin. Extra columns are not read.
+payloads is the row with the largest page_id (null lowest), of several with it the last in the table, so there is one response whatever rows
+are repeated; repeated rows are records of their own. A null page_id stays null, ids of any type keep it. An empty table gives no files and no rows. Missing, repeated or
+inconsistent segments, files with other numbers of records than the manifest says, payloads without the digest that
+they declare and revisits without their response raise an error that names the record. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -134,25 +138,42 @@ class Store:
                 raise ValueError(f"{name} ends within a record")
 
 
-def _payload() -> F.Column:
-    return F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
+def _revisits(pages: DataFrame, scans: C.Scans) -> C.Sides:
+    """For each partition of a stable table its rows (place) whose payload another row has too, and the response that they revisit (its row)."""
+    kind = pages.schema["page_id"].dataType.simpleString()
 
-
-def plan(pages: DataFrame) -> DataFrame:
-    """The pages with their digest and, where an equal payload stands elsewhere, the response's key. A key is (page_id, row hash)."""
-    rows = pages.select("page_id", "url", "html").withColumns({"digest": F.sha1(_payload()), "n": F.octet_length(_payload()).cast("long"), "row": F.xxhash64("page_id", "url")})
-    # counts of copies shrink within each task before they meet; only payloads with several pages are joined back
-    best = rows.where(F.col("n") >= DEDUP_BYTES).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("best"), F.count("*").alias("copies")).where("copies > 1").select("digest", "best")
-    return rows.join(best, "digest", "left")
+    def run(batches):
+        part, row = C.partition_id(), 0
+        for batch in scans.check(batches, 0, 2, first=True):
+            data, offsets = C.flat_text(batch.column(2))
+            long = np.flatnonzero(np.diff(offsets) >= DEDUP_BYTES)
+            raw = memoryview(data)
+            digests = [hashlib.sha1(raw[offsets[i] : offsets[i + 1]]).digest() for i in long]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0).take(pa.array(long)), pa.array((np.int64(part) << C.Sides.ROW_BITS) + row + long)], names=["digest", "page_id", "row"])
+            row += len(batch)
+
+    rows = C.written(C.mapped(pages, run, f"digest binary, page_id {kind}, row long"), "warc-payloads")
+    # counts of copies shrink within each task before they meet; only payloads with several rows are joined back
+    best = rows.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("best"), F.count("*").alias("copies")).where("copies > 1")
+    best = C.written(best.select("digest", F.col("best.row").alias("response")), "warc-responses")
+    sides = C.Sides(pages.sparkSession, "warc-revisits")
+    place = F.col("row").bitwiseAND(F.lit((1 << C.Sides.ROW_BITS) - 1)).alias("place")
+    sides.write(rows.join(best, "digest").where("row <> response").select(F.shiftright("row", C.Sides.ROW_BITS).cast("int").alias("part"), place, "response"))
+    C.drop(rows, best)
+    return sides
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Write the pages as archives; returns the manifest (file, records)."""
+    """Write the pages (page_id, url, html) as archives; returns the manifest (file, records)."""
+    pages, scans = C.stable(pages.select("page_id", "url", "html")), C.Scans(pages.sparkSession, "scans")
+    sides = _revisits(pages, scans)
 
     def run(batches):
         store, parts, size, n = Store(folder), [], 0, 0
-        done = []
+        done, part, first = [], C.partition_id(), 0
         run_id = uuid.uuid4().hex
+        side = sides.read(part, ["place", "response"])
+        again = dict(zip(*(x.tolist() for x in side))) if side is not None else {}
 
         def flush():
             nonlocal parts, size, n
@@ -162,19 +183,19 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                 done.append((name, n))
             parts, size, n = [], 0, 0
 
-        for batch in batches:
-            cols = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
-            for i in range(len(batch)):
-                page, url, row, digest, html, best = (cols[k][i].as_py() for k in ("page_id", "url", "row", "digest", "html", "best"))
-                record_id = f"urn:page:{page}:{row}"
-                fields = [("WARC-Target-URI", (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", str(page))]
-                if best is not None and (best["page_id"], best["row"]) != (page, row):
-                    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{best['page_id']}:{best['row']}>")]
-                    out = [record("revisit", record_id, fields, b"")]
+        for batch in scans.check(batches, 0, 2):
+            for i, (page, url, html) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                payload = (html or "").encode()
+                row = (part << C.Sides.ROW_BITS) + first + i
+                fields = [("WARC-Target-URI", (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}")]
+                if page is not None:
+                    fields.append(("X-Page-Id", quote(str(page), safe="")))
+                if (response := again.get(first + i)) is not None:
+                    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:row:{response}>")]
+                    out = [record("revisit", f"urn:row:{row}", fields, b"")]
                 else:
-                    unique = f"{record_id}:{uuid.uuid4().hex}"  # the origin of segments must be this record's alone
-                    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + encode_chunked((html or "").encode())
-                    out = list(response_records(unique, fields, block))
+                    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + encode_chunked(payload)
+                    out = list(response_records(f"urn:row:{row}", fields, block))
                 for x in out:
                     zipped = zlib.compressobj(1, zlib.DEFLATED, 31)
                     parts += [zipped.compress(x) + zipped.flush()]
@@ -182,10 +203,11 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     n += 1
                 if size >= FILE_BYTES:
                     flush()
+            first += len(batch)
         flush()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["file", "records"])
 
-    return C.written(plan(pages).select("page_id", "url", "row", "digest", "html", "best").mapInArrow(C.trimmed(run), "file string, records long"), "warc-manifest")
+    return C.written(C.mapped(pages, run, "file string, records long"), "warc-manifest")
 
 
 _OUT = "page_id string, payload_bytes long, payload_digest string, declared string, record_type string, refers_to string, record string, origin string, segment long, total long, part binary"
@@ -199,8 +221,8 @@ def _resolved(page: str, payload: bytes, declared: str, record_id: str) -> tuple
     return page, len(payload), digest, declared, "response", None, record_id, None, None, None, None
 
 
-def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every record."""
+def read(spark: SparkSession, manifest: DataFrame, folder: str, kind: str = "string") -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every record; kind is the type of page ids."""
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
@@ -209,9 +231,10 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         store = Store(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                rows, size = [], 0
+            for name, expected in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                rows, size, n = [], 0, 0
                 for head, block in store.records(name):
+                    n += 1
                     get = lambda k: head[k].decode() if k in head else None  # noqa: E731, B023
                     record_id, kind = get(b"warc-record-id"), get(b"warc-type")
                     if kind == "continuation" or b"warc-segment-number" in head:
@@ -227,10 +250,12 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
                     if len(rows) >= 2000 or size > 8 << 20:
                         yield table(rows)
                         rows, size = [], 0
+                if n != expected:
+                    raise ValueError(f"{name} holds {n} records, not {expected}")
                 yield table(rows)
 
     # rows must lie in the shared folder before they are read twice: files are parsed once
-    rows = C.written(manifest.select("file").repartition(C.tasks(spark)).mapInArrow(C.trimmed(run), _OUT), "warc-records")
+    rows = C.written(manifest.select("file", "records").repartition(C.tasks(spark)).mapInArrow(C.trimmed(run), _OUT), "warc-records")
 
     def join(batches):
         for batch in batches:
@@ -246,25 +271,27 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
 
     # a group is the segments of one record, and so as large as one page
     segments = rows.where("record_type = 'segment'").groupBy("origin").agg(F.collect_list(F.struct("segment", "total", "part", "page_id", "declared")).alias("parts"))
-    joined = C.written(segments.mapInArrow(C.trimmed(join), _OUT), "warc-joined")
+    joined = C.written(C.mapped(segments, join, _OUT), "warc-joined")
     responses = rows.where("record_type = 'response'").unionByName(joined)
-    known = responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
-    revisits = rows.where("record_type = 'revisit'").join(known, "payload_digest").withColumn("payload_bytes", F.col("full")).drop("full")
-    return responses.unionByName(revisits).select(
-        F.expr("try_cast(page_id AS BIGINT)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(split(refers_to, ':')[2] AS BIGINT)").alias("refers_to")
-    )
+    # a revisit names its response, which must be there and have the payload that the revisit declares
+    known = responses.select(F.col("record").alias("refers_to"), F.col("payload_bytes").alias("full"), F.col("payload_digest").alias("true"), F.col("page_id").alias("response"))
+    revisits = rows.where("record_type = 'revisit'").join(known, "refers_to", "left")
+    lost = F.raise_error(F.concat(F.lit("revisit "), F.col("record"), F.lit(": its response "), F.coalesce("refers_to", F.lit("none")), F.lit(" isn't there or has another payload"))).cast("long")
+    revisits = revisits.withColumn("payload_bytes", F.when(F.col("true") == F.col("payload_digest"), F.col("full")).otherwise(lost)).withColumn("refers_to", F.col("response")).drop("full", "true", "response")
+    ids = [F.url_decode(c).cast(kind).alias(c) for c in ("page_id", "refers_to")]
+    return responses.unionByName(revisits).select(ids[0], "payload_bytes", "payload_digest", "record_type", ids[1])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = C.shared_dir(spark, "warc")
-    return read(spark, write(C.read_table(spark, sf_dir, "pages"), folder), folder)
+    folder, pages = C.shared_dir(spark, "warc"), C.read_table(spark, sf_dir, "pages")
+    return read(spark, write(pages, folder), folder, pages.schema["page_id"].dataType.simpleString())
 
 
 SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-b AS (SELECT payload_digest, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
-  CASE WHEN best IS NULL OR best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN best IS NULL OR best = page_id THEN NULL ELSE best END AS refers_to
-FROM p LEFT JOIN b USING (payload_digest)
+b AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS nth, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND nth > 1 THEN best END AS refers_to
+FROM b
 """
