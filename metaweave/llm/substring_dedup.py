@@ -14,6 +14,8 @@ can repeat are sent, each to the one shard that can hold its earlier copies:
    sketch, filled from the spans' windows beforehand, tells windows that occur once from those that can
    repeat; only the latter are matched, and added to the automaton where the match is shorter than the
    window. Memory is bound by the distinct repeated windows of a shard, however many documents share them.
+   An anchor that occurs over `HOT` times would bring all its copies to one task: windows with such an anchor
+   are sent as hashes (128 bits) instead, their first places found by an aggregation that begins where they are, and the others joined with these.
 4. Scan: the covered words are taken out.
 
 Texts are never shuffled and no shard is sent to all tasks: routing takes the place of the broadcast. Words are compared by 64-bit
@@ -41,6 +43,9 @@ GRAM = 6
 BLOCK = 256
 SHARD_ANCHORS = 50_000
 SKETCH_BITS = 24
+#: An anchor with more occurrences is common; its windows don't go to a shard.
+HOT = 4096
+_HOT = -1
 _IS_WORD = C.word_table(C.SPACES)
 _MAX = np.uint64(2**64 - 1)
 
@@ -55,17 +60,21 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return x
 
 
+def minima(hashes: np.ndarray, doc: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams, and for every window the smallest of its grams (0 where it lies in two texts)."""
+    g = C.hash_grams(hashes, gram)
+    g = np.where(doc[: len(g)] == doc[gram - 1 :], np.clip(g, np.uint64(1), _MAX - np.uint64(1)), _MAX)
+    low = _sliding(g, window - gram + 1, np.minimum)
+    return g, np.where(doc[: len(low)] == doc[window - 1 :], low, np.uint64(0))
+
+
 def anchors(hashes: np.ndarray, doc: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the grams that are the smallest of some window."""
     if len(hashes) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    g = C.hash_grams(hashes, gram)
-    g = np.where(doc[: len(g)] == doc[gram - 1 :], np.minimum(g, _MAX - np.uint64(1)), _MAX)
-    width = window - gram + 1
-    low = _sliding(g, width, np.minimum)
-    low = np.where(doc[: len(low)] == doc[window - 1 :], low, np.uint64(0))
-    pad = np.zeros(width - 1, np.uint64)
-    high = _sliding(np.concatenate([pad, low, pad]), width, np.maximum)
+    g, low = minima(hashes, doc, window, gram)
+    pad = np.zeros(window - gram, np.uint64)
+    high = _sliding(np.concatenate([pad, low, pad]), window - gram + 1, np.maximum)
     at = np.flatnonzero((high == g) & (high > 0))
     return at, g[at]
 
@@ -90,11 +99,11 @@ def _key(place: np.ndarray, fp: np.ndarray) -> np.ndarray:
 def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int = GRAM) -> C.Sides:
     """For each scan partition of a stable table the covered word ranges of its rows (place, from, to)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("doc_id").alias("own"))
+    texts, kind = docs.select("doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
 
     def find(batches):
         part, row = C.partition_id(), 0
-        for batch in scans.check(batches, 2, 1, first=True):
+        for batch in scans.check(batches, 0, 1, first=True):
             for a, b, data, starts, ends, bounds in _Texts(batch.column(1)):
                 doc = C.owners(bounds)
                 at, fp = anchors(C.hash_words(data, starts, ends), doc, window, gram)
@@ -102,27 +111,39 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
                 yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(line), pa.array((at - bounds[doc[at]]) // BLOCK)], names=["fp", "row", "block"])
             row += len(batch)
 
-    found = C.written(texts.mapInArrow(C.trimmed(find), "fp long, row long, block long"), "anchors")
+    found = C.written(C.mapped(texts, find, "fp long, row long, block long"), "anchors")
     total = found.count()
     shards = max(4 * C.tasks(spark), -(-total // SHARD_ANCHORS))
     # any one place of an anchor names its shard, as long as anchors that occur together mostly agree: the one of the smallest hash
-    again = found.groupBy("fp").agg(F.min(F.xxhash64("row", "block")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", F.pmod("first", F.lit(shards)).cast("int").alias("shard"))
+    again = found.groupBy("fp").agg(F.min(F.xxhash64("row", "block")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = C.written(again.select("fp", F.when(F.col("n") > HOT, F.lit(_HOT)).otherwise(F.pmod("first", F.lit(shards))).cast("int").alias("shard")), "repeated-anchors")
     routes = C.Sides(spark, "routes")
+    # rows that are the same go after the shuffle by partition, so that Spark can split the join where an anchor is common
     routes.write(found.join(again, "fp").select("fp", "shard", F.shiftright("row", C.Sides.ROW_BITS).cast("int").alias("part"), F.col("row").bitwiseAND(F.lit((1 << C.Sides.ROW_BITS) - 1)).alias("place")), distinct=True)
+    common = bool(again.where(F.col("shard") == _HOT).limit(1).count())
+    C.drop(found, again)
+
+    def routed(part: int):
+        """Sorted keys of a partition's rows and anchors, and their shards."""
+        side = routes.read(part, ["place", "fp", "shard"])
+        if side is None:
+            return None
+        keys = _key(side[0], side[1].view(np.uint64))
+        order = np.argsort(keys)
+        return keys[order], side[2][order]
+
+    def unread(batches):
+        for _ in batches:  # all the same: rows of another partition may have come here
+            pass
 
     names = ["shard", "phase", "doc_id", "part", "place", "start", "words"]
 
     def send(batches):
         part, row = C.partition_id(), 0
-        batches = scans.check(batches, 2, 1)
-        side = routes.read(part, ["place", "fp", "shard"])
+        batches, side = scans.check(batches, 0, 1), routed(part)
         if side is None:
-            for _ in batches:  # all the same: rows of another partition may have come here
-                pass
-            return
-        keys = _key(side[0], side[1].view(np.uint64))
-        order = np.argsort(keys)
-        keys, shard_of = keys[order], side[2][order]
+            return unread(batches)
+        keys, shard_of = side
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for a, b, data, starts, ends, bounds in _Texts(batch.column(1)):
@@ -133,7 +154,7 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
                     continue
                 key = _key(row + a + doc[at], fp)
                 j = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[j] == key
+                hit = (keys[j] == key) & (shard_of[j] != _HOT)
                 at, shard = at[hit], shard_of[j[hit]]
                 if not len(at):
                     continue
@@ -153,10 +174,31 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
                     for phase, blob in ((0, wide[x : y - window + 1].astype(np.uint32).tobytes()), (1, hashes[x:y].tobytes())):
                         for col, v in zip(rows, (int(shard[s]), phase, ids[a + k], part, row + a + k, x - int(bounds[k]), blob)):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int32(), batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=names)
+            row += len(batch)
+
+    def send_windows(batches):
+        """The windows whose anchors are common: place, start and 128 bits of hash."""
+        part, row = C.partition_id(), 0
+        batches, side = scans.check(batches, 0, 1), routed(part)
+        if side is None:
+            return unread(batches)
+        keys = side[0][side[1] == _HOT]
+        for batch in batches:
+            for a, b, data, starts, ends, bounds in _Texts(batch.column(1)):
+                doc = C.owners(bounds)
+                if len(doc) < window or not len(keys):
+                    continue
+                hashes = C.hash_words(data, starts, ends)
+                low = minima(hashes, doc, window, gram)[1]
+                key = _key(row + a + doc[: len(low)], low)
+                at = np.flatnonzero((keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key) & (low > 0))
+                h1, h2 = C.hash_grams(hashes, window)[at], C.hash_grams(C.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)), window)[at]
+                out = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(pa.array(a + doc[at])), pa.array((np.int64(part) << C.Sides.ROW_BITS) + row + a + doc[at]), pa.array(at - bounds[doc[at]])]
+                yield pa.RecordBatch.from_arrays(out, names=["h1", "h2", "doc_id", "row", "start"])
             row += len(batch)
 
-    spans = texts.mapInArrow(C.trimmed(send), "shard int, phase int, doc_id long, part int, place long, start long, words binary")
+    spans = C.mapped(texts, send, f"shard int, phase int, doc_id {kind}, part int, place long, start long, words binary")
     sorted_ = spans.repartition("shard").sortWithinPartitions("shard", "phase", "doc_id", "part", "place", "start")
 
     def match(batches):
@@ -198,8 +240,16 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
                     out.append((part, place, start + first, start + ends))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*out)) or [[]] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["part", "place", "from", "to"])
 
+    cover = C.mapped(sorted_, match, "part int, place long, `from` long, `to` long")
+    if common:
+        windows = C.written(C.mapped(texts, send_windows, f"h1 long, h2 long, doc_id {kind}, row long, start long"), "common-windows")
+        first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
+        first = C.written(first.select("h1", "h2", F.col("f.row").alias("r"), F.col("f.start").alias("s")), "first-windows")
+        later = windows.join(first, ["h1", "h2"]).where("row <> r OR start <> s")
+        place = F.col("row").bitwiseAND(F.lit((1 << C.Sides.ROW_BITS) - 1)).alias("place")
+        cover = cover.unionByName(later.select(F.shiftright("row", C.Sides.ROW_BITS).cast("int").alias("part"), place, F.col("start").alias("from"), (F.col("start") + window).alias("to")))
     covered = C.Sides(spark, "covered")
-    covered.write(sorted_.mapInArrow(C.trimmed(match), "part int, place long, `from` long, `to` long"))
+    covered.write(cover)
     return covered
 
 
@@ -255,7 +305,7 @@ def annotate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
             none = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n or none)), pa.array(np.concatenate(gone or none).astype(np.int64)), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return docs.mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    return C.mapped(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -276,7 +326,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(C.trimmed(run), docs.schema)
+    return C.mapped(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
