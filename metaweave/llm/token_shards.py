@@ -128,7 +128,9 @@ def materialise(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_shard:
 
     numbered = encoded.join(F.broadcast(base), "part").select((F.col("base") + F.col("place")).alias("number"), "part", "place", "first_doc", "n_tokens", "ids")
     dealt = numbered.mapInArrow(C.trimmed(place), "shard long, slot long, part long, place long, first_doc string, n_tokens long, ids binary")
-    dealt = dealt.repartition(max(1, min(shards, MAX_TASKS)), "shard").sortWithinPartitions("shard", "slot")
+    # ranges of shards of equal length; a task writes its shards one after the other
+    tasks = max(1, min(shards, MAX_TASKS))
+    dealt = dealt.repartitionById(tasks, F.floor(F.col("shard") * tasks / max(1, shards)).cast("int")).sortWithinPartitions("shard", "slot")
     names = ["slot", "shard", "byte_offset", "part", "place", "first_doc", "n_tokens", "sha256"]
     kinds = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.string()]
 
