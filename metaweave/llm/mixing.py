@@ -11,7 +11,7 @@ shuffles the blocks within a shard. All of this is closed form: a worker finds t
 block of a document from the plan alone.
 
 Bounds: the plan has one entry per source and shard and is made on the driver for at most
-`MAX_SOURCES` sources (more raise an error; nothing is dropped). Above 5e8 blocks, blocks are made longer.
+`MAX_SOURCES` sources (more raise an error; nothing is dropped).
 Streams are numbered in parallel: documents are dealt out by source and hash bucket, so a source
 with a third of all rows is spread over `BUCKETS` groups.
 
@@ -23,6 +23,7 @@ size (rows equal in these are interchangeable); an empty table gives no rows. A
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,30 @@ def targets(sizes: list[int], weights: list[float], budget: float, most: float =
     return out
 
 
+def _drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are good. Beyond the generator's range, where a count's relative error is below 1e-9 either way, by the normal law of the same mean and variance, rounded."""
+    total = good + bad
+    if n == 0 or good == 0:
+        return 0
+    if max(good, bad) < 10**9:
+        return int(rng.hypergeometric(good, bad, n))
+    mean = n * (good / total)
+    spread = math.sqrt(max(0.0, mean * (bad / total) * ((total - n) / max(1, total - 1))))
+    return min(max(round(rng.normal(mean, spread)), n - bad, 0), good, n)
+
+
+def _multivariate(rng: np.random.Generator, have: np.ndarray, n: int) -> np.ndarray:
+    """A multivariate hypergeometric draw of n, source by source."""
+    if len(have) == 0 or int(have.sum()) < 10**9:
+        return rng.multivariate_hypergeometric(have, n, method="marginals") if len(have) else have
+    out, left = np.zeros_like(have), int(have.sum())
+    for i, k in enumerate(have.tolist()):
+        left -= k
+        out[i] = _drawn(rng, k, left, n)
+        n -= int(out[i])
+    return out
+
+
 def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """Exact block counts, one row per shard, by the splitting tree; shard totals differ by one at most."""
     total = int(quotas.sum())
@@ -77,7 +102,7 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
             out[a] = have
             continue
         mid = (a + b) // 2
-        left = rng.multivariate_hypergeometric(have, sum(room[a:mid]), method="marginals") if len(have) else have
+        left = _multivariate(rng, have, sum(room[a:mid]))
         todo += [(a, mid, left), (mid, b, have - left)]
     return out
 
@@ -88,7 +113,7 @@ class Plan:
     def __init__(self, sources: list[str], sizes: list[int], weights: tuple = WEIGHTS, epochs: float = EPOCHS, most: float = MOST, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED):
         self.seed, self.shards, self.sizes = seed, shards, sizes
         self.targets = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], epochs * sum(sizes), most)
-        self.block = max(block_words, -(-int(epochs * sum(sizes)) // 500_000_000))
+        self.block = block_words
         self.number = {s: i for i, s in enumerate(sources)}
         self.n_blocks, self.passes, self.ranks, self.cut = [], [], [], []
         for size, target in zip(sizes, self.targets):
@@ -201,7 +226,7 @@ def digest(docs: DataFrame) -> DataFrame:
             sha = [hashlib.sha256(parts[i:j].tobytes()).hexdigest() for i, j in zip((ends - n).tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).field("size"), *(pa.array(x) for x in (total, target, taken, n)), pa.array(sha, pa.string())], names=["doc_id", "size", "source_size", "target", "taken", "n_pieces", "pieces_sha256"])
 
-    return placed.mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, source_size long, target double, taken long, n_pieces long, pieces_sha256 string")
+    return C.mapped(placed, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, source_size long, target double, taken long, n_pieces long, pieces_sha256 string")
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -214,7 +239,7 @@ def manifest(docs: DataFrame) -> DataFrame:
             for _, rows, (doc, nth, lo, hi, shard, place) in _by_source(plan.value, batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[doc])), *(pa.array(x.astype(np.int64)) for x in (nth, lo, hi, shard, place))], names=["doc_id", "pass", "from", "to", "shard", "place"])
 
-    return placed.mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pass long, `from` long, `to` long, shard long, place long")
+    return C.mapped(placed, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pass long, `from` long, `to` long, shard long, place long")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -254,7 +279,7 @@ def mixed(docs: DataFrame) -> DataFrame:
             key = pa.StructArray.from_arrays([pa.array(parts[:, 4]), pa.array(first[parts[:, 0]] + parts[:, 2])], names=["number", "at"])
             yield pa.RecordBatch.from_arrays([*columns, key], names=[*docs_columns, own])
 
-    pieces = placed.mapInArrow(C.trimmed(run), StructType(list(docs.schema.fields)).add(own, StructType().add("number", "long").add("at", "long")))
+    pieces = C.mapped(placed, run, StructType(list(docs.schema.fields)).add(own, StructType().add("number", "long").add("at", "long")))
     tasks = C.tasks(docs.sparkSession)
     # a piece's number among all places is known, so equal ranges of places need no sample of the rows
     ordered = pieces.repartitionById(tasks, F.floor(F.col(f"{own}.number") * tasks / max(1, total)).cast("int")).sortWithinPartitions(f"{own}.number", f"{own}.at")
