@@ -178,6 +178,22 @@ def test_substring_dedup(spark, tables, docs):
     assert [r for r in got if r[0] != 203] == [r for r in want if r[0] != 203] and sum(r[2] for r in want) > 500
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_common_anchors(spark, tables, docs, monkeypatch, hot):
+    """Windows with common anchors are found by their hashes, with the same result."""
+    source = common.read_table(spark, tables, "documents").where("doc_id <> 203")
+    want = sorted(map(str, substring_dedup.annotate(source).collect()))
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    assert sorted(map(str, substring_dedup.annotate(source).collect())) == want
+
+
+def test_substring_dedup_of_string_and_null_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    df = spark.createDataFrame([("b", passage), ("a", f"x {passage} y"), (None, f"z {passage}"), ("c", passage)], "doc_id string, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.annotate(df).collect()}
+    assert got == {None: 0, "a": 30, "b": 30, "c": 30}
+
+
 def test_token_counts(spark, tables, docs):
     import public_tokenizers
     import sentencepiece
@@ -198,6 +214,34 @@ def test_token_counts_of_odd_texts(text):
     assert token_counts.model_at(token_counts.default_model()).counts([text, None]) == [len(model.encode(text)), 0]
 
 
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefghijklmnopqrstuvwxyz", "01", "数据é😀x", "aA \u2581"])
+def test_long_pretokens(letters):
+    import random
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model())
+    rng = random.Random(4)
+    merges = token_counts.model_at(token_counts.default_model())
+    for n in (token_counts.LONG - 1, token_counts.LONG + 1, 5000):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        assert merges.counts([text]) == [len(model.encode(text))]
+
+
+def test_a_hundred_thousand_characters_without_a_space():
+    import random
+    import time
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model())
+    rng = random.Random(5)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(100_000))
+    start = time.perf_counter()
+    got = token_counts.model_at(token_counts.default_model()).counts([text])
+    assert got == [len(model.encode(text))] and time.perf_counter() - start < 10
+
+
 def test_near_dedup(spark, tables, docs):
     label = near_labels([t for _, t, _ in docs])
     smallest = {}
