@@ -25,6 +25,11 @@ def end_degrees(network: Network, metapath: Pathlike) -> tuple[DataFrame, DataFr
     return of(path.source, network.edges(path.steps[0]), "src"), of(path.target, network.edges(path.steps[-1]), "dst")
 
 
+def nodes_by_degree(network: Network, metapath: Pathlike) -> tuple[DataFrame, DataFrame]:
+    """(degree, id) of source and target nodes, those of one degree next to each other: rows instead of a list for each degree, which could be most nodes."""
+    return tuple(side.repartition("degree").sortWithinPartitions("degree", "id").select("degree", "id") for side in end_degrees(network, metapath))
+
+
 def mean_of_cells(network: Network, metapath: Pathlike, counts: DataFrame) -> float | None:
     """Mean of v over all pairs of nodes, those without paths too; None if no pair has paths."""
     path = network.schema.metapath(metapath)
@@ -75,8 +80,12 @@ def pairs(network: Network, metapath: Pathlike, damping: float = 0.5, ignore_zer
     """
     path = network.schema.metapath(metapath)
     counts = network.dwpc(path, damping)
-    mean = mean_of_cells(network, path, counts)
-    scaled = counts.select("src", "dst", F.col("n").alias("path_count"), F.asinh(F.col("v") / F.lit(mean or 1.0)).alias("dwpc"))
+    # the mean is a row joined to every pair: the metric's shuffled rows serve both, and nothing runs before the result is asked for
+    total = counts.agg(F.sum("v").alias("total"))
+    for side in (path.source, path.target):
+        total = total.crossJoin(network.nodes[side].agg(F.count("*").alias(f"n{len(total.columns)}")))
+    mean = total.select(F.coalesce(F.nullif(F.col("total"), F.lit(0.0)) / (F.col("n1") * F.col("n2")), F.lit(1.0)).alias("mean"))
+    scaled = counts.crossJoin(F.broadcast(mean)).select("src", "dst", F.col("n").alias("path_count"), F.asinh(F.col("v") / F.col("mean")).alias("dwpc"))
     source, target = end_degrees(network, path)
     names = ("id", "name")
     s = network.nodes[path.source].select(*names).join(source, "id").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,7 @@ class Network:
     directions of each edge.
     """
 
-    def __init__(self, spark: SparkSession, schema: Schema, nodes: dict[str, DataFrame], edges: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, schema: Schema, nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame]):
         self.spark, self.schema, self.nodes, self._edges = spark, schema, nodes, edges
         self._sizes: dict[str, tuple[float, float, float]] = {}
         self._kept: dict[tuple, DataFrame] = {}
@@ -41,15 +43,20 @@ class Network:
 
     def with_edges(self, edges: dict[str, DataFrame]) -> Network:
         """A network with the same nodes and other edges, such as a permutation."""
-        return Network(self.spark, self.schema, self.nodes, {**self._edges, **edges})
-
-    def size(self, step: Step) -> tuple[float, float, float]:
-        """Rows, source nodes and target nodes of a metaedge (nodes approximately), found once."""
-        if step.stored not in self._sizes:
-            row = self._edges[step.stored].agg(F.count("*"), F.approx_count_distinct("src"), F.approx_count_distinct("dst")).first()
-            self._sizes[step.stored] = tuple(float(x) for x in row)
-        rows, a, b = self._sizes[step.stored]
-        return (rows, a, b) if step.forward else (rows, b, a)
+        return Network(self.spark, self.schema, self.nodes, ChainMap(edges, self._edges))
+
+    def sizes(self, steps: Iterable[Step]) -> list[tuple[float, float, float]]:
+        """Rows, source nodes and target nodes of metaedges (nodes approximately), found once, in one job for all."""
+        steps = list(steps)
+        fresh = sorted({s.stored for s in steps} - self._sizes.keys())
+        if fresh:
+            each = [self._edges[name].agg(F.lit(name).alias("name"), F.count("*"), F.approx_count_distinct("src"), F.approx_count_distinct("dst")) for name in fresh]
+            self._sizes.update((row[0], tuple(float(x) for x in row[1:])) for row in reduce(DataFrame.unionAll, each).collect())
+        out = []
+        for s in steps:
+            rows, a, b = self._sizes[s.stored]
+            out.append((rows, a, b) if s.forward else (rows, b, a))
+        return out
 
     def keep(self, metapath: Pathlike, metric: str = "dwpc", damping: float = 0.5, result: DataFrame | None = None) -> DataFrame:
         """Holds a metric in memory and disk of the executors; later calls, of longer metapaths too, use it. Released by release()."""
@@ -85,9 +92,10 @@ class Network:
             return reduce(lambda right, left: R.compose(left, right), parts[::-1])
         if order != "chain":
             raise ValueError(f"order {order!r}")
+        self.sizes(s for p in paths for s in p.steps)
         sizes = []
         for p in paths:
-            ends = [self.size(s) for s in p.steps]
+            ends = self.sizes(p.steps)
             rows = reduce(lambda a, b: (min(a[0] * b[0] / max(1.0, b[1]), a[1] * b[2]), a[1], b[2]), ends)
             sizes.append(rows)
 

@@ -10,6 +10,7 @@ anew, so that all edges mix.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,37 +18,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaweave.operators.network import Network
+from metaweave.runtime import settled
 
 BLOCK_EDGES = 100_000
 ROUNDS = 4
 
 
+def _keys(src: np.ndarray, dst: np.ndarray, width: int, turned: bool) -> np.ndarray:
+    """A number for each edge; the same for both directions if turned."""
+    if turned:
+        src, dst = np.minimum(src, dst), np.maximum(src, dst)
+    return src * width + dst
+
+
 def _swap(block: pd.DataFrame, seed: int, tries: float, loops: bool, undirected: bool) -> pd.DataFrame:
+    """Swaps of all edges at a time: they are paired at random, and of the pairs those swap whose new edges exist nowhere and are proposed once."""
     block = block.sort_values(["src", "dst"], ignore_index=True)
-    src, dst = block["src"].tolist(), block["dst"].tolist()
-    fixed = block["fixed"].to_numpy()
-    taken = set(zip(src, dst))
-    places = np.flatnonzero(~fixed)
-    if len(places) < 2:
+    free = np.flatnonzero(~block["fixed"].to_numpy())
+    if len(free) < 2:
         return block
     rng = np.random.default_rng([seed, int(block["a"].iat[0]), int(block["b"].iat[0])])
+    nodes, names = pd.factorize(pd.concat([block["src"], block["dst"]], ignore_index=True))
+    src, dst, width = nodes[: len(block)].astype(np.int64), nodes[len(block) :].astype(np.int64), len(names)
     turn = undirected and block["a"].iat[0] == block["b"].iat[0]
-    # an undirected edge inside one group may be swapped in either direction
-    picks = places[rng.integers(0, len(places), (int(tries * len(places)), 2))].tolist()
-    turns = rng.random(len(picks)) < 0.5
-    for (i, j), t in zip(picks, turns):
+    half = len(free) // 2
+    for _ in range(max(1, round(tries * len(free) / half))):
+        i, j = rng.permutation(free)[: 2 * half].reshape(2, half)
         a, b, c, d = src[i], dst[i], src[j], dst[j]
-        if turn and t:
-            c, d = d, c
-        if i == j or a == c or b == d or (not loops and (a == d or c == b)):
-            continue
-        new = (a, d), (c, b)
-        if any(p in taken or (turn and p[::-1] in taken) for p in new):
-            continue
-        taken -= {(src[i], dst[i]), (src[j], dst[j])}
-        taken.update(new)
-        (src[i], dst[i]), (src[j], dst[j]) = new
-    block["src"], block["dst"] = src, dst
+        if turn:  # an undirected edge inside one group may be swapped in either direction
+            flip = rng.random(half) < 0.5
+            c, d = np.where(flip, d, c), np.where(flip, c, d)
+        fine = (a != c) & (b != d)
+        if not loops:
+            fine &= (a != d) & (c != b)
+        new = np.stack([_keys(a, d, width, turn), _keys(c, b, width, turn)])
+        there = np.sort(_keys(src, dst, width, turn))
+        at = np.minimum(np.searchsorted(there, new), len(there) - 1)
+        fine &= (there[at] != new).all(axis=0)
+        _, first, times = np.unique(new[:, fine], return_inverse=True, return_counts=True)
+        fine[fine] = (times[first.reshape(2, -1)] == 1).all(axis=0)
+        src[i[fine]], dst[i[fine]], src[j[fine]], dst[j[fine]] = a[fine], d[fine], c[fine], b[fine]
+    block["src"], block["dst"] = names.take(src), names.take(dst)
     return block
 
 
@@ -81,10 +92,9 @@ def permute(edges: DataFrame, same_metanode: bool = False, undirected: bool = Fa
         rows = rows.withColumn("ghost", F.lit(False))
     count = rows.count()
     groups = max(1, math.ceil(math.sqrt(count / BLOCK_EDGES)))
-    rounds = ROUNDS if groups > 1 else 1
     kind = rows.schema["src"].dataType.simpleString(), rows.schema["dst"].dataType.simpleString()
     schema = f"src {kind[0]}, dst {kind[1]}, fixed boolean, ghost boolean, a int, b int"
-    for turn in range(rounds):
+    for turn in range(ROUNDS):
         salt = F.lit(f"{seed}/{turn}")
         dealt = rows.select("src", "dst", "fixed", "ghost").withColumn("a", F.pmod(F.xxhash64("src", salt), F.lit(groups)).cast("int"))
         dealt = dealt.withColumn("b", F.pmod(F.xxhash64("dst", salt), F.lit(groups)).cast("int"))
@@ -93,7 +103,7 @@ def permute(edges: DataFrame, same_metanode: bool = False, undirected: bool = Fa
             dealt = dealt.select(
                 F.when(flip, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(flip, F.col("src")).otherwise(F.col("dst")).alias("dst"),
                 "fixed", "ghost", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        swapped = _swapper(int(seed) * 1000 + turn, multiplier / rounds, not same_metanode, undirected)
+        swapped = _swapper(int(seed) * 1000 + turn, multiplier / ROUNDS, not same_metanode, undirected)
         rows = dealt.groupBy("a", "b").applyInPandas(swapped, schema)
     one = F.lit(1.0).alias("v")
     rows = rows.where("not ghost").select("src", "dst", one)
@@ -103,14 +113,17 @@ def permute(edges: DataFrame, same_metanode: bool = False, undirected: bool = Fa
 
 
 def permute_network(network: Network, number: int, multiplier: float = 10, seed: int = 0, first: int = 1) -> dict[str, Network]:
-    """Permutations by name (001, 002, ...), each made from the one before it, with the seed one higher."""
+    """Permutations by name (001, 002, ...), each made from the one before it, with the seed one higher.
+
+    The edges of each are checkpointed before the next is made, so that none is computed again.
+    """
     out: dict[str, Network] = {}
     last = network
     for i in range(number):
         edges = {}
         for name, step in network.schema.metaedges.items():
             same = step.source == step.target
-            edges[name] = permute(last._edges[name], same, same and step.direction == "both", multiplier, None, seed + i)
+            edges[name] = settled(permute(last._edges[name], same, same and step.direction == "both", multiplier, None, seed + i))
         last = network.with_edges(edges)
         out[f"{first + i:03d}"] = last
     return out
@@ -121,3 +134,13 @@ def permutation_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     same = before.select("src", "dst").join(after.select("src", "dst"), ["src", "dst"], "left_semi").agg(F.count("*").alias("unchanged"))
     total = before.agg(F.count("*").alias("edges"))
     return total.crossJoin(same).withColumn("share_unchanged", F.try_divide("unchanged", "edges"))
+
+
+def network_stats(network: Network, permuted: dict[str, Network]) -> DataFrame:
+    """A row for each metaedge of each permutation: metaedge, permutation, edges, unchanged and share_unchanged, towards the network as observed."""
+    rows = [
+        permutation_stats(network._edges[edge], other._edges[edge]).select(F.lit(edge).alias("metaedge"), F.lit(name).alias("permutation"), "edges", "unchanged", "share_unchanged")
+        for name, other in permuted.items()
+        for edge in network.schema.metaedges
+    ]
+    return reduce(DataFrame.unionByName, rows)

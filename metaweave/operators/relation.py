@@ -95,3 +95,8 @@ def validate(edges: DataFrame) -> DataFrame:
     if row["bad"]:
         raise ValueError(f"{row['bad']} edges with null nodes or values that are null or not finite")
     return edges
+
+
+def largest(r: DataFrame, value: str = "n") -> DataFrame:
+    """The cell of the largest value (one row; none if there are no cells); of equal ones the first by src and dst."""
+    return r.orderBy(F.desc(value), "src", "dst").limit(1)

@@ -1,4 +1,4 @@
-"""Making the package importable where tasks run."""
+"""Making the package importable where tasks run, and results safe."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _done: set[str] = set()
 
@@ -25,3 +25,13 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top.parent))
     sc.addPyFile(path)
     _done.add(sc.applicationId)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that spark.checkpoint.dir names: computed once, safe from lost executors. Only on one machine (tests) may the setting be missing."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="metaweave-checkpoint-"))
+    return df.checkpoint()

@@ -28,6 +28,11 @@ def with_positions(nodes: DataFrame) -> DataFrame:
         (F.col("_before") + F.col("_place")).cast("long").alias("position"), *nodes.columns)
 
 
+def chunked(rows: DataFrame, size: int) -> DataFrame:
+    """rows (with id) with `chunk`, the number of their run of `size` rows in order of id."""
+    return with_positions(rows).select(F.floor(F.col("position") / size).cast("long").alias("chunk"), *rows.columns)
+
+
 class Store:
     """A folder: schema.json, nodes/<metanode>, edges/<metaedge>, permutations/<name>/<metaedge>, counts/<metric>-<damping>/<metapath>, groups/…"""
 
@@ -65,6 +70,21 @@ class Store:
         return Network(self.spark, schema, nodes, edges)
 
     def save_permutation(self, name: str, network: Network) -> None:
+        """Saves the edges of a permutation. One of that name becomes name-backup, in place of an earlier backup, and comes back if the writing fails."""
+        fs, path = self._path(self._at("permutations", name))
+        _, backup = self._path(self._at("permutations", f"{name}-backup"))
+        if fs.exists(path):
+            fs.delete(backup, True)
+            fs.rename(path, backup)
+        try:
+            self._write_permutation(name, network)
+        except Exception:
+            fs.delete(path, True)
+            if fs.exists(backup):
+                fs.rename(backup, path)
+            raise
+
+    def _write_permutation(self, name: str, network: Network) -> None:
         for edge in network.schema.metaedges:
             network.edges(edge).write.mode("overwrite").parquet(self._at("permutations", name, edge))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +15,15 @@ from metaweave.operators import relation as R
 from metaweave.operators.network import Network
 from metaweave.plans import shapes
 from metaweave.plans.schema import Schema
+from metaweave.runtime import settled
+from metaweave.sources import store
 
 SCHEMA = Schema(
-    {"R": "region", "N": "nation", "C": "customer", "O": "order", "P": "part", "S": "supplier", "B": "brand", "Y": "type", "M": "segment"},
+    {"U": "user", "T": "event type", "H": "hour", "R": "region", "N": "nation", "C": "customer", "O": "order", "P": "part", "S": "supplier", "B": "brand", "Y": "type", "M": "segment"},
     [
         ("N", "i", "R", "both"), ("C", "i", "N", "both"), ("S", "i", "N", "both"), ("C", "g", "M", "both"), ("P", "m", "B", "both"),
         ("P", "k", "Y", "both"), ("C", "p", "O", "both"), ("O", "c", "P", "both"), ("O", "f", "S", "both"), ("S", "s", "P", "both"), ("N", "n", "N", "both"),
+        ("U", "d", "T", "both"), ("U", "a", "H", "both"), ("T", "b", "H", "both"), ("T", "n", "T", "both"),
     ],
 )
 #: Of each metaedge the SQL of its (src, dst); Spark and DuckDB read it alike.
@@ -34,6 +39,10 @@ EDGES = {
     "OfS": "SELECT DISTINCT l_orderkey AS src, l_suppkey AS dst FROM lineitem",
     "SsP": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem",
     "NnN": "SELECT DISTINCT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey",
+    "UdT": "SELECT DISTINCT user_id AS src, event_type AS dst FROM events",
+    "UaH": "SELECT DISTINCT user_id AS src, hour(ts) AS dst FROM events",
+    "TbH": "SELECT DISTINCT event_type AS src, hour(ts) AS dst FROM events",
+    "TnT": "SELECT DISTINCT a.event_type AS src, b.event_type AS dst FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type <> b.event_type",
 }
 NODES = {
     "R": "SELECT r_regionkey AS id, r_name AS name FROM region", "N": "SELECT n_nationkey AS id, n_name AS name FROM nation",
@@ -41,21 +50,41 @@ NODES = {
     "P": "SELECT p_partkey AS id, p_name AS name FROM part", "S": "SELECT s_suppkey AS id, s_name AS name FROM supplier",
     "B": "SELECT DISTINCT p_brand AS id, p_brand AS name FROM part", "Y": "SELECT DISTINCT p_type AS id, p_type AS name FROM part",
     "M": "SELECT DISTINCT c_mktsegment AS id, c_mktsegment AS name FROM customer",
+    "U": "SELECT DISTINCT user_id AS id, CAST(user_id AS STRING) AS name FROM events", "T": "SELECT DISTINCT event_type AS id, event_type AS name FROM events",
+    "H": "SELECT DISTINCT hour(ts) AS id, CAST(hour(ts) AS STRING) AS name FROM events",
 }
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+class _Deferred(Mapping):
+    """Tables that are read when they are first asked for."""
+
+    def __init__(self, names, make):
+        self._names, self._make = list(names), functools.cache(make)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        return self._make(name)
+
+    def __iter__(self):
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
 
 
 def network(spark: SparkSession, sf_dir: str) -> Network:
-    tables = {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in TABLES}
+    tables = _Deferred(TABLES, lambda t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")))
 
     def frame(query: str) -> DataFrame:
-        used = {t: d for t, d in tables.items() if t in query.split()}
+        used = [t for t in TABLES if t in query.split()]
         for t in used:
             query = query.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
-        return spark.sql(query, **used)
+        return spark.sql(query, **{t: tables[t] for t in used})
 
-    edges = {name: frame(q).withColumn("v", F.lit(1.0)) for name, q in EDGES.items()}
-    return Network(spark, SCHEMA, {m: frame(q) for m, q in NODES.items()}, edges)
+    edges = _Deferred(EDGES, lambda name: frame(EDGES[name]).withColumn("v", F.lit(1.0)))
+    return Network(spark, SCHEMA, _Deferred(NODES, lambda m: frame(NODES[m])), edges)
 
 
 def _edge_sql(step) -> str:
@@ -112,6 +141,7 @@ for _order in ("sequential", "recursive", "chain"):
 for _name, _path in {
     "short_PcOcP": "PcOcP", "short_NnNnN": "NnNnN", "four_NnNnNnN": "NnNnNnN", "long_NnNnNnNnN": "NnNnNnNnN", "disjoint_NnNiSsPsS": "NnNiSsPsS",
     "nested_MgCpOcPcOpCgM": "MgCpOcPcOpCgM", "baba_CpOcPcOcPmB": "CpOcPcOcPmB",
+    "around_UdTbHbTbHaU": "UdTbHbTbHaU", "groups_TnTdUaHaUaH": "TnTdUaHaUaH", "interior_UaHaUdTnTbH": "UaHaUdTnTbH", "other_UdTbHaUdTbH": "UdTbHaUdTbH",
 }.items():
     _counts(f"dwpc_{_name}", "dwpc", _path)
 _counts("pc_NnNnNnN", "dwpc", "NnNnNnN", 0.0)
@@ -189,11 +219,15 @@ _register("degree_group_stats", _groups, f"SELECT source_degree, target_degree,
 def _hurdle(spark: SparkSession, sf: str) -> DataFrame:
     n = network(spark, sf)
     stats = groups.degree_groups(n, "CpOcPmB", n.dwpc("CpOcPmB"))
-    return _rounded(significance.add_gamma_hurdle(stats), "mean_nz", "sd_nz").select("source_degree", "target_degree", "nnz", "mean_nz", "sd_nz")
+    rows = _rounded(significance.add_gamma_hurdle(stats), "mean_nz", "sd_nz")
+    return rows.select("source_degree", "target_degree", "nnz", "mean_nz", "sd_nz", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("beta", "alpha")])
 
 
-_register("gamma_hurdle", _hurdle, f"""SELECT source_degree, target_degree, nnz, round(sum / nullif(nnz, 0), 8) + 0.0 AS mean_nz,
- round(CASE WHEN nnz >= 2 THEN CASE WHEN abs(sum_of_squares - sum * sum / nnz) < 1e-5 THEN 0 ELSE sqrt((sum_of_squares - sum * sum / nnz) / (nnz - 1)) END END, 8) + 0.0 AS sd_nz FROM ({_GROUPS})""")
+_register("gamma_hurdle", _hurdle, f"""WITH g AS ({_GROUPS}),
+ m AS (SELECT source_degree, target_degree, nnz, sum / nullif(nnz, 0) AS mean_nz,
+  CASE WHEN nnz >= 2 THEN CASE WHEN abs(sum_of_squares - sum * sum / nnz) < 1e-5 THEN 0 ELSE sqrt((sum_of_squares - sum * sum / nnz) / (nnz - 1)) END END AS sd_nz FROM g)
+SELECT source_degree, target_degree, nnz, round(mean_nz, 8) + 0.0 AS mean_nz, round(sd_nz, 8) + 0.0 AS sd_nz,
+ round(mean_nz / nullif(sd_nz * sd_nz, 0), 4) + 0.0 AS beta, round(mean_nz * mean_nz / nullif(sd_nz * sd_nz, 0), 4) + 0.0 AS alpha FROM m""")
 
 
 def _pairs(metapath: str, ignore_zeros: bool):
@@ -215,6 +249,37 @@ _register("pairs_nonzero_CpOcPmB", _pairs("CpOcPmB", True), _pairs_sql("CpOcPmB"
 _register("pairs_symmetric_SsPsS", _pairs("SsPsS", False), _pairs_sql("SsPsS", "SsP", "PsS", False))
 
 
+#: A null table by degrees of which the gamma distribution has alpha = 4, so that its upper tail has a closed form: exp(-x) (1 + x + x^2/2 + x^3/6), x = 4 dwpc / mean.
+#: Some degrees have no permuted path, some a single one (no spread known), some no spread.
+_NULL = """SELECT source_degree, target_degree, n, CASE WHEN target_degree % 5 = 0 THEN 0 WHEN target_degree % 5 = 1 THEN 1 ELSE greatest(2, n // 3) END AS nnz,
+ 1 + source_degree % 4 / 8.0 AS mean_nz, CASE WHEN target_degree % 5 = 2 THEN 0.0 ELSE (1 + source_degree % 4 / 8.0) / 2 END AS sd_nz"""
+
+
+def _significance(spark: SparkSession, sf: str, max_p_value: float = 1.0) -> DataFrame:
+    n = network(spark, sf)
+    every = groups.degree_groups(n, "CpOcPmB", n.dwpc("CpOcPmB")).select("source_degree", "target_degree", "n")
+    null = spark.sql(_NULL.replace("//", "DIV") + " FROM {every}", every=every)
+    mean, sd, count = F.col("mean_nz").cast("double"), F.col("sd_nz").cast("double"), F.col("nnz").cast("double")
+    null = null.select("source_degree", "target_degree", "n", F.col("nnz").cast("long").alias("nnz"), (mean * count).alias("sum"),
+                       F.when(F.col("nnz") > 1, mean * mean * count + (count - 1) * sd * sd).otherwise(mean * mean * count).alias("sum_of_squares"))
+    rows = groups.significance_of(n, "CpOcPmB", null, max_p_value=max_p_value)
+    return _rounded(rows, "dwpc", "mean_nz", "sd_nz", "p_value")
+
+
+def _significance_sql(max_p_value: float) -> str:
+    pairs = _pairs_sql("CpOcPmB", "CpO", "PmB", False).replace("round(coalesce(asinh(c.v / m.mean), 0), 8) + 0.0 AS dwpc", "coalesce(asinh(c.v / m.mean), 0) AS dwpc")
+    return f"""WITH nl AS (SELECT source_degree, target_degree, n, nnz, CASE WHEN nnz > 0 THEN CAST(mean_nz AS DOUBLE) END AS mean_nz, CASE WHEN nnz > 1 THEN CAST(sd_nz AS DOUBLE) END AS sd_nz
+  FROM ({_NULL} FROM ({_GROUPS}))), p AS ({pairs}),
+ x AS (SELECT p.*, n, nnz, mean_nz, sd_nz, 4 * dwpc / mean_nz AS x FROM p JOIN nl USING (source_degree, target_degree)),
+ q AS (SELECT *, CASE WHEN path_count = 0 THEN 1.0 WHEN nnz = 0 THEN 0.0 WHEN sd_nz > 0 THEN nnz / n * exp(-x) * (1 + x + x * x / 2 + x * x * x / 6) WHEN dwpc <= mean_nz + 1e-5 THEN nnz / n ELSE 0.0 END AS p_value FROM x)
+SELECT source_id, target_id, source_name, target_name, source_degree, target_degree, path_count, round(dwpc, 8) + 0.0 AS dwpc, CAST(n AS BIGINT) AS n, CAST(nnz AS BIGINT) AS nnz,
+ round(mean_nz, 8) + 0.0 AS mean_nz, round(sd_nz, 8) + 0.0 AS sd_nz, round(p_value, 8) + 0.0 AS p_value FROM q WHERE p_value IS NULL OR p_value <= {max_p_value}"""
+
+
+_register("p_values_CpOcPmB", _significance, _significance_sql(1.0))
+_register("p_values_up_to_CpOcPmB", lambda spark, sf: _significance(spark, sf, 0.05), _significance_sql(0.05))
+
+
 def _permuted_degrees(spark: SparkSession, sf: str) -> DataFrame:
     edges = permutation.permute(network(spark, sf).edges("OcP"), seed=1)
     return R.degrees(edges, "dst").select(F.col("node").alias("id"), F.col("degree").cast("long").alias("degree"))
@@ -223,15 +288,38 @@ def _permuted_degrees(spark: SparkSession, sf: str) -> DataFrame:
 _register("permuted_degrees", _permuted_degrees, f"SELECT dst AS id, count(*) AS degree FROM ({EDGES['OcP']}) GROUP BY dst")
 
 
-def _significance(spark: SparkSession, sf: str) -> DataFrame:
+def _permuted(spark: SparkSession, sf: str) -> DataFrame:
+    """That a permutation changes most edges, keeps both degrees, repeats none and makes none that is excluded: one row."""
+    before = network(spark, sf).edges("OcP")
+    barred = before.agg(F.min("src").alias("src")).join(before.select("dst").distinct()).select("src", "dst")
+    after = settled(permutation.permute(before, excluded=barred, seed=2))
+    stats = permutation.permutation_stats(before, after).select("edges", (F.col("share_unchanged") < 0.2).alias("changed"))
+    degrees = [R.degrees(e, side).select(F.lit(side).alias("side"), F.col("node"), F.col("degree").cast("long")) for e in (before, after) for side in ("src", "dst")]
+    moved = degrees[0].union(degrees[1]).exceptAll(degrees[2].union(degrees[3])).agg((F.count("*") == 0).alias("degrees_kept"))
+    once = after.groupBy("src", "dst").count().agg(F.coalesce(F.max("count") == 1, F.lit(True)).alias("edges_once"))
+    fresh = after.join(barred, ["src", "dst"], "left_semi").join(before, ["src", "dst"], "left_anti").agg((F.count("*") == 0).alias("none_excluded"))
+    return stats.crossJoin(moved).crossJoin(once).crossJoin(fresh)
+
+
+_register("permuted_edges", _permuted, f"SELECT count(*) AS edges, TRUE AS changed, TRUE AS degrees_kept, TRUE AS edges_once, TRUE AS none_excluded FROM ({EDGES['OcP']})")
+
+
+def _observed_significance(spark: SparkSession, sf: str) -> DataFrame:
     n = network(spark, sf)
     mean = groups.mean_of_cells(n, "SsPmB", n.dwpc("SsPmB"))
-    null = groups.permuted_groups(permutation.permute_network(Network(spark, Schema(SCHEMA.metanodes, [("S", "s", "P", "both"), ("P", "m", "B", "both")]), n.nodes, n._edges), 2).values(), "SsPmB", mean)
+    part = Schema(SCHEMA.metanodes, [("S", "s", "P", "both"), ("P", "m", "B", "both")])
+    null = groups.permuted_groups(permutation.permute_network(Network(spark, part, n.nodes, n._edges), 2).values(), "SsPmB", mean)
     return _rounded(groups.significance_of(n, "SsPmB", null, ignore_zeros=True), "dwpc", "mean_nz", "sd_nz", "p_value")
 
 
-_register("significance_SsPmB", _significance, None)
-
+_register("significance_SsPmB", _observed_significance, None)
+_register("node_ids", lambda spark, sf: network(spark, sf).node_ids("P"), "SELECT p_partkey AS id FROM part ORDER BY id")
+_register("largest_cell", lambda spark, sf: R.largest(network(spark, sf).dwwc("CpOcPmB", 0.0)).select("src", "dst", "n"),
+          f"SELECT src, dst, n FROM ({paths_sql('CpOcPmB', 0.0, False)}) ORDER BY n DESC, src, dst LIMIT 1")
+_register("node_chunks", lambda spark, sf: store.chunked(network(spark, sf).nodes["C"].select("id"), 400),
+          "SELECT (row_number() OVER (ORDER BY c_custkey) - 1) // 400 AS chunk, c_custkey AS id FROM customer")
+_register("degrees_to_nodes", lambda spark, sf: groups.nodes_by_degree(network(spark, sf), "CpOcPmB")[0],
+          f"SELECT degree, id FROM ({_degrees_sql('C', 'CpO', 'src', 'degree')})")
 _CATALOGUE = ("CpOcPmB", "PcOcP", "NnNnNnN", "NnNnNnNnN", "NnNiSsPsS", "MgCpOcPcOpCgM", "OcPcOcP", "SsPcOcPcOfS")
 
 

@@ -84,6 +84,7 @@ def test_parse_and_inverse():
 @pytest.mark.parametrize("nodes, kind", [
     ("GG", "short_repeat"), ("GGGG", "four_repeat"), ("GGGGG", "long_repeat"), ("GGGDD", "disjoint"), ("CDG", "no_repeats"), ("DGGDG", "other"),
     ("DGGC", "short_repeat"), ("DGGD", "BAAB"), ("CGDDGA", "BAAB"), ("ADAD", "BABA"), ("CCGCG", "other"), ("CGGGC", "BAAB"), ("CGDGAD", "BABA"),
+    ("CCGGC", "other"), ("CGCGC", "other"), ("ECDGAGDC", "BAAB"),
     ("CGDCGD", "other"), ("DGGGGGD", "other"), ("CGDDGC", "BAAB"), ("CCGGDD", "disjoint"), ("ABCBCA", "repeat_around"), ("AABCBC", "disjoint_groups"), ("ABACCB", "interior_complete_group"),
 ])
 def test_category(nodes, kind):
@@ -100,6 +101,9 @@ def word(nodes):
 
 @pytest.mark.parametrize("nodes, cuts", [
     ("ABBAC", "AB BB BA AC"), ("BABA", "BA AB BA"), ("AAAA", "AA AA AA"), ("AAA", "AAA"), ("CCABBA", "CC CA ABBA"), ("AABBBCC", "AA AB BBB BC CC"), ("BCABA", "BCA AB BA"), ("ABBBBBA", "AB BBBBB BA"), ("ABCBCA", "AB BCBC CA"),
+    ("ABBCB", "AB BBCB"), ("ABBAC", "AB BB BA AC"), ("CBABC", "CB BAB BC"), ("AABBBCC", "AA AB BBB BC CC"), ("CAAAA", "CA AA AA AA"),
+    ("CCBBC", "CC CB BB BC"), ("BCAAB", "BCA AA AB"), ("CBBBC", "CB BBB BC"), ("CBABBBCC", "CB BABBB BC CC"), ("CBBBBCB", "CB BBBB BC CB"), ("CBBBCA", "CB BBB BC CA"),
+    ("CBABAC", "CB BABA AC"), ("CCBAAB", "CC CB BAAB"), ("CCBABA", "CC CB BABA"), ("ACBBCA", "AC CB BB BC CA"), ("ABC", "ABC"), ("CBBABC", "CB BBAB BC"),
 ])
 def test_segments(nodes, cuts):
     assert ["".join(s.metanodes) for s in shapes.segments(word(nodes))] == cuts.split()
@@ -107,7 +111,11 @@ def test_segments(nodes, cuts):
 
 def test_segment_frequency():
     count = shapes.segment_frequency([word("ABBA"), word("AB")])
-    assert count[word("AB")] + count[word("BA")] == 3
+    assert {str(k): v for k, v in count.items()} == {"AxBxBxA": 1, "AxB": 3, "BxB": 1}
+    count = shapes.segment_frequency([word("ABBA"), word("AB")], both_directions=True)
+    assert {str(k): v for k, v in count.items()} == {"AxBxBxA": 1, "AxB": 2, "BxB": 1, "BxA": 1}
+    parts = [str(p) for p in shapes.all_segments(word("CCBAAB"))]
+    assert parts == ["CxCxBxAxAxB", "CxC", "CxB", "BxAxAxB", "BxA", "AxA", "AxB"]
 
 
 @pytest.fixture(scope="module")
