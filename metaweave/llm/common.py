@@ -103,6 +103,7 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
                 step = max(1, int(len(batch) * BATCH_BYTES / max(1, batch.nbytes)))
                 for i in range(0, len(batch), step):
                     yield batch.slice(i, step)
+                    _release()
         return run(pieces())
 
     return df.mapInArrow(trimmed(sliced), schema)

@@ -34,6 +34,8 @@ TASKS = 24
 #: Counts are summed in 2^SLICE_BITS slices of the buckets.
 SLICE_BITS = 5
 SLICES = 1 << SLICE_BITS
+#: Texts are cut into features in chunks of about this many bytes, whose arrays fit in a core's cache.
+CHUNK_BYTES = 1 << 16
 #: Entries of the training matrix that are worked on at once.
 ENTRIES = 1 << 18
 
@@ -71,11 +73,10 @@ def _chars(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return chars, starts[offsets]
 
 
-def features(texts: pa.Array, table: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, sorted; a feature is a bucket, or what the table has for it (0: none)."""
+def features(texts: pa.Array, table: np.ndarray | None):
+    """Chunk by chunk: first and last text, and the distinct (text in the chunk, feature) pairs, sorted; a feature is a bucket, or what the table has for it (0: none)."""
     data, offsets = C.flat_text(texts)
-    docs, feats = [], []
-    for a, b in C.chunks(offsets):
+    for a, b in C.chunks(offsets, CHUNK_BYTES):
         chars, at = _chars(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         keys = []
         for bucket, doc, inside in _grams(chars, at):
@@ -87,11 +88,7 @@ def features(texts: pa.Array, table: np.ndarray | None) -> tuple[np.ndarray, np.
                 sel = sel[inside[sel]]
                 keys.append((doc[sel].astype(np.int64) << BITS) | f[sel])
         keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        docs.append((keys >> BITS) + a)
-        feats.append(keys & ((1 << BITS) - 1))
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(docs), np.concatenate(feats)
+        yield a, b, keys >> BITS, keys & ((1 << BITS) - 1)
 
 
 class Model:
@@ -99,8 +96,9 @@ class Model:
         self.table, self.weights, self.bias = table, weights, bias
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        docs, feats = features(texts, self.table)
-        z = np.bincount(docs, self.weights[feats], len(texts)) + self.bias
+        z = np.full(len(texts), self.bias)
+        for a, b, docs, feats in features(texts, self.table):
+            z[a:b] += np.bincount(docs, self.weights[feats], b - a)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -171,9 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None,
         sums = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             y = batch.column(0).to_numpy(zero_copy_only=False)
-            docs, feats = features(batch.column(1), None)
-            for label in (0, 1):
-                np.add.at(sums[label], feats[y[docs] == label], 1)
+            for a, b, docs, feats in features(batch.column(1), None):
+                for label in (0, 1):
+                    np.add.at(sums[label], feats[y[a:b][docs] == label], 1)
         parts = sums.reshape(2, SLICES, -1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([parts[:, i].tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "sums"])
 
@@ -196,9 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None,
 
     def extract(batches):
         for batch in batches:
-            docs, feats = features(batch.column(1), table)
-            bounds = np.searchsorted(docs, np.arange(len(batch) + 1))
-            lists = [feats[a:b].astype(np.uint16).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            lists = []
+            for a, b, docs, feats in features(batch.column(1), table):
+                bounds = np.searchsorted(docs, np.arange(b - a + 1))
+                lists += [feats[i:j].astype(np.uint16).tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], names=["y", "f"])
 
     sample = sorted((r[1], r[0]) for r in C.mapped(rows, extract, "y int, f binary").collect())  # bounded by max_labelled and n_features
