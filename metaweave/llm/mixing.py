@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -163,35 +164,25 @@ class Plan:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _placed(docs: DataFrame, extra: bool) -> tuple[DataFrame, Plan, str]:
-    """The documents with a struct column (key, size, first) in stream order, and the plan."""
-    own = "_mix"
-    while own in docs.columns:
-        own += "_"
+def _placed(docs: DataFrame, *extra: Column) -> tuple[DataFrame, Plan]:
+    """doc_id, extra columns and a struct `mix` (key, size, first) of every document, its place in its source's stream; and the plan. Texts aren't kept."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("~"))  # "~" sorts after every "s..."
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(_WORD)), F.lit(0)).cast("long")
-    crc = F.coalesce(F.crc32("text"), F.lit(0))
-    kept = docs if extra else docs.select("doc_id")
-    base = docs.select(*kept.columns, F.struct(key.alias("key"), size.alias("size"), F.xxhash64(F.lit(SEED), F.col("doc_id"), crc).alias("h")).alias(own))
-    if not extra:
-        base = C.written(base, "mixing")
-    base = base.withColumn(own, F.struct(f"{own}.*", F.pmod(F.col(f"{own}.h"), F.lit(BUCKETS)).cast("int").alias("bucket")))
-    groups = C.written(
-        (base if not extra else docs.select("doc_id", F.struct(key.alias("key"), size.alias("size"), F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), crc), F.lit(BUCKETS)).cast("int").alias("bucket")).alias(own)))
-        .groupBy(F.col(f"{own}.key").alias("key"), F.col(f"{own}.bucket").alias("bucket"))
-        .agg(F.sum(f"{own}.size").alias("words")),
-        "mixing-groups",
-    )
+    h = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.coalesce(F.crc32("text"), F.lit(0)))
+    narrow = C.written(docs.select("doc_id", *extra, key.alias("key"), size.alias("size"), h.alias("h")), "mixing")
+    kept = [c for c in narrow.columns if c not in ("key", "size", "h")]
+    base = narrow.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    groups = C.written(base.groupBy("key", "bucket").agg(F.sum("size").alias("words")), "mixing-groups")
     sources = groups.groupBy("key").agg(F.sum("words").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(sources) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources: merge sources, or raise MAX_SOURCES and the driver's memory")
     sources = sorted(((r.key, r["size"]) for r in sources), key=lambda x: (x[0] == "~", x[0]))
     plan = Plan([k for k, _ in sources], [s for _, s in sources])
     first = groups.select("key", "bucket", (F.sum("words").over(W.partitionBy("key").orderBy("bucket")) - F.col("words")).alias("first"))
-    order = W.partitionBy(f"{own}.key", f"{own}.bucket").orderBy(f"{own}.h", "doc_id", f"{own}.size")
-    placed = base.withColumn(own, F.struct(f"{own}.*", (F.sum(f"{own}.size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col(f"{own}.size")).alias("inner")))
-    joined = placed.join(first.select(F.struct("key", "bucket", "first").alias(f"{own}f")), (F.col(f"{own}.key") == F.col(f"{own}f.key")) & (F.col(f"{own}.bucket") == F.col(f"{own}f.bucket")))
-    return joined.select(*kept.columns, F.struct(f"{own}.key", f"{own}.size", (F.col(f"{own}f.first") + F.col(f"{own}.inner")).alias("first")).alias(own)), plan, own
+    order = W.partitionBy("key", "bucket").orderBy("h", "doc_id", "size")
+    inner = base.withColumn("inner", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    placed = inner.join(first, ["key", "bucket"])
+    return placed.select(*kept, F.struct("key", "size", (F.col("first") + F.col("inner")).alias("first")).alias("mix")), plan
 
 
 def _by_source(plan: Plan, at: pa.StructArray):
@@ -205,7 +196,7 @@ def _by_source(plan: Plan, at: pa.StructArray):
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words, repeats counted), n_pieces and pieces_sha256 (of pass, from, to, shard and place of its pieces in `manifest`, by pass and from, as 64-bit little-endian numbers)."""
-    placed, plan, _ = _placed(docs, extra=False)
+    placed, plan = _placed(docs)
     plan = docs.sparkSession.sparkContext.broadcast(plan)
 
     def run(batches):
@@ -231,7 +222,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def manifest(docs: DataFrame) -> DataFrame:
     """Every piece of the mix: doc_id, pass, words from and to within the document, output shard and place in it."""
-    placed, plan, _ = _placed(docs, extra=False)
+    placed, plan = _placed(docs)
     plan = docs.sparkSession.sparkContext.broadcast(plan)
 
     def run(batches):
@@ -243,8 +234,17 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix as rows with the columns of docs: a row for each piece of `manifest`, its text what is taken (n_chars follows), in order of shard and place."""
-    placed, plan, own = _placed(docs, extra=True)
+    """The mix as rows with the columns of docs: a row for each piece of `manifest`, its text what is taken (n_chars follows), in order of shard and place.
+
+    Documents are placed as narrow rows and then scanned again: their texts go through one shuffle only, as pieces on the way to their shards.
+    """
+    docs, own = C.stable(docs), "_mix"
+    while own in docs.columns:
+        own += "_"
+    row = F.monotonically_increasing_id()
+    placed, plan = _placed(docs, F.shiftright(row, 33).cast("int").alias("_part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"), F.coalesce(F.crc32("text"), F.lit(0)).alias("_crc"))
+    sides = C.Sides(docs.sparkSession, "mixing-places")
+    sides.write(placed.select(F.col("_part").alias("part"), F.col("_place").alias("place"), F.col("_crc").alias("crc"), "mix.key", "mix.size", "mix.first"))
     total, before = int(plan.room.sum()), np.cumsum(plan.room) - plan.room
     plan = docs.sparkSession.sparkContext.broadcast(plan)
     text_at = docs.columns.index("text")
@@ -252,9 +252,19 @@ def mixed(docs: DataFrame) -> DataFrame:
     docs_columns = docs.columns
 
     def run(batches):
+        side, at_row = sides.read(C.partition_id(), ["place", "crc", "key", "size", "first"]), 0
+        if side is not None:
+            order = np.argsort(side[0], kind="stable")
+            side = [x[order] for x in side]
         for batch in batches:
-            place = batch.column(len(docs_columns))
-            size, first = (place.field(x).to_numpy(zero_copy_only=False) for x in ("size", "first"))
+            data, offsets = C.flat_text(batch.column(text_at))
+            raw, here = memoryview(data), slice(at_row, at_row + len(batch))
+            crcs = [zlib.crc32(raw[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            if side is None or side[0][here].tolist() != list(range(here.start, here.stop)) or side[1][here].tolist() != crcs:
+                raise RuntimeError("a partition has other rows than when its documents were placed")
+            keys, size, first = (x[at_row : at_row + len(batch)] for x in side[2:])
+            at_row += len(batch)
+            place = pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(size), pa.array(first)], names=["key", "size", "first"])
             parts = [np.zeros((0, 5), np.int64)]
             for _, rows, (doc, nth, lo, hi, shard, inner) in _by_source(plan.value, place):
                 parts.append(np.stack([rows[doc], nth, lo, hi, before[shard] + inner], axis=1))
@@ -279,7 +289,7 @@ def mixed(docs: DataFrame) -> DataFrame:
             key = pa.StructArray.from_arrays([pa.array(parts[:, 4]), pa.array(first[parts[:, 0]] + parts[:, 2])], names=["number", "at"])
             yield pa.RecordBatch.from_arrays([*columns, key], names=[*docs_columns, own])
 
-    pieces = C.mapped(placed, run, StructType(list(docs.schema.fields)).add(own, StructType().add("number", "long").add("at", "long")))
+    pieces = C.mapped(docs, run, StructType(list(docs.schema.fields)).add(own, StructType().add("number", "long").add("at", "long")))
     tasks = C.tasks(docs.sparkSession)
     # a piece's number among all places is known, so equal ranges of places need no sample of the rows
     ordered = pieces.repartitionById(tasks, F.floor(F.col(f"{own}.number") * tasks / max(1, total)).cast("int")).sortWithinPartitions(f"{own}.number", f"{own}.at")
