@@ -320,6 +320,7 @@ _register("node_chunks", lambda spark, sf: store.chunked(network(spark, sf).node
           "SELECT (row_number() OVER (ORDER BY c_custkey) - 1) // 400 AS chunk, c_custkey AS id FROM customer")
 _register("degrees_to_nodes", lambda spark, sf: groups.nodes_by_degree(network(spark, sf), "CpOcPmB")[0],
           f"SELECT degree, id FROM ({_degrees_sql('C', 'CpO', 'src', 'degree')})")
+_EVENT_PATHS = ("UdTbHbTbHaU", "TnTdUaHaUaH", "UaHaUdTnTbH", "UdTbHaUdTbH")
 _CATALOGUE = ("CpOcPmB", "PcOcP", "NnNnNnN", "NnNnNnNnN", "NnNiSsPsS", "MgCpOcPcOpCgM", "OcPcOcP", "SsPcOcPcOfS")
 
 
@@ -328,6 +329,7 @@ def _frequency(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(str(p), c) for p, c in count.items()], "segment string, frequency long")
 
 
-_register("categories", lambda spark, sf: spark.createDataFrame([(p, shapes.category(SCHEMA.metapath(p).metanodes)) for p in _CATALOGUE], "metapath string, category string"),
-          "SELECT * FROM (VALUES ('CpOcPmB', 'no_repeats'), ('PcOcP', 'short_repeat'), ('NnNnNnN', 'four_repeat'), ('NnNnNnNnN', 'long_repeat'), ('NnNiSsPsS', 'disjoint'), ('MgCpOcPcOpCgM', 'BAAB'), ('OcPcOcP', 'BABA'), ('SsPcOcPcOfS', 'repeat_around')) t(metapath, category)")
-_register("segment_frequency", _frequency, None)
+_register("categories", lambda spark, sf: spark.createDataFrame([(p, shapes.category(SCHEMA.metapath(p).metanodes)) for p in (*_CATALOGUE, *_EVENT_PATHS)], "metapath string, category string"),
+          "SELECT * FROM (VALUES ('UdTbHbTbHaU', 'repeat_around'), ('TnTdUaHaUaH', 'disjoint_groups'), ('UaHaUdTnTbH', 'interior_complete_group'), ('UdTbHaUdTbH', 'other'), ('CpOcPmB', 'no_repeats'), ('PcOcP', 'short_repeat'), ('NnNnNnN', 'four_repeat'), ('NnNnNnNnN', 'long_repeat'), ('NnNiSsPsS', 'disjoint'), ('MgCpOcPcOpCgM', 'BAAB'), ('OcPcOcP', 'BABA'), ('SsPcOcPcOfS', 'repeat_around')) t(metapath, category)")
+_register("segment_frequency", _frequency,
+          "SELECT segment, CAST(frequency AS BIGINT) AS frequency FROM (VALUES ('CpOcPmB', 1), ('PcOcP', 1), ('NnNnNnN', 1), ('NnN', 4), ('NnNnNnNnN', 1), ('NnNiSsPsS', 1), ('NiS', 1), ('SsPsS', 1), ('MgCpOcPcOpCgM', 1), ('MgC', 2), ('CpO', 2), ('OcPcO', 1), ('OcPcOcP', 2), ('OcP', 6), ('SsPcOcPcOfS', 1), ('SsP', 1), ('OfS', 1)) t(segment, frequency)")
