@@ -21,11 +21,11 @@ class Network:
 
     nodes: by metanode, (id, name), an id once. edges: by stored metaedge, (src, dst, v), a pair
     once, in the stored direction; an undirected metaedge of a metanode with itself holds both
-    directions of each edge.
+    directions of each edge. hub_rows: nodes that would make more rows in a product are split, see `relation.compose`.
     """
 
-    def __init__(self, spark: SparkSession, schema: Schema, nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame]):
-        self.spark, self.schema, self.nodes, self._edges = spark, schema, nodes, edges
+    def __init__(self, spark: SparkSession, schema: Schema, nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame], hub_rows: int | None = None):
+        self.spark, self.schema, self.nodes, self._edges, self.hub_rows = spark, schema, nodes, edges, hub_rows
         self._sizes: dict[str, tuple[float, float, float]] = {}
         self._kept: dict[tuple, DataFrame] = {}
 
@@ -43,7 +43,7 @@ class Network:
 
     def with_edges(self, edges: dict[str, DataFrame]) -> Network:
         """A network with the same nodes and other edges, such as a permutation."""
-        return Network(self.spark, self.schema, self.nodes, ChainMap(edges, self._edges))
+        return Network(self.spark, self.schema, self.nodes, ChainMap(edges, self._edges), self.hub_rows)
 
     def sizes(self, steps: Iterable[Step]) -> list[tuple[float, float, float]]:
         """Rows, source nodes and target nodes of metaedges (nodes approximately), found once, in one job for all."""
@@ -84,12 +84,15 @@ class Network:
     def weighted(self, step: Step, damping: float) -> DataFrame:
         return R.degree_weighted(self.edges(step), damping)
 
+    def _compose(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        return R.compose(a, b, self.hub_rows)
+
     def _product(self, parts: list[DataFrame], paths: list[Metapath], order: str) -> DataFrame:
         """Product of relations in a row: from the left (sequential), from the right (recursive), or in the cheapest order (chain)."""
         if len(parts) < 3 or order == "sequential":
-            return reduce(R.compose, parts)
+            return reduce(self._compose, parts)
         if order == "recursive":
-            return reduce(lambda right, left: R.compose(left, right), parts[::-1])
+            return reduce(lambda right, left: self._compose(left, right), parts[::-1])
         if order != "chain":
             raise ValueError(f"order {order!r}")
         self.sizes(s for p in paths for s in p.steps)
@@ -100,7 +103,7 @@ class Network:
             sizes.append(rows)
 
         def build(tree) -> DataFrame:
-            return parts[tree] if isinstance(tree, int) else R.compose(build(tree[0]), build(tree[1]))
+            return parts[tree] if isinstance(tree, int) else self._compose(build(tree[0]), build(tree[1]))
 
         return build(shapes.cheapest_order(sizes))
 
@@ -148,13 +151,13 @@ class Network:
         if plan.op == "around":
             return R.off_diagonal(product)
         if plan.op == "triple":
-            return R.off_diagonal(R.compose(*parts))
+            return R.off_diagonal(self._compose(*parts))
         x, y, z = parts
-        xy, yz = R.compose(x, y), R.compose(y, z)
+        xy, yz = self._compose(x, y), self._compose(y, z)
         crossing = R.hadamard(R.hadamard(x, R.transpose(y)), z)
         out = R.combine(
-            (1, R.compose(R.off_diagonal(xy), z)),
-            (-1, R.compose(x, R.closed_walks(y, z))),
+            (1, self._compose(R.off_diagonal(xy), z)),
+            (-1, self._compose(x, R.closed_walks(y, z))),
             (1, crossing),
         )
         return R.off_diagonal(out) if plan.op == "quad" else out

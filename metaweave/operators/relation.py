@@ -1,6 +1,6 @@
 """Algebra of relations: DataFrames (src, dst, n, v), a row for each pair with paths.
 
-n counts the paths (exact, BIGINT), v sums their weights. The support of a result is taken from n,
+n counts the paths (exact, BIGINT: a count beyond 2^63 raises an error), v sums their weights. The support of a result is taken from n,
 so that rounding left over from subtracting v never makes a pair that has no path.
 """
 
@@ -57,12 +57,24 @@ def _summed(rows: DataFrame, n: Column, v: Column) -> DataFrame:
     return rows.groupBy(*PAIR).agg(F.sum(n).alias("n"), F.sum(v).alias("v"))
 
 
-def compose(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Matrix product."""
-    a, b = a.alias("a"), b.alias("b")
-    rows = a.join(b, F.col("a.dst") == F.col("b.src")).select(
-        F.col("a.src"), F.col("b.dst"), (F.col("a.n") * F.col("b.n")).alias("n"), (F.col("a.v") * F.col("b.v")).alias("v")
-    )
+def compose(a: DataFrame, b: DataFrame, hub_rows: int | None = None) -> DataFrame:
+    """Matrix product.
+
+    A middle node with i rows in a and j in b makes i * j rows. Spark splits partitions by the bytes that go in, not by the rows that come out; with
+    hub_rows nodes that make more than these are split by the source node into as many parts, over which b's rows are repeated. Sums
+    of pairs begin in each part.
+    """
+    on = ["mid"]
+    left, right = (r.select(F.col(side).alias("mid"), *[c for c in r.columns if c != side]) for r, side in ((a, "dst"), (b, "src")))
+    if hub_rows is not None:
+        made = left.groupBy("mid").agg(F.count("*").alias("i")).join(right.groupBy("mid").agg(F.count("*").alias("j")), "mid")
+        hubs = made.select("mid", F.ceil(F.col("i") * F.col("j") / hub_rows).cast("int").alias("parts")).where("parts > 1")
+        parts = F.coalesce("parts", F.lit(1))
+        left = left.join(hubs, "mid", "left").withColumn("part", F.pmod(F.xxhash64("src"), parts).cast("int")).drop("parts")
+        right = right.join(hubs, "mid", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        on = ["mid", "part"]
+    left, right = left.alias("a"), right.alias("b")
+    rows = left.join(right, on).select("src", "dst", (F.col("a.n") * F.col("b.n")).alias("n"), (F.col("a.v") * F.col("b.v")).alias("v"))
     return _summed(rows, F.col("n"), F.col("v"))
 
 

@@ -146,6 +146,21 @@ def test_exact_path_counts(tangled, nodes, damping):
         check(network.enumerate_paths(word(nodes), damping), want)
 
 
+@pytest.mark.parametrize("nodes", ["AAA", "ABAB", "ABCCBA"])
+def test_split_hubs(tangled, nodes):
+    network, edges = tangled
+    split = Network(network.spark, network.schema, network.nodes, network._edges, hub_rows=3)
+    check(split.dwpc(word(nodes)), brute(edges, word(nodes), 0.5))
+
+
+def test_a_hub_is_dealt_out(spark):
+    """One middle node with most rows: the rows it makes lie in many parts, with the same sums."""
+    left = spark.createDataFrame([(i, 0, 1, 1.0) for i in range(300)] + [(i, 1, 2, 0.5) for i in range(5)], "src long, dst long, n long, v double")
+    right = spark.createDataFrame([(0, i, 1, 2.0) for i in range(200)] + [(1, 3, 1, 1.0)], "src long, dst long, n long, v double")
+    plain, split = ({(r["src"], r["dst"]): (r["n"], r["v"]) for r in R.compose(left, right, rows).collect()} for rows in (None, 1000))
+    assert plain == split and len(plain) == 60_000 and plain[2, 3] == (3, 2.5)
+
+
 @pytest.mark.parametrize("order", ["sequential", "recursive", "chain"])
 def test_walk_counts(tangled, order):
     network, edges = tangled
