@@ -343,11 +343,14 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
     """row, doc_id, comp (the class by its first row), class_id, class_size and n_shingles of every document; row is its scan partition and place."""
-    return _classes(C.stable(docs.select("doc_id", "text")), C.Scans(docs.sparkSession, "scans"), similarity, bands, rows, registers)
+    member = _members(C.stable(docs.select("doc_id", "text")), C.Scans(docs.sparkSession, "scans"), similarity, bands, rows, registers)
+    # both sides are written before they are joined, so that Spark can split a large class
+    named = C.written(member.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "named")
+    return member.join(named, "comp").select("row", "doc_id", "comp", "class_id", "class_size", F.col("n").alias("n_shingles"))
 
 
-def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
-    """classes of a stable table."""
+def _members(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
+    """row, doc_id, n and comp of every document of a stable table, written."""
     spark = docs.sparkSession
     scanned = C.written(_scan(docs, scans, registers), "sketches")
     full = scanned.where("n > 0")
@@ -401,20 +404,20 @@ def _classes(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
     member = full.select("row", "doc_id", "k1", "k2", "n").join(nodes, ["k1", "k2", "n"]).select("row", "doc_id", "n", "comp")
     member = C.written(member.unionByName(scanned.where("n = 0").select("row", "doc_id", "n", F.col("row").alias("comp"))), "members")
     C.drop(scanned, heads, labels)
-    named = C.written(member.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "named")
-    return member.join(named, "comp").select("row", "doc_id", "comp", "class_id", "class_size", F.col("n").alias("n_shingles"))
+    return member
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns kept, with one of each class: the first row (in scan order) of the smallest doc_id."""
     docs, scans = C.stable(docs), C.Scans(docs.sparkSession, "scans")
     ids, text = docs.columns.index("doc_id"), docs.columns.index("text")
-    found = _classes(docs, scans, similarity).withColumn("part", F.shiftright("row", 40).cast("int"))
+    member = _members(docs, scans, similarity)
     # classes of one row stay; of the others the kept row is the smallest by (doc_id, row)
-    many = found.where("class_size > 1")
-    best = many.groupBy("comp").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
+    best = member.groupBy("comp").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"), F.count("*").alias("size"))
+    best = C.written(best.where("size > 1").select("comp", "best"), "kept")
     drop = C.Sides(docs.sparkSession, "dropped")
-    drop.write(many.join(best, "row", "left_anti").select("part", "row"))
+    drop.write(member.join(best, "comp").where("row <> best").select(F.shiftright("row", 40).cast("int").alias("part"), "row"))
+    C.drop(member, best)
 
     def run(batches):
         part, row = C.partition_id(), 0
