@@ -126,3 +126,37 @@ def test_permuted_network(spark, genes, tmp_path):
 def test_nodes_by_degree(genes):
     rows = [tuple(r) for r in groups.nodes_by_degree(genes, "GaD")[0].collect()]
     assert sorted(rows) == [(0, "ITCH"), (0, "SUMO1"), (1, "CXCR4"), (1, "IL2RA"), (1, "IRF1"), (1, "IRF8"), (2, "STAT3")]
+
+
+def test_float_results(genes):
+    exact, rounded = genes.dwpc("GiGaD"), genes.dwpc("GiGaD", dtype="float")
+    assert dict(rounded.dtypes)["v"] == "float"
+    assert {k: np.float32(v) for k, v in cells(exact).items()} == {k: np.float32(v) for k, v in cells(rounded).items()}
+    with pytest.raises(ValueError):
+        genes.dwpc("GiGaD", dtype="half")
+
+
+def test_groups_of_permutations(spark, genes, tmp_path):
+    """Sums over permutations against a plain count over all pairs of nodes."""
+    permuted = permutation.permute_network(genes, 2)
+    mean = groups.mean_of_cells(genes, "GiGaD", genes.dwpc("GiGaD"))
+    want = {}
+    for network in permuted.values():
+        value = cells(network.dwpc("GiGaD"))
+        source = {r["id"]: r["degree"] for r in groups.end_degrees(network, "GiGaD")[0].collect()}
+        target = {r["id"]: r["degree"] for r in groups.end_degrees(network, "GiGaD")[1].collect()}
+        each = {}
+        for s, a in source.items():
+            for t, b in target.items():
+                v = math.asinh(value.get((s, t), 0) / mean)
+                n, nnz, total, squares = each.get((a, b), (0, 0, 0.0, 0.0))
+                each[a, b] = n + 1, nnz + (v != 0), total + v, squares + v * v
+        for k, row in each.items():
+            want[k] = tuple(x + y for x, y in zip(want.get(k, (0, 0, 0.0, 0.0, 0)), (*row, 1)))
+    got = groups.permuted_groups(permuted.values(), "GiGaD", mean)
+    s = store.Store(spark, f"file://{tmp_path}/net")
+    s.save_groups("GiGaD", 0.5, got)
+    rows = {(r["source_degree"], r["target_degree"]): (r["n"], r["nnz"], r["sum"], r["sum_of_squares"], r["n_perms"]) for r in s.read_groups("GiGaD", 0.5).collect()}
+    assert rows.keys() == want.keys()
+    for k in want:
+        assert rows[k] == pytest.approx(want[k])
