@@ -15,7 +15,8 @@ can repeat are sent, each to the one shard that can hold its earlier copies:
    repeat; only the latter are matched, and added to the automaton where the match is shorter than the
    window. Memory is bound by the distinct repeated windows of a shard, however many documents share them.
    An anchor that occurs over `HOT` times would bring all its copies to one task: windows with such an anchor
-   are sent as hashes (128 bits) instead, their first places found by an aggregation that begins where they are, and the others joined with these.
+   are sent as hashes (128 bits) instead, each once a batch; an aggregation finds their first places, and each partition gets those of its windows
+   that repeat and finds the places in the last scan.
 4. Scan: the covered words are taken out.
 
 Texts are never shuffled and no shard is sent to all tasks: routing takes the place of the broadcast. Words are compared by 64-bit
@@ -32,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,8 +98,8 @@ def _key(place: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return C.mix(fp ^ C.mix(place.astype(np.uint64)))
 
 
-def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int = GRAM) -> C.Sides:
-    """For each scan partition of a stable table the covered word ranges of its rows (place, from, to)."""
+def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int = GRAM) -> tuple[C.Sides, C.Sides | None]:
+    """For each scan partition of a stable table the covered word ranges of its rows (place, from, to), and those of its windows with common anchors that repeat (hashes and first place)."""
     spark = docs.sparkSession
     texts, kind = docs.select("doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
 
@@ -178,13 +180,16 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
             row += len(batch)
 
     def send_windows(batches):
-        """The windows whose anchors are common: place, start and 128 bits of hash."""
+        """Of the windows whose anchors are common, each once a batch: 128 bits of hash, the first place by doc_id, row and start, and how often it occurs."""
         part, row = C.partition_id(), 0
         batches, side = scans.check(batches, 0, 1), routed(part)
         if side is None:
             return unread(batches)
         keys = side[0][side[1] == _HOT]
         for batch in batches:
+            by_id = pc.sort_indices(pa.table([batch.column(0), pa.array(np.arange(len(batch)))], names=["id", "i"]), sort_keys=[("id", "ascending"), ("i", "ascending")], null_placement="at_start").to_numpy()
+            rank = np.empty(len(batch), np.int64)
+            rank[by_id] = np.arange(len(batch))
             for a, b, data, starts, ends, bounds in _Texts(batch.column(1)):
                 doc = C.owners(bounds)
                 if len(doc) < window or not len(keys):
@@ -193,9 +198,13 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
                 low = minima(hashes, doc, window, gram)[1]
                 key = _key(row + a + doc[: len(low)], low)
                 at = np.flatnonzero((keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key) & (low > 0))
-                h1, h2 = C.hash_grams(hashes, window)[at], C.hash_grams(C.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)), window)[at]
-                out = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(pa.array(a + doc[at])), pa.array((np.int64(part) << C.Sides.ROW_BITS) + row + a + doc[at]), pa.array(at - bounds[doc[at]])]
-                yield pa.RecordBatch.from_arrays(out, names=["h1", "h2", "doc_id", "row", "start"])
+                h1, h2 = (h[at] for h in window_hashes(hashes, window))
+                order = np.lexsort((at, rank[a + doc[at]], h2, h1))
+                at, h1, h2 = at[order], h1[order], h2[order]
+                new = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))) if len(at) else np.zeros(0, np.int64)
+                n, at = np.diff(np.append(new, len(at))), at[new]
+                out = [pa.array(h1[new].view(np.int64)), pa.array(h2[new].view(np.int64)), batch.column(0).take(pa.array(a + doc[at])), pa.array((np.int64(part) << C.Sides.ROW_BITS) + row + a + doc[at]), pa.array(at - bounds[doc[at]]), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(out, names=["h1", "h2", "doc_id", "row", "start", "n"])
             row += len(batch)
 
     spans = C.mapped(texts, send, f"shard int, phase int, doc_id {kind}, part int, place long, start long, words binary")
@@ -240,17 +249,22 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
                     out.append((part, place, start + first, start + ends))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*out)) or [[]] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["part", "place", "from", "to"])
 
-    cover = C.mapped(sorted_, match, "part int, place long, `from` long, `to` long")
-    if common:
-        windows = C.written(C.mapped(texts, send_windows, f"h1 long, h2 long, doc_id {kind}, row long, start long"), "common-windows")
-        first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
-        first = C.written(first.select("h1", "h2", F.col("f.row").alias("r"), F.col("f.start").alias("s")), "first-windows")
-        later = windows.join(first, ["h1", "h2"]).where("row <> r OR start <> s")
-        place = F.col("row").bitwiseAND(F.lit((1 << C.Sides.ROW_BITS) - 1)).alias("place")
-        cover = cover.unionByName(later.select(F.shiftright("row", C.Sides.ROW_BITS).cast("int").alias("part"), place, F.col("start").alias("from"), (F.col("start") + window).alias("to")))
     covered = C.Sides(spark, "covered")
-    covered.write(cover)
-    return covered
+    covered.write(C.mapped(sorted_, match, "part int, place long, `from` long, `to` long"))
+    if not common:
+        return covered, None
+    windows = C.written(C.mapped(texts, send_windows, f"h1 long, h2 long, doc_id {kind}, row long, start long, n long"), "common-windows")
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "start")).alias("f"), F.sum("n").alias("n")).where("n > 1")
+    first = C.written(first.select("h1", "h2", F.col("f.row").alias("first_row"), F.col("f.start").alias("first_start")), "first-windows")
+    # each partition gets what repeats of its windows, once, and finds the places itself
+    repeats = C.Sides(spark, "repeated-windows")
+    repeats.write(windows.select("h1", "h2", F.shiftright("row", C.Sides.ROW_BITS).cast("int").alias("part")).join(first, ["h1", "h2"]), distinct=True)
+    C.drop(windows, first)
+    return covered, repeats
+
+
+def window_hashes(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    return C.hash_grams(hashes, window), C.hash_grams(C.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)), window)
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -259,13 +273,17 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _kept(batches, ids: int, at: int, covered: C.Sides, scans: C.Scans):
+def _kept(batches, ids: int, at: int, sides: tuple[C.Sides, C.Sides | None], scans: C.Scans, window: int):
     """Of each batch: chunk range, data, word places, bounds and which words are covered."""
-    row = 0
-    side = covered.read(C.partition_id(), ["place", "from", "to"])
+    row, part = 0, C.partition_id()
+    side = sides[0].read(part, ["place", "from", "to"])
     if side is not None:
         order = np.argsort(side[0], kind="stable")
         side = [x[order] for x in side]
+    known = sides[1].read(part, ["h1", "h2", "first_row", "first_start"]) if sides[1] is not None else None
+    if known is not None:
+        order = np.argsort(known[0].view(np.uint64))
+        known = [x[order].view(np.uint64) if k < 2 else x[order] for k, x in enumerate(known)]
     for batch in scans.check(batches, ids, at):
         out = []
         for a, b, data, starts, ends, bounds in _Texts(batch.column(at)):
@@ -275,6 +293,16 @@ def _kept(batches, ids: int, at: int, covered: C.Sides, scans: C.Scans):
                 base = bounds[side[0][i:j] - row - a]
                 np.add.at(change, base + side[1][i:j], 1)
                 np.add.at(change, base + side[2][i:j], -1)
+            if known is not None and len(starts) >= window:
+                doc = C.owners(bounds)
+                h1, h2 = window_hashes(C.hash_words(data, starts, ends), window)
+                j = np.minimum(np.searchsorted(known[0], h1), len(known[0]) - 1)
+                place = np.arange(len(h1))
+                own = (np.int64(part) << C.Sides.ROW_BITS) + row + a + doc[: len(h1)]
+                first = (own == known[2][j]) & (place - bounds[doc[: len(h1)]] == known[3][j])
+                hit = np.flatnonzero((known[0][j] == h1) & (known[1][j] == h2) & ~first & (doc[: len(h1)] == doc[window - 1 :]))
+                np.add.at(change, hit, 1)
+                np.add.at(change, hit + window, -1)
             out.append((a, b, data, starts, ends, bounds, np.cumsum(change[:-1]) > 0))
         yield batch, out
         row += len(batch)
@@ -286,7 +314,7 @@ def annotate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     covered = repeated(docs, scans, window, gram)
 
     def run(batches):
-        for batch, parts in _kept(batches, 0, 1, covered, scans):
+        for batch, parts in _kept(batches, 0, 1, covered, scans, window):
             n, gone, sha = [], [], []
             for a, b, data, starts, ends, bounds, cut in parts:
                 sums = np.concatenate([[0], np.cumsum(cut)])
@@ -314,7 +342,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     covered, ids, at = repeated(docs, scans, window, gram), docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches):
-        for batch, parts in _kept(batches, ids, at, covered, scans):
+        for batch, parts in _kept(batches, ids, at, covered, scans, window):
             texts = batch.column(at).to_pylist()
             for a, b, data, starts, ends, bounds, cut in parts:
                 raw = data.tobytes()
