@@ -65,8 +65,12 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Deletes the folders of tables made by `written` that nothing reads any more."""
     for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._folder)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _deleted(table.sparkSession, table._folder)
+
+
+def _deleted(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tasks(spark: SparkSession) -> int:
@@ -275,6 +279,10 @@ class Sides:
         rows = rows.distinct() if distinct else rows
         rows.sortWithinPartitions("folder", "part").write.partitionBy("folder").option("parquet.block.size", 4 << 20).parquet(self.address)
 
+    def drop(self, spark: SparkSession) -> None:
+        """Deletes the rows, when no scan reads them any more."""
+        _deleted(spark, self.address)
+
     def read(self, part: int, columns: list[str]) -> list[np.ndarray] | None:
         """The columns of a partition's rows; None if it has none."""
         fs, path = pafs.FileSystem.from_uri(f"{self.address}/folder={part % self.folders}")

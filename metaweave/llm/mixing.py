@@ -182,7 +182,9 @@ def _placed(docs: DataFrame, *extra: Column) -> tuple[DataFrame, Plan]:
     order = W.partitionBy("key", "bucket").orderBy("h", "doc_id", "size")
     inner = base.withColumn("inner", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     placed = inner.join(first, ["key", "bucket"])
-    return placed.select(*kept, F.struct("key", "size", (F.col("first") + F.col("inner")).alias("first")).alias("mix")), plan
+    placed = placed.select(*kept, F.struct("key", "size", (F.col("first") + F.col("inner")).alias("first")).alias("mix"))
+    placed._tables = narrow, groups  # what it reads
+    return placed, plan
 
 
 def _by_source(plan: Plan, at: pa.StructArray):
@@ -245,6 +247,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     placed, plan = _placed(docs, F.shiftright(row, 33).cast("int").alias("_part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"), F.coalesce(F.crc32("text"), F.lit(0)).alias("_crc"))
     sides = C.Sides(docs.sparkSession, "mixing-places")
     sides.write(placed.select(F.col("_part").alias("part"), F.col("_place").alias("place"), F.col("_crc").alias("crc"), "mix.key", "mix.size", "mix.first"))
+    C.drop(*placed._tables)
     total, before = int(plan.room.sum()), np.cumsum(plan.room) - plan.room
     plan = docs.sparkSession.sparkContext.broadcast(plan)
     text_at = docs.columns.index("text")

@@ -363,6 +363,7 @@ def _members(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
     wanted = C.Sides(spark, "candidates")
     wanted.write(buckets.select("node", F.shiftright("node", 40).cast("int").alias("part")), distinct=True)
     sets = C.written(_sets(docs, scans, wanted), "sets")
+    wanted.drop(spark)
 
     # neighbours of a node, counted once a bucket: the one with most is likely to resemble all of a group
     neighbours = buckets.groupBy("node").agg(F.sum("size").alias("neighbours"))

@@ -252,6 +252,7 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
     covered = C.Sides(spark, "covered")
     covered.write(C.mapped(sorted_, match, "part int, place long, `from` long, `to` long"))
     if not common:
+        routes.drop(spark)
         return covered, None
     windows = C.written(C.mapped(texts, send_windows, f"h1 long, h2 long, doc_id {kind}, row long, start long, n long"), "common-windows")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "start")).alias("f"), F.sum("n").alias("n")).where("n > 1")
@@ -260,6 +261,7 @@ def repeated(docs: DataFrame, scans: C.Scans, window: int = WINDOW, gram: int =
     repeats = C.Sides(spark, "repeated-windows")
     repeats.write(windows.select("h1", "h2", F.shiftright("row", C.Sides.ROW_BITS).cast("int").alias("part")).join(first, ["h1", "h2"]), distinct=True)
     C.drop(windows, first)
+    routes.drop(spark)
     return covered, repeats
 
 

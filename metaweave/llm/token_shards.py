@@ -151,6 +151,7 @@ def materialise(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_shard:
             out.put(f"shard-{at:08d}.bin", b"".join(records))
 
     rows = C.written(dealt.mapInArrow(C.trimmed(store), "slot long, shard long, byte_offset long, part long, place long, first_doc string, n_tokens long, sha256 string"), "token-shards")
+    C.drop(encoded)
     return rows.withColumn("first_doc", F.col("first_doc").cast(docs.schema["doc_id"].dataType))
 
 

@@ -208,6 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None,
     weights, bias = fit_logistic(owner, cols, values[cols].astype(np.float32), y, len(values))
     model = Model(table, weights * values, bias)
     del owner, cols
+    C.drop(rows)
     C._release()  # the driver, too, gives its memory back before the next stage
     return model
 

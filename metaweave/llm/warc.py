@@ -207,7 +207,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         flush()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["file", "records"])
 
-    return C.written(C.mapped(pages, run, "file string, records long"), "warc-manifest")
+    manifest = C.written(C.mapped(pages, run, "file string, records long"), "warc-manifest")
+    sides.drop(pages.sparkSession)
+    return manifest
 
 
 _OUT = "page_id string, payload_bytes long, payload_digest string, declared string, record_type string, refers_to string, record string, origin string, segment long, total long, part binary"
