@@ -14,6 +14,8 @@ from metaweave.plans import shapes
 from metaweave.plans.schema import Metapath, Schema, Step
 
 Pathlike = str | Metapath
+#: A table with a row for each node is broadcast up to this number of nodes (about 24 MB), counted before.
+BROADCAST_NODES = 500_000
 
 
 class Network:
@@ -26,6 +28,7 @@ class Network:
 
     def __init__(self, spark: SparkSession, schema: Schema, nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame], hub_rows: int | None = None):
         self.spark, self.schema, self.nodes, self._edges, self.hub_rows = spark, schema, nodes, edges, hub_rows
+        self._node_counts: dict[str, int] = {}
         self._sizes: dict[str, tuple[float, float, float]] = {}
         self._kept: dict[tuple, DataFrame] = {}
 
@@ -39,7 +42,16 @@ class Network:
         return self.nodes[metanode].select("id").orderBy("id")
 
     def count_nodes(self, metanode: str) -> int:
-        return self.nodes[metanode].count()
+        return self.node_counts([metanode])[0]
+
+    def node_counts(self, metanodes: Iterable[str]) -> list[int]:
+        """Numbers of nodes, found once, in one job for all."""
+        metanodes = list(metanodes)
+        fresh = sorted(set(metanodes) - self._node_counts.keys())
+        if fresh:
+            each = [self.nodes[m].agg(F.lit(m).alias("metanode"), F.count("*").alias("n")) for m in fresh]
+            self._node_counts.update({row[0]: row[1] for row in reduce(DataFrame.unionAll, each).collect()})
+        return [self._node_counts[m] for m in metanodes]
 
     def with_edges(self, edges: dict[str, DataFrame]) -> Network:
         """A network with the same nodes and other edges, such as a permutation."""
@@ -81,8 +93,13 @@ class Network:
                 return R.transpose(self._kept[m, float(damping), path.inverse])
         return None
 
+    def _small(self, step: Step) -> tuple[bool, bool]:
+        """Whether the sources and targets of a metaedge are few enough for tables of them to be sent to all executors."""
+        sources, targets = self.node_counts([step.source, step.target])
+        return sources <= BROADCAST_NODES, targets <= BROADCAST_NODES
+
     def weighted(self, step: Step, damping: float) -> DataFrame:
-        return R.degree_weighted(self.edges(step), damping)
+        return R.degree_weighted(self.edges(step), damping, self._small(step) if damping else (False, False))
 
     def _compose(self, a: DataFrame, b: DataFrame) -> DataFrame:
         return R.compose(a, b, self.hub_rows)
@@ -116,6 +133,7 @@ class Network:
         path = self.schema.metapath(metapath)
         known = self._known("dwwc", path, damping)
         if known is None:
+            self.node_counts(path.metanodes if damping else ())
             parts = [self.weighted(s, damping) for s in path.steps]
             parts[0] = self._restricted(parts[0], "src", sources)
             parts[-1] = self._restricted(parts[-1], "dst", targets)
@@ -131,6 +149,7 @@ class Network:
         if dtype not in ("double", "float"):
             raise ValueError(f"dtype {dtype!r}")
         path = self.schema.metapath(metapath)
+        self.node_counts(path.metanodes if damping else ())  # one job for all
         result = self._run(shapes.plan(path), damping, order, exact)
         return result if dtype == "double" else result.withColumn("v", F.col("v").cast(dtype))
 
@@ -208,8 +227,9 @@ class Network:
         """Weights (id, weight) of source nodes pushed along the metapath: (id, score) of every target node, 0 where nothing arrives."""
         path = self.schema.metapath(metapath)
         scores = weights.select("id", F.col("weight").cast("double").alias("score"))
+        self.node_counts(path.metanodes)
         for step in path.steps:
-            edges = R.diffusion_step(self.edges(step), row_damping, column_damping)
+            edges = R.diffusion_step(self.edges(step), row_damping, column_damping, self._small(step))
             scores = scores.join(edges, scores["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("v")).alias("score"))
         return self.nodes[path.target].select("id").join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 

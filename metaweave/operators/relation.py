@@ -27,30 +27,36 @@ def degrees(edges: DataFrame, side: str, name: str = "degree") -> DataFrame:
     return edges.groupBy(F.col(side).alias("node")).agg(F.sum("v").alias(name))
 
 
-def scale_by(edges: DataFrame, side: str, exponent: float) -> DataFrame:
-    """v times the sum of its row (side src) or column (dst) to the power -exponent; sums of 0 scale to 0."""
+def _beside(edges: DataFrame, table: DataFrame, side: str, small: bool) -> DataFrame:
+    """edges with the columns of a table by node: sent to all executors if it is known to be small, else by a join in which Spark splits hubs."""
+    table = table.withColumnRenamed("node", side)
+    return edges.join(F.broadcast(table) if small else table, side)
+
+
+def scale_by(edges: DataFrame, side: str, exponent: float, small: bool = False) -> DataFrame:
+    """v times the sum of its row (side src) or column (dst) to the power -exponent; sums of 0 scale to 0. small: the nodes of the side are few enough to be sent to all executors."""
     if exponent == 0:
         return edges
-    sums = degrees(edges, side, "sum")
     factor = F.when(F.col("sum") == 0, 0.0).otherwise(F.pow("sum", F.lit(-float(exponent))))
-    joined = edges.join(sums, edges[side] == sums["node"])
+    joined = _beside(edges, degrees(edges, side, "sum"), side, small)
     return joined.select(*[c for c in edges.columns if c != "v"], (F.col("v") * factor).alias("v"))
 
 
-def degree_weighted(edges: DataFrame, damping: float) -> DataFrame:
-    """Relation of one metaedge: n = 1, v by the degrees of both nodes, both taken from the edges as stored."""
+def degree_weighted(edges: DataFrame, damping: float, small: tuple[bool, bool] = (False, False)) -> DataFrame:
+    """Relation of one metaedge: n = 1, v by the degrees of both nodes, both taken from the edges as stored. small: as in scale_by, of sources and targets."""
     if damping == 0:
         return edges.select("src", "dst", F.lit(1).cast("long").alias("n"), F.col("v").cast("double").alias("v"))
-    rows, columns = degrees(edges, "src", "row"), degrees(edges, "dst", "column")
-    both = edges.join(rows.withColumnRenamed("node", "src"), "src").join(columns.withColumnRenamed("node", "dst"), "dst")
+    both = edges
+    for side, name, few in (("src", "row", small[0]), ("dst", "column", small[1])):
+        both = _beside(both, degrees(edges, side, name), side, few)
     product = F.col("row") * F.col("column")
     weight = F.when(product == 0, 0.0).otherwise(F.pow(product, F.lit(-float(damping))))
     return both.select("src", "dst", F.lit(1).cast("long").alias("n"), (F.col("v") * weight).cast("double").alias("v"))
 
 
-def diffusion_step(edges: DataFrame, row_damping: float = 0, column_damping: float = 0) -> DataFrame:
-    """Columns are normalised first; then rows, by the sums that they have after it."""
-    return scale_by(scale_by(edges.withColumn("v", F.col("v").cast("double")), "dst", column_damping), "src", row_damping)
+def diffusion_step(edges: DataFrame, row_damping: float = 0, column_damping: float = 0, small: tuple[bool, bool] = (False, False)) -> DataFrame:
+    """Columns are normalised first; then rows, by the sums that they have after it. small: as in degree_weighted."""
+    return scale_by(scale_by(edges.withColumn("v", F.col("v").cast("double")), "dst", column_damping, small[1]), "src", row_damping, small[0])
 
 
 def _summed(rows: DataFrame, n: Column, v: Column) -> DataFrame:
