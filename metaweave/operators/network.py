@@ -95,9 +95,19 @@ class Network:
 
     def _small(self, step: Step) -> tuple[bool, bool]:
         """Whether the sources and targets of a metaedge are few enough for tables of them to be sent to all executors."""
-        sources, targets = self.node_counts([step.source, step.target])
+        if step.stored in self._sizes:
+            _, sources, targets = (1.1 * x for x in self.sizes([step])[0])  # approximate counts
+        else:
+            sources, targets = self.node_counts([step.source, step.target])
         return sources <= BROADCAST_NODES, targets <= BROADCAST_NODES
 
+    def _counted(self, path: Metapath, damping: float, order: str) -> None:
+        """What planning a metric needs to know, in one job: sizes of relations if products have to be put in order, else numbers of nodes."""
+        if order == "chain" and len(path) > 2:
+            self.sizes(path.steps)
+        elif damping:
+            self.node_counts(path.metanodes)
+
     def weighted(self, step: Step, damping: float) -> DataFrame:
         return R.degree_weighted(self.edges(step), damping, self._small(step) if damping else (False, False))
 
@@ -133,7 +143,7 @@ class Network:
         path = self.schema.metapath(metapath)
         known = self._known("dwwc", path, damping)
         if known is None:
-            self.node_counts(path.metanodes if damping else ())
+            self._counted(path, damping, order)
             parts = [self.weighted(s, damping) for s in path.steps]
             parts[0] = self._restricted(parts[0], "src", sources)
             parts[-1] = self._restricted(parts[-1], "dst", targets)
@@ -149,7 +159,7 @@ class Network:
         if dtype not in ("double", "float"):
             raise ValueError(f"dtype {dtype!r}")
         path = self.schema.metapath(metapath)
-        self.node_counts(path.metanodes if damping else ())  # one job for all
+        self._counted(path, damping, order)
         result = self._run(shapes.plan(path), damping, order, exact)
         return result if dtype == "double" else result.withColumn("v", F.col("v").cast(dtype))
 
