@@ -18,6 +18,20 @@ Pathlike = str | Metapath
 BROADCAST_NODES = 500_000
 
 
+def _estimated_rows(relation: DataFrame) -> float | None:
+    """Rows of a relation by the statistics of its plan; None if these say nothing of it."""
+
+    def joins(plan) -> bool:
+        children = plan.children()
+        return plan.nodeName() == "Join" or any(joins(children.apply(i)) for i in range(children.size()))
+
+    plan = relation._jdf.queryExecution().optimizedPlan()
+    size = int(plan.stats().sizeInBytes())
+    if size >= 1 << 60 or joins(plan):
+        return None
+    return size / (8 + sum({"string": 20}.get(kind, 8) for _, kind in relation.dtypes))
+
+
 class Network:
     """Nodes and edges of a schema.
 
@@ -29,7 +43,7 @@ class Network:
     def __init__(self, spark: SparkSession, schema: Schema, nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame], hub_rows: int | None = None):
         self.spark, self.schema, self.nodes, self._edges, self.hub_rows = spark, schema, nodes, edges, hub_rows
         self._node_counts: dict[str, int] = {}
-        self._sizes: dict[str, tuple[float, float, float]] = {}
+        self._rows: dict[str, float] = {}
         self._kept: dict[tuple, DataFrame] = {}
 
     def edges(self, step: str | Step) -> DataFrame:
@@ -58,17 +72,24 @@ class Network:
         return Network(self.spark, self.schema, self.nodes, ChainMap(edges, self._edges), self.hub_rows)
 
     def sizes(self, steps: Iterable[Step]) -> list[tuple[float, float, float]]:
-        """Rows, source nodes and target nodes of metaedges (nodes approximately), found once, in one job for all."""
+        """Rows (approximately), source nodes and target nodes of metaedges, found once.
+
+        Rows are told by the size of the files that a relation comes from; relations of which Spark cannot tell it (made by
+        joins, or checkpointed) are counted, in one job for all.
+        """
         steps = list(steps)
-        fresh = sorted({s.stored for s in steps} - self._sizes.keys())
-        if fresh:
-            each = [self._edges[name].agg(F.lit(name).alias("name"), F.count("*"), F.approx_count_distinct("src"), F.approx_count_distinct("dst")) for name in fresh]
-            self._sizes.update((row[0], tuple(float(x) for x in row[1:])) for row in reduce(DataFrame.unionAll, each).collect())
-        out = []
-        for s in steps:
-            rows, a, b = self._sizes[s.stored]
-            out.append((rows, a, b) if s.forward else (rows, b, a))
-        return out
+        unknown = []
+        for name in sorted({s.stored for s in steps} - self._rows.keys()):
+            rows = _estimated_rows(self._edges[name])
+            if rows is None:
+                unknown.append(name)
+            else:
+                self._rows[name] = rows
+        if unknown:
+            each = [self._edges[name].agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in unknown]
+            self._rows.update({row[0]: float(row[1]) for row in reduce(DataFrame.unionAll, each).collect()})
+        counts = dict(zip(ends := [m for s in steps for m in (s.source, s.target)], map(float, self.node_counts(ends))))
+        return [(min(self._rows[s.stored], counts[s.source] * counts[s.target]), counts[s.source], counts[s.target]) for s in steps]
 
     def keep(self, metapath: Pathlike, metric: str = "dwpc", damping: float = 0.5, result: DataFrame | None = None) -> DataFrame:
         """Holds a metric in memory and disk of the executors; later calls, of longer metapaths too, use it. Released by release()."""
@@ -95,19 +116,9 @@ class Network:
 
     def _small(self, step: Step) -> tuple[bool, bool]:
         """Whether the sources and targets of a metaedge are few enough for tables of them to be sent to all executors."""
-        if step.stored in self._sizes:
-            _, sources, targets = (1.1 * x for x in self.sizes([step])[0])  # approximate counts
-        else:
-            sources, targets = self.node_counts([step.source, step.target])
+        sources, targets = self.node_counts([step.source, step.target])
         return sources <= BROADCAST_NODES, targets <= BROADCAST_NODES
 
-    def _counted(self, path: Metapath, damping: float, order: str) -> None:
-        """What planning a metric needs to know, in one job: sizes of relations if products have to be put in order, else numbers of nodes."""
-        if order == "chain" and len(path) > 2:
-            self.sizes(path.steps)
-        elif damping:
-            self.node_counts(path.metanodes)
-
     def weighted(self, step: Step, damping: float) -> DataFrame:
         return R.degree_weighted(self.edges(step), damping, self._small(step) if damping else (False, False))
 
@@ -143,7 +154,7 @@ class Network:
         path = self.schema.metapath(metapath)
         known = self._known("dwwc", path, damping)
         if known is None:
-            self._counted(path, damping, order)
+            self.node_counts(path.metanodes if damping else ())
             parts = [self.weighted(s, damping) for s in path.steps]
             parts[0] = self._restricted(parts[0], "src", sources)
             parts[-1] = self._restricted(parts[-1], "dst", targets)
@@ -159,7 +170,7 @@ class Network:
         if dtype not in ("double", "float"):
             raise ValueError(f"dtype {dtype!r}")
         path = self.schema.metapath(metapath)
-        self._counted(path, damping, order)
+        self.node_counts(path.metanodes if damping else ())  # one job for all
         result = self._run(shapes.plan(path), damping, order, exact)
         return result if dtype == "double" else result.withColumn("v", F.col("v").cast(dtype))
 
