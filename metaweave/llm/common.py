@@ -6,6 +6,7 @@ hashed by prefix sums, so no Python object is made per word.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -25,7 +26,7 @@ U64 = np.uint64
 #: Bytes that separate words when words are runs of `[^\x20\x09-\x0D]`.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Texts are worked on in chunks of about this many bytes (a longer text is a chunk of its own).
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 #: Kernels are given batches of about this many bytes.
 BATCH_BYTES = 8 << 20
 
@@ -53,10 +54,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """While it lasts, what runs is given to Python in batches of at most about BATCH_BYTES: an executor holds two of them a task, outside its heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows written as Parquet (with the writer's options) to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
@@ -277,7 +291,9 @@ class Sides:
         """Rows with a column `part`, and others; each once if distinct."""
         rows = rows.withColumn("folder", F.pmod("part", F.lit(self.folders)).cast("int")).repartition(self.folders, "folder")
         rows = rows.distinct() if distinct else rows
-        rows.sortWithinPartitions("folder", "part").write.partitionBy("folder").option("parquet.block.size", 4 << 20).parquet(self.address)
+        rows = rows.sortWithinPartitions("folder", "part")
+        with small_batches(rows.sparkSession):
+            rows.write.partitionBy("folder").option("parquet.block.size", 4 << 20).parquet(self.address)
 
     def drop(self, spark: SparkSession) -> None:
         """Deletes the rows, when no scan reads them any more."""

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,15 +174,23 @@ def train(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None,
                 for label in (0, 1):
                     np.add.at(sums[label], feats[y[a:b][docs] == label], 1)
         parts = sums.reshape(2, SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([parts[:, i].tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "sums"])
+        # most buckets of few texts are 0: packed, the sums of many small partitions take little room where they meet
+        pack = zstandard.ZstdCompressor(level=1).compress
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([pack(parts[:, i].tobytes()) for i in range(SLICES)], pa.binary())], names=["slice", "sums"])
 
     def total(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            sums = [sum((np.frombuffer(x, np.int32).astype(np.int64) for x in own), np.zeros(2 << BITS >> SLICE_BITS, np.int64)) for own in batch.column(1).to_pylist()]
+            sums = []
+            for own in batch.column(1):
+                sums.append(np.zeros(2 << BITS >> SLICE_BITS, np.int64))
+                for x in own.values:
+                    sums[-1] += np.frombuffer(unpack(x.as_buffer()), np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sums], pa.binary())], names=["slice", "sums"])
 
-    # TASKS arrays of a fixed size are summed by slices of the buckets, and fetched once
-    sliced = C.mapped(rows, count, "slice long, sums binary").groupBy("slice").agg(F.collect_list("sums").alias("all")).mapInArrow(C.trimmed(total), "slice long, sums binary")
+    # packed arrays of a fixed size, one a task, are summed by slices of the buckets, and the sums fetched once
+    sliced = C.mapped(rows, count, "slice long, sums binary").groupBy("slice").agg(F.collect_list("sums").alias("all"))
+    sliced = C.mapped(sliced, total, "slice long, sums binary")
     counts = np.concatenate([np.frombuffer(r[1], np.int64).reshape(2, -1) for r in sorted(sliced.collect())], axis=1)
     smooth = counts + 1.0
     ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
