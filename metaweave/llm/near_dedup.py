@@ -270,9 +270,9 @@ def _fine(sets: DataFrame, wanted: DataFrame, registers: int) -> DataFrame:
     return C.mapped(sets.join(wanted, "node", "left_semi").select("node", "set", "weights"), run, "node long, fine binary")
 
 
-def _across(open_: DataFrame, heads: DataFrame, fine: DataFrame, leaders: int | None, similarity: float, bands: int, rows: int, registers: int) -> DataFrame:
-    """Pairs of nodes of different components that may be similar: of each bucket all pairs with a node outside its largest component are looked at, or with such
-    a node among the first `leaders` by neighbours. open_: bucket, node, comp, out, rank, and size and outside (how many of the bucket, and of these outside)."""
+def _across(open_: DataFrame, heads: DataFrame, fine: DataFrame, leaders: DataFrame | None, similarity: float, bands: int, rows: int, registers: int) -> DataFrame:
+    """Pairs of nodes of different components that may be similar: of each bucket all pairs with a node outside its largest component are looked at, or with one of the
+    leaders (bucket, node). open_: bucket, node, comp, out, and size and outside (how many of the bucket, and of these outside)."""
     width = registers + FINE
     least = least_agreement(similarity, width)
     known = open_.join(heads.select("node", "signs"), "node").join(fine, "node").withColumn("signs", F.concat("signs", "fine"))
@@ -281,7 +281,7 @@ def _across(open_: DataFrame, heads: DataFrame, fine: DataFrame, leaders: int |
         place = F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / BLOCK))
         return of.groupBy("bucket", place.alias("block")).agg(F.collect_list(F.struct("node", "comp", "out", "signs")).alias(name)).select("bucket", name)
 
-    outside = known.where("out") if leaders is None else known.where(F.col("out") & (F.col("rank") <= leaders))
+    outside = known.where("out") if leaders is None else known.join(leaders, ["bucket", "node"], "left_semi")
     both = blocks(outside, "outside", "x").join(blocks(known, "size", "y"), "bucket")
 
     def run(batches):
@@ -383,14 +383,14 @@ def _members(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
         if not work:
             break
         last = last or work <= WORK * n_entries
-        if last:
-            open_ = open_.withColumn("rank", F.lit(0))
-        else:
-            order = W.partitionBy("bucket").orderBy(F.col("out").desc(), F.col("neighbours").desc(), "node")
-            open_ = open_.join(neighbours, "node").withColumn("rank", F.row_number().over(order))
+        first = None
+        if not last:
+            order = W.partitionBy("bucket").orderBy(F.col("neighbours").desc(), "node")
+            ranked = open_.where("out").select("bucket", "node").join(neighbours, "node").withColumn("rank", F.row_number().over(order))
+            first = ranked.where(F.col("rank") <= LEADERS).select("bucket", "node")
         if fine is None:  # buckets that are open later are open now
             fine = C.written(_fine(sets, open_.select("node"), FINE), "fine-sketches")
-        pairs = C.written(_across(open_, heads, fine, None if last else LEADERS, similarity, bands, rows, registers), "pairs")
+        pairs = C.written(_across(open_, heads, fine, first, similarity, bands, rows, registers), "pairs")
         found = C.written(_similar(pairs, sets, similarity), "links")
         some = bool(found.limit(1).count())
         if some:
