@@ -273,7 +273,7 @@ def _fine(sets: DataFrame, wanted: DataFrame, registers: int) -> DataFrame:
 def _across(open_: DataFrame, heads: DataFrame, fine: DataFrame, leaders: DataFrame | None, similarity: float, bands: int, rows: int, registers: int) -> DataFrame:
     """Pairs of nodes of different components that may be similar: of each bucket all pairs with a node outside its largest component are looked at, or with one of the
     leaders (bucket, node). open_: bucket, node, comp, out, and size and outside (how many of the bucket, and of these outside)."""
-    width = registers + FINE
+    width, all_outside = registers + FINE, leaders is None
     least = least_agreement(similarity, width)
     known = open_.join(heads.select("node", "signs"), "node").join(fine, "node").withColumn("signs", F.concat("signs", "fine"))
 
@@ -301,7 +301,7 @@ def _across(open_: DataFrame, heads: DataFrame, fine: DataFrame, leaders: DataFr
                     x = slice(s, min(s + step, xe[i + 1]))
                     same = xs[x, None, :] == ys[None, y, :]
                     ok = (np.count_nonzero(same, axis=2) >= least) & (xc[x, None] != yc[None, y])
-                    if leaders is None:  # two nodes outside the largest component meet twice
+                    if all_outside:  # two nodes outside the largest component meet twice
                         ok &= ~yo[None, y] | (xn[x, None] < yn[None, y])
                     p, q = np.nonzero(ok)
                     if len(p):
@@ -312,7 +312,7 @@ def _across(open_: DataFrame, heads: DataFrame, fine: DataFrame, leaders: DataFr
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], names=["a", "b"])
 
     pairs = C.mapped(both, run, "a long, b long")
-    return pairs if leaders is None else pairs.distinct()
+    return pairs if all_outside else pairs.distinct()
 
 
 def _alike(xs: list[pa.Array], i: int, ys: list[pa.Array], j: int, similarity: float) -> bool:
