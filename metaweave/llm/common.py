@@ -66,10 +66,10 @@ def small_batches(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows written as Parquet (with the writer's options) to the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, small: bool = False, **options: str) -> DataFrame:
+    """The rows written as Parquet (with the writer's options) to the shared folder and read again: cuts lineage, survives lost executors. small: in small batches."""
     path = shared_dir(df.sparkSession, name)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession) if small else contextlib.nullcontext():
         df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path
@@ -291,9 +291,7 @@ class Sides:
         """Rows with a column `part`, and others; each once if distinct."""
         rows = rows.withColumn("folder", F.pmod("part", F.lit(self.folders)).cast("int")).repartition(self.folders, "folder")
         rows = rows.distinct() if distinct else rows
-        rows = rows.sortWithinPartitions("folder", "part")
-        with small_batches(rows.sparkSession):
-            rows.write.partitionBy("folder").option("parquet.block.size", 4 << 20).parquet(self.address)
+        rows.sortWithinPartitions("folder", "part").write.partitionBy("folder").option("parquet.block.size", 4 << 20).parquet(self.address)
 
     def drop(self, spark: SparkSession) -> None:
         """Deletes the rows, when no scan reads them any more."""

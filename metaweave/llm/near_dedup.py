@@ -325,14 +325,14 @@ def _alike(xs: list[pa.Array], i: int, ys: list[pa.Array], j: int, similarity: f
 
 def components(links: DataFrame) -> DataFrame:
     """node and comp (the smallest node of its component) of all nodes with links (a, b)."""
-    edges = C.written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = C.written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    edges = C.written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges", small=True)
+    labels = C.written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels", small=True)
     while True:
         # the smallest label of a node and its neighbours, then the label of that label
         near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
         jumped = lower.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp", "left")
-        last, labels = labels, C.written(jumped.select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
+        last, labels = labels, C.written(jumped.select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels", small=True)
         C.drop(last)
         if not labels.where("old <> comp").limit(1).count():
             C.drop(edges)
@@ -345,24 +345,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     """row, doc_id, comp (the class by its first row), class_id, class_size and n_shingles of every document; row is its scan partition and place."""
     member = _members(C.stable(docs.select("doc_id", "text")), C.Scans(docs.sparkSession, "scans"), similarity, bands, rows, registers)
     # both sides are written before they are joined, so that Spark can split a large class
-    named = C.written(member.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "named")
+    named = C.written(member.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "named", small=True)
     return member.join(named, "comp").select("row", "doc_id", "comp", "class_id", "class_size", F.col("n").alias("n_shingles"))
 
 
 def _members(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
     """row, doc_id, n and comp of every document of a stable table, written."""
     spark = docs.sparkSession
-    scanned = C.written(_scan(docs, scans, registers), "sketches")
+    scanned = C.written(_scan(docs, scans, registers), "sketches", small=True)
     full = scanned.where("n > 0")
     # copies meet in one row, and already in the tasks that scan them
-    heads = C.written(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("row", "signs")).alias("first")).select("k1", "k2", "n", F.col("first.row").alias("node"), "first.signs"), "heads")
+    heads = C.written(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("row", "signs")).alias("first")).select("k1", "k2", "n", F.col("first.row").alias("node"), "first.signs"), "heads", small=True)
     entries = _buckets(heads, bands, rows, registers)
     several = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = C.written(entries.join(several, "bucket").select("bucket", "node", "size"), "buckets")
+    buckets = C.written(entries.join(several, "bucket").select("bucket", "node", "size"), "buckets", small=True)
     n_entries = buckets.count()
     wanted = C.Sides(spark, "candidates")
     wanted.write(buckets.select("node", F.shiftright("node", 40).cast("int").alias("part")), distinct=True)
-    sets = C.written(_sets(docs, scans, wanted), "sets")
+    sets = C.written(_sets(docs, scans, wanted), "sets", small=True)
     wanted.drop(spark)
 
     # neighbours of a node, counted once a bucket: the one with most is likely to resemble all of a group
@@ -370,14 +370,14 @@ def _members(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
     ranked = buckets.join(neighbours, "node")
     lead = ranked.groupBy("bucket").agg(F.max(F.struct("neighbours", "node")).alias("lead")).select("bucket", F.col("lead.node").alias("leader"))
     pairs = buckets.join(lead, "bucket").where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-    links = C.written(_similar(pairs.distinct(), sets, similarity), "links")
+    links = C.written(_similar(pairs.distinct(), sets, similarity), "links", small=True)
     labels = components(links)
     last, fine = False, None
     while True:
         now = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("part"))
         several = parts.groupBy("bucket").agg(F.max(F.struct("part", "comp")).alias("l"), F.count("*").alias("parts")).where("parts > 1")
-        several = C.written(several.select("bucket", F.col("l.comp").alias("largest"), F.col("l.part").alias("inside")), "open-buckets")
+        several = C.written(several.select("bucket", F.col("l.comp").alias("largest"), F.col("l.part").alias("inside")), "open-buckets", small=True)
         open_ = now.join(several, "bucket").select("bucket", "node", "comp", "size", (F.col("size") - F.col("inside")).alias("outside"), (F.col("comp") != F.col("largest")).alias("out"))
         work = open_.agg(F.sum(F.when(F.col("out"), F.col("size")))).first()[0] or 0
         if not work:
@@ -389,9 +389,9 @@ def _members(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
             ranked = open_.where("out").select("bucket", "node").join(neighbours, "node").withColumn("rank", F.row_number().over(order))
             first = ranked.where(F.col("rank") <= LEADERS).select("bucket", "node")
         if fine is None:  # buckets that are open later are open now
-            fine = C.written(_fine(sets, open_.select("node"), FINE), "fine-sketches")
-        pairs = C.written(_across(open_, heads, fine, first, similarity, bands, rows, registers), "pairs")
-        found = C.written(_similar(pairs, sets, similarity), "links")
+            fine = C.written(_fine(sets, open_.select("node"), FINE), "fine-sketches", small=True)
+        pairs = C.written(_across(open_, heads, fine, first, similarity, bands, rows, registers), "pairs", small=True)
+        found = C.written(_similar(pairs, sets, similarity), "links", small=True)
         some = bool(found.limit(1).count())
         if some:
             links = links.unionByName(found)
@@ -403,7 +403,7 @@ def _members(docs: DataFrame, scans: C.Scans, similarity: float = SIMILARITY, ba
     C.drop(buckets, sets)
     nodes = heads.select("k1", "k2", "n", "node").join(labels, "node", "left").select("k1", "k2", "n", F.coalesce("comp", "node").alias("comp"))
     member = full.select("row", "doc_id", "k1", "k2", "n").join(nodes, ["k1", "k2", "n"]).select("row", "doc_id", "n", "comp")
-    member = C.written(member.unionByName(scanned.where("n = 0").select("row", "doc_id", "n", F.col("row").alias("comp"))), "members")
+    member = C.written(member.unionByName(scanned.where("n = 0").select("row", "doc_id", "n", F.col("row").alias("comp"))), "members", small=True)
     C.drop(scanned, heads, labels)
     return member
 
@@ -415,7 +415,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     member = _members(docs, scans, similarity)
     # classes of one row stay; of the others the kept row is the smallest by (doc_id, row)
     best = member.groupBy("comp").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"), F.count("*").alias("size"))
-    best = C.written(best.where("size > 1").select("comp", "best"), "kept")
+    best = C.written(best.where("size > 1").select("comp", "best"), "kept", small=True)
     drop = C.Sides(docs.sparkSession, "dropped")
     drop.write(member.join(best, "comp").where("row <> best").select(F.shiftright("row", 40).cast("int").alias("part"), "row"))
     C.drop(member, best)

@@ -47,6 +47,7 @@ SHARD_ANCHORS = 50_000
 SKETCH_BITS = 24
 #: An anchor with more occurrences is common; its windows don't go to a shard.
 HOT = 4096
+CHUNK_BYTES = 1 << 19
 _HOT = -1
 _IS_WORD = C.word_table(C.SPACES)
 _MAX = np.uint64(2**64 - 1)
@@ -88,7 +89,7 @@ class _Texts:
         self.data, self.offsets = C.flat_text(column)
 
     def __iter__(self):
-        for a, b in C.chunks(self.offsets):
+        for a, b in C.chunks(self.offsets, CHUNK_BYTES):
             part = self.data[self.offsets[a] : self.offsets[b]]
             starts, ends, bounds = C.find_words(_IS_WORD[part], self.offsets[a : b + 1] - self.offsets[a])
             yield a, b, part, starts, ends, bounds

@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None,
     trained_on = ~held_out(F.col("doc_id")) if trained_on is None else trained_on
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & trained_on).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     some = spark.createDataFrame(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect(), marks.schema)  # bounded
-    rows = C.written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("y", "text").repartition(TASKS), "toxic-train")
+    rows = C.written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("y", "text").repartition(TASKS), "toxic-train", small=True)
     n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     table, empty = np.zeros(1 << BITS, np.uint16), np.zeros(1)
     if not n.get(0) or not n.get(1):
