@@ -6,6 +6,7 @@ from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from metaweave.operators import relation as R
 from metaweave.operators.network import Network, Pathlike
@@ -13,10 +14,28 @@ from metaweave.plans import shapes
 from metaweave.plans.schema import Schema
 
 
+#: Ids drawn for each range of with_positions.
+DRAWN = 20
+
+
+def _ranges(nodes: DataFrame) -> DataFrame:
+    """One row, `_bounds`: the ids that begin the second and later ranges. They are drawn by hash, so that every scan finds the same."""
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = nodes.select("id").where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(DRAWN * parts)
+    ids = [r["id"] for r in drawn.orderBy("id").collect()]
+    bounds = [ids[i * len(ids) // parts] for i in range(1, parts)] if ids else []
+    return spark.createDataFrame([(bounds,)], StructType([StructField("_bounds", ArrayType(nodes.schema["id"].dataType))]))
+
+
 def with_positions(nodes: DataFrame) -> DataFrame:
-    """nodes with `position` from 0 in order of id. Ranges of ids are sorted apart; only their counts meet the driver."""
+    """nodes with `position` from 0 in order of id. Ranges of ids are sorted apart; only their counts and bounds meet the driver.
+
+    Spark's own ranges won't do: it samples anew in each job, and the counts would be those of other ranges.
+    """
     spark = nodes.sparkSession
-    ranged = nodes.repartitionByRange("id").sortWithinPartitions("id").withColumn("_part", F.spark_partition_id())
+    part = F.size(F.filter("_bounds", lambda b: b <= F.col("id")))
+    ranged = nodes.crossJoin(F.broadcast(_ranges(nodes))).withColumn("_part", part).drop("_bounds")
     counts = dict(sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect()))
     before, at = [], 0
     for part, count in counts.items():

@@ -7,6 +7,7 @@ import zipfile
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from metaweave.operators import cache, groups, permutation
 from metaweave.operators import relation as R
@@ -160,3 +161,17 @@ def test_groups_of_permutations(spark, genes, tmp_path):
     assert rows.keys() == want.keys()
     for k in want:
         assert rows[k] == pytest.approx(want[k])
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_positions_of_many_nodes(spark, kind):
+    """More nodes than a sample holds whole: the counts are those of the ranges that are numbered."""
+    nodes = spark.range(60_000, numPartitions=6).select((F.col("id") * 7919 % 60_000).cast(kind).alias("id"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few rows become one range
+    spark.conf.set(coalesce, "false")
+    try:
+        rows = store.with_positions(nodes).collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert sorted(r["position"] for r in rows) == list(range(60_000))
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["position"])] == sorted(r["id"] for r in rows)
