@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections import ChainMap
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaweave.operators import dense
 from metaweave.operators import relation as R
 from metaweave.plans import shapes
 from metaweave.plans.schema import Metapath, Schema, Step
@@ -16,6 +18,20 @@ from metaweave.plans.schema import Metapath, Schema, Step
 Pathlike = str | Metapath
 #: A table with a row for each node is broadcast up to this number of nodes (about 24 MB), counted before.
 BROADCAST_NODES = 500_000
+#: From so many products on, relations that meet in few nodes are multiplied in blocks.
+DENSE_PRODUCTS = 50_000_000
+
+
+class Part(NamedTuple):
+    """A factor of a product. like: the paths whose rows it has about; none of them: those of a diagonal; None: those of its own path."""
+
+    relation: DataFrame
+    path: Metapath
+    like: tuple[Metapath, ...] | None = None
+
+
+#: A sign and the factors in a row.
+Term = tuple[int, list[Part]]
 
 
 def _estimated_rows(relation: DataFrame) -> float | None:
@@ -125,25 +141,62 @@ class Network:
     def _compose(self, a: DataFrame, b: DataFrame) -> DataFrame:
         return R.compose(a, b, self.hub_rows)
 
-    def _product(self, parts: list[DataFrame], paths: list[Metapath], order: str) -> DataFrame:
+    def _size(self, part: Part) -> tuple[float, float, float]:
+        """Rows, source nodes and target nodes of a factor, about."""
+        rows, sources, targets = reduce(lambda a, b: (min(a[0] * b[0] / max(1.0, b[1]), a[1] * b[2]), a[1], b[2]), self.sizes(part.path.steps))
+        if part.like is not None:
+            rows = sum(self._size(Part(part.relation, p))[0] for p in part.like) if part.like else sources
+        return min(rows, sources * targets), sources, targets
+
+    def _product(self, parts: list[Part], order: str) -> DataFrame:
         """Product of relations in a row: from the left (sequential), from the right (recursive), or in the cheapest order (chain)."""
-        if len(parts) < 3 or order == "sequential":
-            return reduce(self._compose, parts)
+        relations = [p.relation for p in parts]
+        if len(parts) == 1 or order == "sequential":
+            return reduce(self._compose, relations)
         if order == "recursive":
-            return reduce(lambda right, left: self._compose(left, right), parts[::-1])
+            return reduce(lambda right, left: self._compose(left, right), relations[::-1])
         if order != "chain":
             raise ValueError(f"order {order!r}")
-        self.sizes(s for p in paths for s in p.steps)
-        sizes = []
-        for p in paths:
-            ends = self.sizes(p.steps)
-            rows = reduce(lambda a, b: (min(a[0] * b[0] / max(1.0, b[1]), a[1] * b[2]), a[1], b[2]), ends)
-            sizes.append(rows)
-
-        def build(tree) -> DataFrame:
-            return parts[tree] if isinstance(tree, int) else self._compose(build(tree[0]), build(tree[1]))
-
-        return build(shapes.cheapest_order(sizes))
+        self.sizes(s for p in parts for s in p.path.steps)
+        sizes = [self._size(p) for p in parts]
+
+        def build(tree) -> tuple[DataFrame, tuple[float, float, float]]:
+            if isinstance(tree, int):
+                return relations[tree], sizes[tree]
+            (a, x), (b, y) = build(tree[0]), build(tree[1])
+            made = x[0] * y[0] / max(1.0, y[1])
+            size = min(made, x[1] * y[2]), x[1], y[2]
+            if y[1] <= dense.MIDDLE and made >= max(DENSE_PRODUCTS, 2 * size[0]):
+                return dense.compose(a, b, x[1], y[2], y[0]), size
+            return self._compose(a, b), size
+
+        return build(shapes.cheapest_order(sizes))[0]
+
+    def _sum(self, terms: list[Term], order: str) -> DataFrame:
+        """The relation that the terms make together."""
+        if len(terms) == 1 and terms[0][0] == 1:
+            return self._product(terms[0][1], order)
+        return R.combine(*[(sign, self._product(parts, order)) for sign, parts in terms])
+
+    def _diagonal(self, terms: list[Term], path: Metapath, order: str) -> Part:
+        """The closed walks of a sum of products, without the products: each is cut where its halves have the fewest rows."""
+        found = []
+        for sign, parts in terms:
+            if len(parts) == 1:
+                found.append((sign, parts[0].relation.where("src = dst")))
+                continue
+
+            def rows(at: int) -> float:
+                return sum(self._size(Part(parts[0].relation, reduce(lambda a, b: a + b, [p.path for p in half]), half[0].like if len(half) == 1 else None))[0] for half in (parts[:at], parts[at:]))
+
+            at = min(range(1, len(parts)), key=rows)
+            left = self._product(parts[:at], order)
+            if all(p.like is None for p in parts) and [p.path for p in parts[:at]] == [p.path.inverse for p in reversed(parts[at:])]:
+                found.append((sign, R.squared_walks(left)))  # the other half is the same, turned
+            else:
+                found.append((sign, R.closed_walks(left, self._product(parts[at:], order))))
+        relation = R.signed_sum(*found) if len(found) > 1 or found[0][0] != 1 else found[0][1]
+        return Part(relation, path, ())
 
     @staticmethod
     def _restricted(r: DataFrame, side: str, ids: DataFrame | None) -> DataFrame:
@@ -158,7 +211,7 @@ class Network:
             parts = [self.weighted(s, damping) for s in path.steps]
             parts[0] = self._restricted(parts[0], "src", sources)
             parts[-1] = self._restricted(parts[-1], "dst", targets)
-            return self._product(parts, [path[i : i + 1] for i in range(len(path))], order)
+            return self._product([Part(r, path[i : i + 1]) for i, r in enumerate(parts)], order)
         return self._restricted(self._restricted(known, "src", sources), "dst", targets)
 
     def dwpc(self, metapath: Pathlike, damping: float = 0.5, order: str = "chain", exact: bool = True, dtype: str = "double") -> DataFrame:
@@ -178,42 +231,82 @@ class Network:
         known = self._known("dwpc", plan.path, damping)
         if known is not None:
             return known
-        if plan.op == "enumerate":
-            return self.enumerate_paths(plan.path, damping) if exact else self._bound(plan.path, damping, order)
         if plan.op == "edge":
             step = plan.path.steps[0]
             edges = self.weighted(step, damping)
             return R.off_diagonal(edges) if step.source == step.target else edges
-        parts = [self._run(p, damping, order, exact) for p in plan.parts]
-        product = self._product(parts, [p.path for p in plan.parts], order) if plan.op in ("chain", "around") else None
-        if plan.op == "chain":
-            return product
-        if plan.op == "around":
-            return R.off_diagonal(product)
-        if plan.op == "triple":
-            return R.off_diagonal(self._compose(*parts))
-        x, y, z = parts
-        xy, yz = self._compose(x, y), self._compose(y, z)
-        crossing = R.hadamard(R.hadamard(x, R.transpose(y)), z)
-        out = R.combine(
-            (1, self._compose(R.off_diagonal(xy), z)),
-            (-1, self._compose(x, R.closed_walks(y, z))),
-            (1, crossing),
-        )
-        return R.off_diagonal(out) if plan.op == "quad" else out
+        if plan.op in ("around", "triple", "quad"):
+            return R.off_diagonal(self._sum(self._open_terms(plan, damping, order, exact), order))
+        if plan.op == "enumerate":
+            if not exact:
+                return self._bound(plan.path, damping, order)
+            if shapes.thrice_crossed(plan.path) is None:
+                return self.enumerate_paths(plan.path, damping)
+        return self._sum(self._open_terms(plan, damping, order, exact), order)
+
+    def _terms(self, plan: shapes.Plan, damping: float, order: str, exact: bool) -> list[Term]:
+        """Products, with signs, that make up the path counts of a plan: walks, and what is taken off them for nodes passed twice.
+
+        In a longer product each of them is multiplied in its own cheapest order, so that a product between two metanodes with many pairs, such as
+        all pairs of orders, need not be made only to leave out its diagonal. What has no more rows than the edges it is made of stays whole.
+        """
+        whole = not exact or plan.op == "edge" or self._known("dwpc", plan.path, damping) is not None
+        if not whole:
+            whole = self._size(Part(None, plan.path))[0] <= sum(rows for rows, _, _ in self.sizes(plan.path.steps))
+        if whole or plan.op == "enumerate" and shapes.thrice_crossed(plan.path) is None:
+            return [(1, [Part(self._run(plan, damping, order, exact), plan.path)])]
+        terms = self._open_terms(plan, damping, order, exact)
+        if plan.op in ("around", "triple", "quad"):
+            return [*terms, (-1, [self._diagonal(terms, plan.path, order)])]
+        return terms
+
+    def _open_terms(self, plan: shapes.Plan, damping: float, order: str, exact: bool) -> list[Term]:
+        """As _terms; of around, triple and quad without the condition that their two ends differ."""
+        if plan.op == "enumerate":
+            return self._thrice_crossed(plan, damping, order, exact)
+        each = [self._terms(p, damping, order, exact) for p in plan.parts]
+        terms = [(1, [])]
+        for more in each:
+            terms = [(a * b, x + y) for a, x in terms for b, y in more]
+        if plan.op not in ("quad", "baba"):
+            return terms
+        x, y, z = (Part(self._sum(t, order), p.path) for t, p in zip(each, plan.parts))
+        first = self._diagonal([(1, [x, y])], x.path + y.path, order)
+        second = self._diagonal([(1, [y, z])], y.path + z.path, order)
+        less = R.signed_sum((-1, self._compose(first.relation, z.relation)), (-1, self._compose(x.relation, second.relation)),
+                            (1, R.hadamard(R.hadamard(x.relation, R.transpose(y.relation)), z.relation)))
+        return [*terms, (1, [Part(less, plan.path, (x.path, z.path))])]
+
+    def _thrice_crossed(self, plan: shapes.Plan, damping: float, order: str, exact: bool) -> list[Term]:
+        """Three metanodes, each twice, in the same order (A B C A B C): by inclusion and exclusion over which of them are passed twice."""
+        a, b, c, d, e = parts = [Part(self._run(p, damping, order, exact), p.path) for p in shapes.thrice_crossed(plan.path)]
+
+        def diagonal(*parts: Part) -> Part:
+            return self._diagonal([(1, list(parts))], reduce(lambda p, q: p + q, [x.path for x in parts]), order)
+
+        def product(*parts: Part) -> DataFrame:
+            return self._product(list(parts), order)
+
+        ad, be, turned = R.hadamard(a.relation, d.relation), R.hadamard(b.relation, e.relation), R.transpose(c.relation)
+        same_ab = Part(R.hadamard(ad, R.transpose(product(b, c))), a.path, (a.path,))
+        same_bc = Part(R.hadamard(be, R.transpose(product(c, d))), b.path, (b.path,))
+        same_ac = R.hadamard(R.hadamard(product(a, b), turned), product(d, e))
+        same = R.hadamard(product(Part(ad, a.path), Part(be, b.path)), turned)
+        both = a.path + b.path
+        return [(1, parts), (-1, [diagonal(a, b, c), d, e]), (-1, [a, diagonal(b, c, d), e]), (-1, [a, b, diagonal(c, d, e)]), (1, [same_ab, e]), (1, [a, same_bc]),
+                (1, [Part(same_ac, both, (both,))]), (-1, [Part(same, both, (both,))])]
 
     def _bound(self, path: Metapath, damping: float, order: str) -> DataFrame:
         """An upper bound of the path count: neighbouring occurrences of a metanode are kept apart where their stretches do not overlap."""
-        parts, paths, at = [], [], 0
+        parts, at = [], 0
         while at < len(path):
             nodes = path.metanodes
             again = next((j for j in range(at + 1, len(path) + 1) if nodes[j] == nodes[at]), None)
             stop = again or at + 1
-            part = self._product([self.weighted(s, damping) for s in path.steps[at:stop]], [path[i : i + 1] for i in range(at, stop)], order)
-            parts.append(R.off_diagonal(part) if again else part)
-            paths.append(path[at:stop])
+            part = self._product([Part(self.weighted(path.steps[i], damping), path[i : i + 1]) for i in range(at, stop)], order)
+            parts.append(Part(R.off_diagonal(part) if again else part, path[at:stop]))
             at = stop
-        return self._product(parts, paths, order)
+        return self._product(parts, order)
 
     def enumerate_paths(self, metapath: Pathlike, damping: float = 0.5) -> DataFrame:
         """Path counts by a join for each edge that keeps nodes of a metanode distinct. Right for every metapath, slow for long ones.

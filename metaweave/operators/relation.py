@@ -97,10 +97,21 @@ def closed_walks(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("src").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).select("src", F.col("src").alias("dst"), "n", "v")
 
 
+def squared_walks(a: DataFrame) -> DataFrame:
+    """closed_walks of a and its transpose."""
+    sums = a.groupBy("src").agg(F.sum(F.col("n") * F.col("n")).alias("n"), F.sum(F.col("v") * F.col("v")).alias("v"))
+    return sums.select("src", F.col("src").alias("dst"), "n", "v")
+
+
+def signed_sum(*terms: tuple[int, DataFrame]) -> DataFrame:
+    """Sum of relations with signs. Pairs of which n is 0 stay, as v may not be: for what is multiplied further."""
+    signed = [r.select("src", "dst", (F.lit(sign) * F.col("n")).alias("n"), (F.lit(float(sign)) * F.col("v")).alias("v")) for sign, r in terms]
+    return _summed(reduce(DataFrame.unionByName, signed), F.col("n"), F.col("v"))
+
+
 def combine(*terms: tuple[int, DataFrame]) -> DataFrame:
     """Sum of relations with signs; pairs without paths go."""
-    signed = [r.select("src", "dst", (F.lit(sign) * F.col("n")).alias("n"), (F.lit(float(sign)) * F.col("v")).alias("v")) for sign, r in terms]
-    return _summed(reduce(DataFrame.unionByName, signed), F.col("n"), F.col("v")).where("n <> 0")
+    return signed_sum(*terms).where("n <> 0")
 
 
 def validate(edges: DataFrame) -> DataFrame:

@@ -57,6 +57,9 @@ class Metapath:
     def __getitem__(self, where: slice) -> Metapath:
         return Metapath(self.steps[where], self.back[where])
 
+    def __add__(self, other: Metapath) -> Metapath:
+        return Metapath(self.steps + other.steps, self.back + other.back)
+
     def __str__(self) -> str:
         return self.source + "".join(s.abbreviation[len(s.source) :] for s in self.steps)
 

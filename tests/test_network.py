@@ -282,3 +282,45 @@ def test_store_and_archive(spark, example, tmp_path):
     assert len(zips) > 1 and len(archive.info(zips)) == len(names) and about.exists()
     archive.load(zips[0], tmp_path / "out")
     assert list((tmp_path / "out").rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("nodes", "CABAC CCABBAC CABABC CABBACB ABCABC CABCABCB CABACBA".split())
+def test_products_around_groups(tangled, nodes):
+    """Groups with repeated nodes inside longer products, which are opened into terms with signs."""
+    network, edges = tangled
+    check(network.dwpc(word(nodes)), brute(edges, word(nodes), 0.5))
+
+
+def test_three_crossed_pairs_are_not_enumerated(tangled, monkeypatch):
+    network, edges = tangled
+    want = brute(edges, word("ABCABC"), 0.5)
+    monkeypatch.setattr(Network, "enumerate_paths", None)
+    check(network.dwpc(word("ABCABC")), want)
+
+
+def test_few_middle_nodes_are_multiplied_in_blocks(tangled, monkeypatch):
+    from metaweave.operators import dense, network as module
+
+    network, edges = tangled
+    calls, real = [], dense.compose
+    monkeypatch.setattr(module, "DENSE_PRODUCTS", -100)
+    monkeypatch.setattr(dense, "SOURCES", 2)
+    monkeypatch.setattr(dense, "compose", lambda *a: calls.append(a) or real(*a))
+    path = word("ABC")
+    monkeypatch.setattr(network, "_size", lambda part: (1000.0, 2.0, 2.0))
+    check(network.dwpc(path), brute(edges, path, 0.5))
+    assert calls
+
+
+@pytest.mark.parametrize("nodes", ["ABAB", "CABAC"])
+def test_no_product_of_all_pairs(spark, monkeypatch, nodes):
+    """Many nodes of A between few of others: no product holds all pairs of A."""
+    rng = random.Random(2)
+    ids = {"A": 60, "B": 3, "C": 3}
+    names = {m: [f"{m}{i}" for i in range(n)] for m, n in ids.items()}
+    edges = {s: {(x, y): rng.random() for x in names[s[0]] for y in names[s[-1]] if x != y} for s in ("AxB", "AxC")}
+    network = build(spark, FULL, names, edges)
+    made, real = [], R.compose
+    monkeypatch.setattr(R, "compose", lambda *a: made.append(real(*a)) or made[-1])
+    check(network.dwpc(word(nodes)), brute(edges, word(nodes), 0.5))
+    assert max(r.count() for r in made) <= 180
