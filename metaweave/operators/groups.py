@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaweave.functions import significance
+from metaweave.operators import cells
 from metaweave.operators import relation as R
-from metaweave.operators.network import Network, Pathlike
+from metaweave.operators.network import BROADCAST_NODES, Network, Pathlike
+from metaweave.plans.schema import Metapath
 
 
 def end_degrees(network: Network, metapath: Pathlike) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +73,36 @@ def permuted_groups(permuted: Iterable[Network], metapath: Pathlike, mean: float
     return reduce(DataFrame.unionByName, each).groupBy("source_degree", "target_degree").agg(*sums)
 
 
+def _total(a: DataFrame, b: DataFrame | None, apart: bool) -> DataFrame:
+    """(total): the sum of v over the product of a and b (None: a turned round), without its diagonal if apart; the product is not made."""
+    if b is None:
+        less = F.sum(F.col("v") * F.col("v")) if apart else F.lit(0.0)
+        return a.groupBy("dst").agg((F.sum("v") * F.sum("v") - less).alias("v")).agg(F.sum("v").alias("total"))
+    left, right = (r.groupBy(F.col(side).alias("mid")).agg(F.sum("v").alias(name)) for r, side, name in ((a, "dst", "x"), (b, "src", "y")))
+    sums = left.join(right, "mid").select((F.col("x") * F.col("y")).alias("v"))
+    return (sums.unionByName(R.hadamard(a, R.transpose(b)).select((-F.col("v")).alias("v"))) if apart else sums).agg(F.sum("v").alias("total"))
+
+
+def _every_pair(network: Network, path: Metapath, factors: tuple | None, counts: DataFrame | None, one_way: bool) -> DataFrame:
+    """(src, dst, n, v) of every pair of nodes, 0 where there is no path."""
+    nodes = [network.nodes[m].select("id") for m in (path.source, path.target)]
+    many = network.node_counts([path.source, path.target])
+    few = many[0] <= BROADCAST_NODES, many[1] <= BROADCAST_NODES
+    if factors is None:  # the counts as they are, times the targets
+        if one_way:
+            counts = counts.where("src <= dst")
+        same = nodes[1].select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("v"))
+        rows = cells.every_pair(counts, same, *nodes, cells.blocks_of(*many, (network.rows_about(path), many[1])), few, False, False)
+        return rows.where("src <= dst") if one_way else rows
+    a, b, apart = factors
+    rows = network.rows_about(path[:1]), network.rows_about(path[1:])
+    blocks = cells.blocks_of(*many, rows)
+    if b is None and one_way:
+        return cells.every_pair(a, a, *nodes, (max(blocks),) * 2, few, True, apart)
+    rows = cells.every_pair(a, R.transpose(a) if b is None else b, *nodes, blocks, few, False, apart)
+    return rows.where("src <= dst") if one_way else rows
+
+
 def pairs(network: Network, metapath: Pathlike, damping: float = 0.5, ignore_zeros: bool = False, ignore_redundant: bool = True) -> DataFrame:
     """A row for each pair: source_id, target_id, source_name, target_name, source_degree, target_degree, path_count, dwpc = asinh(dwpc / mean).
 
@@ -79,25 +111,28 @@ def pairs(network: Network, metapath: Pathlike, damping: float = 0.5, ignore_zer
     each pair of a symmetric metapath. Where no pair has paths dwpc is 0.
     """
     path = network.schema.metapath(metapath)
-    counts = network.dwpc(path, damping)
-    # the mean is a row joined to every pair: the metric's shuffled rows serve both, and nothing runs before the result is asked for
-    total = counts.agg(F.sum("v").alias("total"))
+    one_way = ignore_redundant and path.is_symmetric
+    factors = None if ignore_zeros else network.two_factors(path, damping)
+    counts = network.dwpc(path, damping) if factors is None else None
+    total = counts.agg(F.sum("v").alias("total")) if factors is None else _total(*factors)
+    # the mean is a row joined to every pair: nothing runs before the result is asked for
     for side in (path.source, path.target):
         total = total.crossJoin(network.nodes[side].agg(F.count("*").alias(f"n{len(total.columns)}")))
     mean = total.select(F.coalesce(F.nullif(F.col("total"), F.lit(0.0)) / (F.col("n1") * F.col("n2")), F.lit(1.0)).alias("mean"))
-    scaled = counts.crossJoin(F.broadcast(mean)).select("src", "dst", F.col("n").alias("path_count"), F.asinh(F.col("v") / F.col("mean")).alias("dwpc"))
     source, target = end_degrees(network, path)
     names = ("id", "name")
     s = network.nodes[path.source].select(*names).join(source, "id").select(
         F.col("id").alias("src"), F.col("name").alias("source_name"), F.col("degree").alias("source_degree"))
     t = network.nodes[path.target].select(*names).join(target, "id").select(
         F.col("id").alias("dst"), F.col("name").alias("target_name"), F.col("degree").alias("target_degree"))
-    one_way = ignore_redundant and path.is_symmetric
     if ignore_zeros:
+        scaled = counts.crossJoin(F.broadcast(mean)).select("src", "dst", F.col("n").alias("path_count"), F.asinh(F.col("v") / F.col("mean")).alias("dwpc"))
         rows = (scaled.where("src <= dst") if one_way else scaled).where("dwpc <> 0").join(s, "src").join(t, "dst")
     else:
-        every = s.crossJoin(t)
-        rows = (every.where("src <= dst") if one_way else every).join(scaled, ["src", "dst"], "left")
+        every = _every_pair(network, path, factors, counts, one_way).crossJoin(F.broadcast(mean)).select(
+            "src", "dst", F.col("n").alias("path_count"), F.when(F.col("n") == 0, 0.0).otherwise(F.asinh(F.col("v") / F.col("mean"))).alias("dwpc"))
+        few = [n <= BROADCAST_NODES for n in network.node_counts([path.source, path.target])]
+        rows = every.join(F.broadcast(s) if few[0] else s, "src").join(F.broadcast(t) if few[1] else t, "dst")
     return rows.select(
         F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "source_name", "target_name", "source_degree", "target_degree",
         F.coalesce("path_count", F.lit(0).cast("long")).alias("path_count"), F.coalesce("dwpc", F.lit(0.0)).alias("dwpc"),

@@ -244,6 +244,17 @@ class Network:
                 return self.enumerate_paths(plan.path, damping)
         return self._sum(self._open_terms(plan, damping, order, exact), order)
 
+    def two_factors(self, path: Metapath, damping: float) -> tuple[DataFrame, DataFrame | None, bool] | None:
+        """Where the path counts are a product of two metaedges: these, and whether the diagonal of it is to go. The second is None if it is the first turned round."""
+        plan = shapes.plan(path)
+        if len(path) != 2 or plan.op not in ("chain", "around") or any(s.source == s.target for s in path.steps) or self._known("dwpc", path, damping) is not None:
+            return None
+        a = self.weighted(path.steps[0], damping)
+        return a, None if path.is_symmetric else self.weighted(path.steps[1], damping), plan.op == "around"
+
+    def rows_about(self, path: Metapath) -> float:
+        return self._size(Part(None, path))[0]
+
     def _terms(self, plan: shapes.Plan, damping: float, order: str, exact: bool) -> list[Term]:
         """Products, with signs, that make up the path counts of a plan: walks, and what is taken off them for nodes passed twice.
 

@@ -324,3 +324,24 @@ def test_no_product_of_all_pairs(spark, monkeypatch, nodes):
     monkeypatch.setattr(R, "compose", lambda *a: made.append(real(*a)) or made[-1])
     check(network.dwpc(word(nodes)), brute(edges, word(nodes), 0.5))
     assert max(r.count() for r in made) <= 180
+
+
+def test_all_pairs_are_not_joined_to_counts(spark, monkeypatch):
+    """Every pair of a symmetric metapath is made block by block: no join by both ends, and the same rows as from a search."""
+    from metaweave.operators import cells
+
+    rng = random.Random(4)
+    names = {"A": [f"a{i:02}" for i in range(30)], "B": [f"b{i}" for i in range(12)], "C": ["c0"]}
+    edges = {s: {(x, y): rng.random() for x in names[s[0]] for y in names[s[-1]] if rng.random() < 0.15} for s in ("AxB", "BxC")}
+    network = build(spark, FULL, names, edges)
+    for name, value in {"CELLS": 60, "NODES": 8, "ROWS": 20, "PRODUCTS": 3, "OUT": 10}.items():
+        monkeypatch.setattr(cells, name, value)
+    for path, one_way in ((word("ABA"), True), (word("ABC"), False), (word("CBA"), False), (word("AB"), False)):
+        want = brute(edges, path, 0.5)
+        mean = sum(want.values()) / (len(names[path.source]) * len(names[path.target])) or 1.0
+        rows = groups.pairs(network, path)
+        assert all(not ("FullOuter" in line or "LeftOuter" in line) or "src" not in line or "dst" not in line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines())
+        got = {(r["source_id"], r["target_id"]): (r["path_count"], r["dwpc"]) for r in rows.collect()}
+        assert got.keys() == {(a, b) for a in names[path.source] for b in names[path.target] if a <= b or not one_way}
+        for k, (n, v) in got.items():
+            assert math.isclose(v, math.asinh(want.get(k, 0) / mean), rel_tol=1e-9) and (n > 0) == (k in want), k
