@@ -235,6 +235,9 @@ class Network:
             step = plan.path.steps[0]
             edges = self.weighted(step, damping)
             return R.off_diagonal(edges) if step.source == step.target else edges
+        half = len(plan.path) // 2
+        if half >= 2 and plan.path.is_symmetric and len(set(plan.path.metanodes)) == half + 1:
+            return self._mirrored(plan.path, damping, order)
         if plan.op in ("around", "triple", "quad"):
             return R.off_diagonal(self._sum(self._open_terms(plan, damping, order, exact), order))
         if plan.op == "enumerate":
@@ -288,6 +291,52 @@ class Network:
                             (1, R.hadamard(R.hadamard(x.relation, R.transpose(y.relation)), z.relation)))
         return [*terms, (1, [Part(less, plan.path, (x.path, z.path))])]
 
+    def _mirrored(self, path: Metapath, damping: float, order: str) -> DataFrame:
+        """Path counts of a metapath that leads by different metanodes to a middle one and back by the same.
+
+        Pairs of ways to a middle node, by inclusion and exclusion over which of the nodes between they have in common. Ways from different ends can
+        have a node in common only if it is reached from several ends: where none is, as of orders with one customer, the terms are empty. The degrees of
+        middle nodes are left out until the ways to each are summed, so that the last metaedge is shuffled once by the node before it.
+        """
+        half = len(path) // 2
+        edges = self.edges(path.steps[half - 1])
+        last = R.row_weighted(edges, damping)
+        degrees = R.degrees(edges, "dst", "column").withColumnRenamed("node", "dst")
+        factor = F.when(F.col("column") == 0, 0.0).otherwise(F.pow("column", F.lit(-float(damping))))
+        before = [self.weighted(s, damping) for s in path.steps[: half - 1]]
+
+        def ends(ways: DataFrame) -> DataFrame:
+            """By two different ends: ways (src, dst, n, v, and what else is to be the same)."""
+            scaled = ways.join(degrees, "dst").withColumn("v", F.col("v") * factor) if damping else ways
+            key = F.struct("dst", *[c for c in ways.columns if c.startswith("x")])
+            r = scaled.select("src", key.alias("dst"), "n", "v")
+            return R.off_diagonal(self._compose(r, R.transpose(r)))
+
+        first = self._product([Part(r, path[i : i + 1]) for i, r in enumerate(before)], order)
+        terms = [(1, ends(self._compose(first, last)))]
+        ways = before[0].select(F.col("src").alias("x0"), F.col("dst").alias("x1"), "n", "v")
+        shared = {}
+        for i in range(1, half):
+            if i > 1:
+                e = before[i - 1].alias("e")
+                ways = ways.alias("w").join(e, F.col(f"w.x{i - 1}") == F.col("e.src")).select(
+                    *[f"w.x{j}" for j in range(i)], F.col("e.dst").alias(f"x{i}"), (F.col("w.n") * F.col("e.n")).alias("n"), (F.col("w.v") * F.col("e.v")).alias("v"))
+            shared[i] = ways.groupBy(f"x{i}").agg(F.min("x0").alias("least"), F.max("x0").alias("most")).where("least <> most").select(f"x{i}")
+        for mask in range(1, 1 << (half - 1)):
+            same = [i for i in range(1, half) if mask >> (i - 1) & 1]
+            some = ways
+            for i in same:
+                some = some.join(shared[i], f"x{i}", "left_semi")
+            keep = [f"x{i}" for i in same]
+            # nodes in common have names of their own, as the last of them is also what the metaedge is joined by
+            some = some.select(F.col("x0").alias("src"), F.col(f"x{half - 1}").alias("mid"), *keep, "n", "v").groupBy("src", "mid", *keep).agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+            e = last.alias("e")
+            rows = some.alias("w").join(e, F.col("w.mid") == F.col("e.src")).select(
+                "w.src", "e.dst", *[f"w.{k}" for k in keep], (F.col("w.n") * F.col("e.n")).alias("n"), (F.col("w.v") * F.col("e.v")).alias("v"))
+            rows = rows.groupBy("src", "dst", *keep).agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+            terms.append(((-1) ** len(same), ends(rows)))
+        return R.combine(*terms)
+
     def _thrice_crossed(self, plan: shapes.Plan, damping: float, order: str, exact: bool) -> list[Term]:
         """Three metanodes, each twice, in the same order (A B C A B C): by inclusion and exclusion over which of them are passed twice."""
         a, b, c, d, e = parts = [Part(self._run(p, damping, order, exact), p.path) for p in shapes.thrice_crossed(plan.path)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIR = ["src", "dst"]
@@ -54,6 +54,15 @@ def degree_weighted(edges: DataFrame, damping: float, small: tuple[bool, bool] =
     return both.select("src", "dst", F.lit(1).cast("long").alias("n"), (F.col("v") * weight).cast("double").alias("v"))
 
 
+def row_weighted(edges: DataFrame, damping: float) -> DataFrame:
+    """As degree_weighted, but for the factor of the column, which a sum over rows may be given later. Edges are dealt out by source once, and lie so in the result."""
+    rows = edges.repartition("src")
+    if damping:
+        row = F.sum("v").over(Window.partitionBy("src"))
+        rows = rows.select("src", "dst", (F.col("v") * F.when(row == 0, 0.0).otherwise(F.pow(row, F.lit(-float(damping))))).alias("v"))
+    return rows.select("src", "dst", F.lit(1).cast("long").alias("n"), F.col("v").cast("double").alias("v"))
+
+
 def diffusion_step(edges: DataFrame, row_damping: float = 0, column_damping: float = 0, small: tuple[bool, bool] = (False, False)) -> DataFrame:
     """Columns are normalised first; then rows, by the sums that they have after it. small: as in degree_weighted."""
     return scale_by(scale_by(edges.withColumn("v", F.col("v").cast("double")), "dst", column_damping, small[1]), "src", row_damping, small[0])

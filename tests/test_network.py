@@ -345,3 +345,24 @@ def test_all_pairs_are_not_joined_to_counts(spark, monkeypatch):
         assert got.keys() == {(a, b) for a in names[path.source] for b in names[path.target] if a <= b or not one_way}
         for k, (n, v) in got.items():
             assert math.isclose(v, math.asinh(want.get(k, 0) / mean), rel_tol=1e-9) and (n > 0) == (k in want), k
+
+
+@pytest.mark.parametrize("nodes", ["CABAC", "ABCBA"])
+def test_mirrored_paths_shuffle_the_middle_once(tangled, monkeypatch, nodes):
+    """There and back by the same metanodes: the last metaedge is weighted by its rows only, once, and nodes in common are taken off."""
+    network, edges = tangled
+    calls, real = [], R.row_weighted
+    monkeypatch.setattr(R, "row_weighted", lambda *a: calls.append(a) or real(*a))
+    for damping in (0.0, 0.5):
+        check(network.dwpc(word(nodes), damping), brute(edges, word(nodes), damping))
+    assert len(calls) == 2
+
+
+def test_mirrored_path_of_four_metanodes(spark):
+    """Nodes between that are reached from several ends, two of them at once too."""
+    schema = Schema({m: m for m in "ABCD"}, [(a, "x", b, "both") for a, b in ("AB", "BC", "CD")])
+    rng = random.Random(6)
+    names = {m: [f"{m}{i}" for i in range(4)] for m in "ABCD"}
+    edges = {s: {(x, y): rng.random() for x in names[s[0]] for y in names[s[-1]] if rng.random() < 0.6} for s in ("AxB", "BxC", "CxD")}
+    path = schema.metapath("AxBxCxDxCxBxA")
+    check(build(spark, schema, names, edges).dwpc(path), brute(edges, path, 0.5))
