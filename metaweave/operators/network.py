@@ -7,11 +7,12 @@ from collections.abc import Iterable, Mapping
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metaweave.operators import dense
 from metaweave.operators import relation as R
+from metaweave.operators import slices
 from metaweave.plans import shapes
 from metaweave.plans.schema import Metapath, Schema, Step
 
@@ -20,6 +21,10 @@ Pathlike = str | Metapath
 BROADCAST_NODES = 500_000
 #: From so many products on, relations that meet in few nodes are multiplied in blocks.
 DENSE_PRODUCTS = 50_000_000
+#: From so many products on, relations towards few nodes are multiplied in slices of these.
+SLICED_PRODUCTS = 1_000_000
+#: Ids of edges, sorted and compressed, may take so many times less in a file than the statistics of a plan suppose: blocks are cut for this many times the rows.
+COMPRESSED = 8
 
 
 class Part(NamedTuple):
@@ -238,6 +243,12 @@ class Network:
         half = len(plan.path) // 2
         if half >= 2 and plan.path.is_symmetric and len(set(plan.path.metanodes)) == half + 1:
             return self._mirrored(plan.path, damping, order)
+        if order == "chain":
+            for turned in (False, True):
+                there = shapes.there_again(shapes.plan(plan.path.inverse) if turned else plan)
+                if there is not None and self._many_towards_few(*there):
+                    found = self._there_again(*there, damping, order, exact)
+                    return R.transpose(found) if turned else found
         if plan.op in ("around", "triple", "quad"):
             return R.off_diagonal(self._sum(self._open_terms(plan, damping, order, exact), order))
         if plan.op == "enumerate":
@@ -337,6 +348,50 @@ class Network:
             terms.append(((-1) ** len(same), ends(rows)))
         return R.combine(*terms)
 
+    def _many_towards_few(self, before: tuple[shapes.Plan, ...], step: shapes.Plan, after: tuple[shapes.Plan, ...]) -> bool:
+        """Whether few targets end ways of which a product row by row would be long."""
+        targets = self.node_counts([after[-1].path.target])[0]
+        if targets > slices.TARGETS:
+            return False
+        ways = reduce(lambda a, b: a + b, [p.path for p in before] + [step.path])
+        return self._size(Part(None, ways))[0] * targets >= SLICED_PRODUCTS
+
+    def _there_again(self, before: tuple[shapes.Plan, ...], step: shapes.Plan, after: tuple[shapes.Plan, ...], damping: float, order: str, exact: bool) -> DataFrame:
+        """Path counts of a metapath that takes a metaedge there, back and there again (O P O P), and ends in few nodes.
+
+        From the right, as products towards few nodes. Ways by two different nodes P: from a P to all ends of ways on from its O, less those by itself. Ways
+        from an O go on so, less those that come back to it (the squares of its other edges). Both are sums beside the products, so that no relation but the metaedge's own is made.
+        """
+        edges = step.path.steps[0]
+        small = self._small(edges)[1] if damping else False
+        around = Window.partitionBy("src")
+        e = R.laid_out(self.edges(edges), damping, "src", small)
+        last = self._product([Part(self._run(p, damping, order, exact), p.path) for p in after], order)
+        ends = reduce(lambda a, b: a + b, [p.path for p in after])
+        targets = self.node_counts([ends.target])[0]
+        sources, middle = self.node_counts([edges.source, edges.target])
+        rows = min(COMPRESSED * self._size(Part(None, step.path))[0], sources * middle)
+        last_rows = self._size(Part(None, ends))[0]
+        if self.count_nodes(edges.target) <= BROADCAST_NODES and last_rows <= 2 * BROADCAST_NODES:
+            w, x = F.broadcast(last).alias("w"), e.alias("e")
+            joined = x.join(w, F.col("e.dst") == F.col("w.src")).select("e.src", "w.dst", (F.col("e.n") * F.col("w.n")).alias("n"), (F.col("e.v") * F.col("w.v")).alias("v"))
+            onward = joined.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))  # lies by src already
+        else:
+            onward = slices.compose(e, last, (rows, last_rows), targets)
+        back = slices.compose(R.transpose(e), onward, (rows, min(rows * last_rows / max(1, middle), sources * targets)), targets, last).where("n <> 0")
+        n1, v1 = F.lit(1).cast("long") - F.count("*").over(around), F.col("v") * (F.col("v") * F.col("v") - F.sum(F.col("v") * F.col("v")).over(around))
+        first = e.select("src", "dst", "n", "v", n1.alias("n1"), v1.alias("v1"))
+        if before:
+            if len(before) == 1 and before[0].op == "edge" and before[0].path.source != before[0].path.target:
+                s = before[0].path.steps[0]
+                a = R.laid_out(self.edges(s), damping, "dst", self._small(s)[0] if damping else False)
+            else:
+                a = self._product([Part(self._run(p, damping, order, exact), p.path) for p in before], order)
+            scaled = [(F.col("a.n") * F.col(f"e.{c}") if c.startswith("n") else F.col("a.v") * F.col(f"e.{c}")).alias(c) for c in ("n", "v", "n1", "v1")]
+            first = a.alias("a").join(first.alias("e"), F.col("a.dst") == F.col("e.src")).select("a.src", "e.dst", *scaled)
+            rows = max(rows, self._size(Part(None, reduce(lambda a, b: a + b, [p.path for p in before] + [step.path])))[0])
+        return slices.compose(first, back, (rows, middle * targets), targets, last).where("n <> 0")
+
     def _thrice_crossed(self, plan: shapes.Plan, damping: float, order: str, exact: bool) -> list[Term]:
         """Three metanodes, each twice, in the same order (A B C A B C): by inclusion and exclusion over which of them are passed twice."""
         a, b, c, d, e = parts = [Part(self._run(p, damping, order, exact), p.path) for p in shapes.thrice_crossed(plan.path)]

@@ -63,6 +63,22 @@ def row_weighted(edges: DataFrame, damping: float) -> DataFrame:
     return rows.select("src", "dst", F.lit(1).cast("long").alias("n"), F.col("v").cast("double").alias("v"))
 
 
+def laid_out(edges: DataFrame, damping: float, by: str, small: bool) -> DataFrame:
+    """As degree_weighted, but dealt out by one of the nodes (by: src or dst), and lying so in the result. small: whether the other nodes are few enough to be sent to all executors."""
+    other = "src" if by == "dst" else "dst"
+    if damping:
+        if small:
+            edges = _beside(edges, degrees(edges, other, "one"), other, True)
+        else:
+            edges = edges.repartition(other).withColumn("one", F.sum("v").over(Window.partitionBy(other)))
+    rows = edges.repartition(by)
+    if not damping:
+        return rows.select("src", "dst", F.lit(1).cast("long").alias("n"), F.col("v").cast("double").alias("v"))
+    product = F.col("one") * F.sum("v").over(Window.partitionBy(by))
+    weight = F.when(product == 0, 0.0).otherwise(F.pow(product, F.lit(-float(damping))))
+    return rows.select("src", "dst", F.lit(1).cast("long").alias("n"), (F.col("v") * weight).cast("double").alias("v"))
+
+
 def diffusion_step(edges: DataFrame, row_damping: float = 0, column_damping: float = 0, small: tuple[bool, bool] = (False, False)) -> DataFrame:
     """Columns are normalised first; then rows, by the sums that they have after it. small: as in degree_weighted."""
     return scale_by(scale_by(edges.withColumn("v", F.col("v").cast("double")), "dst", column_damping, small[1]), "src", row_damping, small[0])

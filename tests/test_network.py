@@ -366,3 +366,44 @@ def test_mirrored_path_of_four_metanodes(spark):
     edges = {s: {(x, y): rng.random() for x in names[s[0]] for y in names[s[-1]] if rng.random() < 0.6} for s in ("AxB", "BxC", "CxD")}
     path = schema.metapath("AxBxCxDxCxBxA")
     check(build(spark, schema, names, edges).dwpc(path), brute(edges, path, 0.5))
+
+
+@pytest.mark.parametrize("damping", [0.0, 0.5])
+def test_there_and_back_again_makes_no_product_by_rows(spark, monkeypatch, damping):
+    """A metaedge there, back and there again towards few nodes: no product is joined row by row and shuffled, from either end, with few nodes to broadcast or many."""
+    from metaweave.operators import network as module
+    from metaweave.operators import slices
+
+    schema = Schema({m: m for m in "ABCD"}, [(a, "x", b, "both") for a, b in ("AB", "BC", "CD")])
+    rng = random.Random(8)
+    names = {m: [f"{m}{i}" for i in range(n)] for m, n in zip("ABCD", (7, 9, 6, 3))}
+    edges = {s: {(x, y): rng.random() for x in names[s[0]] for y in names[s[-1]] if rng.random() < 0.5} for s in ("AxB", "BxC", "CxD")}
+    monkeypatch.setattr(module, "SLICED_PRODUCTS", 0)
+    for name, value in {"TARGETS": 3, "ROWS": 5, "SLICE": 4, "PACKED": 3, "OUT": 2}.items():
+        monkeypatch.setattr(slices, name, value)
+    monkeypatch.setattr(R, "compose", None)
+    for text, broadcast in (("AxBxCxBxCxD", 100), ("DxCxBxCxBxA", 100), ("AxBxCxBxCxD", 0), ("BxCxBxCxD", 0)):
+        monkeypatch.setattr(module, "BROADCAST_NODES", broadcast)
+        path = schema.metapath(text)
+        check(build(spark, schema, names, edges).dwpc(path, damping), brute(edges, path, damping))
+
+
+def test_slices_are_as_a_product_by_rows(spark, monkeypatch):
+    """Signs, sources without a name, nodes in the middle without one, counts beyond 2^52 and beyond 2^63."""
+    from metaweave.operators import slices
+
+    rng = random.Random(9)
+    a = [(s, m, rng.choice([-2, 1, 3]), rng.random()) for s in [None, *range(20)] for m in [None, *range(12)] if rng.random() < 0.4] + [(99, 50, 1 << 32, 1.0), (99, 51, 3, 1.0)]
+    b = [(m, f"t{t}", rng.choice([-1, 2]), rng.random()) for m in [None, *range(12)] for t in range(4) if rng.random() < 0.5] + [(50, "t0", 1 << 28, 1.0), (51, "t0", 5, 1.0)]
+    left = spark.createDataFrame(a, "src long, dst long, n long, v double")
+    right = spark.createDataFrame(b, "src long, dst string, n long, v double")
+    for name, value in {"ROWS": 9, "SLICE": 7, "PACKED": 5, "OUT": 3}.items():
+        monkeypatch.setattr(slices, name, value)
+    want, got = ({(r["src"], r["dst"]): (r["n"], r["v"]) for r in made.collect()} for made in (R.compose(left, right), slices.compose(left, right, (len(a), len(b)), 4)))
+    assert got.keys() == want.keys() and got[99, "t0"][0] == (1 << 60) + 15
+    assert all(got[k][0] == n and math.isclose(got[k][1], v) for k, (n, v) in want.items())
+    for count in (1, 7, 40):
+        keys = spark.createDataFrame([(k,) for k in slices._apart(count)], "key int").select(F.pmod(F.hash("key"), F.lit(count)).alias("p"))
+        assert [r["p"] for r in keys.collect()] == list(range(count))
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        slices.compose(left, right.withColumn("n", F.col("n") * 16), (len(a), len(b)), 4).collect()
