@@ -371,7 +371,7 @@ class Network:
         targets = self.node_counts([ends.target])[0]
         sources, middle = self.node_counts([edges.source, edges.target])
         rows = min(COMPRESSED * self._size(Part(None, step.path))[0], sources * middle)
-        last_rows = self._size(Part(None, ends))[0]
+        last_rows = max(self._size(Part(None, ends))[0], middle)
         if self.count_nodes(edges.target) <= BROADCAST_NODES and last_rows <= 2 * BROADCAST_NODES:
             w, x = F.broadcast(last).alias("w"), e.alias("e")
             joined = x.join(w, F.col("e.dst") == F.col("w.src")).select("e.src", "w.dst", (F.col("e.n") * F.col("w.n")).alias("n"), (F.col("e.v") * F.col("w.v")).alias("v"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Targets at most; rows of a block of sources and of a slice of targets, about; rows packed and put out at once.
-TARGETS, ROWS, SLICE, PACKED, OUT = 256, 300_000, 500_000, 200_000, 100_000
+TARGETS, ROWS, SLICE, PACKED, OUT = 256, 300_000, 350_000, 100_000, 50_000
 
 
 def _narrow(column):
