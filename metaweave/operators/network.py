@@ -140,6 +140,10 @@ class Network:
         sources, targets = self.node_counts([step.source, step.target])
         return sources <= BROADCAST_NODES, targets <= BROADCAST_NODES
 
+    def _sent(self, metanode: str) -> bool:
+        """As _small, of a table of ids and numbers."""
+        return self.count_nodes(metanode) <= 3 * BROADCAST_NODES
+
     def weighted(self, step: Step, damping: float) -> DataFrame:
         return R.degree_weighted(self.edges(step), damping, self._small(step) if damping else (False, False))
 
@@ -363,7 +367,7 @@ class Network:
         from an O go on so, less those that come back to it (the squares of its other edges). Both are sums beside the products, so that no relation but the metaedge's own is made.
         """
         edges = step.path.steps[0]
-        small = self._small(edges)[1] if damping else False
+        small = self._sent(edges.target) if damping else False
         around = Window.partitionBy("src")
         e = R.laid_out(self.edges(edges), damping, "src", small)
         last = self._product([Part(self._run(p, damping, order, exact), p.path) for p in after], order)
@@ -372,25 +376,27 @@ class Network:
         sources, middle = self.node_counts([edges.source, edges.target])
         rows = min(COMPRESSED * self._size(Part(None, step.path))[0], sources * middle)
         last_rows = max(self._size(Part(None, ends))[0], middle)
-        if self.count_nodes(edges.target) <= BROADCAST_NODES and last_rows <= 2 * BROADCAST_NODES:
+        reached = min(rows * last_rows / max(1, middle), sources * targets)
+        if self._sent(edges.target) and last_rows <= 3 * BROADCAST_NODES:
             w, x = F.broadcast(last).alias("w"), e.alias("e")
             joined = x.join(w, F.col("e.dst") == F.col("w.src")).select("e.src", "w.dst", (F.col("e.n") * F.col("w.n")).alias("n"), (F.col("e.v") * F.col("w.v")).alias("v"))
             onward = joined.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))  # lies by src already
         else:
-            onward = slices.compose(e, last, (rows, last_rows), targets)
-        back = slices.compose(R.transpose(e), onward, (rows, min(rows * last_rows / max(1, middle), sources * targets)), targets, last).where("n <> 0")
+            onward = slices.compose(e, last, (rows, last_rows), targets, sources=sources, onward=reached)
+        back = slices.compose(R.transpose(e), onward, (rows, reached), targets, last, middle, middle * targets)
         n1, v1 = F.lit(1).cast("long") - F.count("*").over(around), F.col("v") * (F.col("v") * F.col("v") - F.sum(F.col("v") * F.col("v")).over(around))
         first = e.select("src", "dst", "n", "v", n1.alias("n1"), v1.alias("v1"))
         if before:
             if len(before) == 1 and before[0].op == "edge" and before[0].path.source != before[0].path.target:
                 s = before[0].path.steps[0]
-                a = R.laid_out(self.edges(s), damping, "dst", self._small(s)[0] if damping else False)
+                a = R.laid_out(self.edges(s), damping, "dst", self._sent(s.source) if damping else False)
             else:
                 a = self._product([Part(self._run(p, damping, order, exact), p.path) for p in before], order)
             scaled = [(F.col("a.n") * F.col(f"e.{c}") if c.startswith("n") else F.col("a.v") * F.col(f"e.{c}")).alias(c) for c in ("n", "v", "n1", "v1")]
             first = a.alias("a").join(first.alias("e"), F.col("a.dst") == F.col("e.src")).select("a.src", "e.dst", *scaled)
             rows = max(rows, self._size(Part(None, reduce(lambda a, b: a + b, [p.path for p in before] + [step.path])))[0])
-        return slices.compose(first, back, (rows, middle * targets), targets, last).where("n <> 0")
+            sources = self.node_counts([before[0].path.source])[0]
+        return slices.compose(first, back, (rows, middle * targets), targets, last, sources).where("n <> 0")
 
     def _thrice_crossed(self, plan: shapes.Plan, damping: float, order: str, exact: bool) -> list[Term]:
         """Three metanodes, each twice, in the same order (A B C A B C): by inclusion and exclusion over which of them are passed twice."""

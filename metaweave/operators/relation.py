@@ -66,15 +66,17 @@ def row_weighted(edges: DataFrame, damping: float) -> DataFrame:
 def laid_out(edges: DataFrame, damping: float, by: str, small: bool) -> DataFrame:
     """As degree_weighted, but dealt out by one of the nodes (by: src or dst), and lying so in the result. small: whether the other nodes are few enough to be sent to all executors."""
     other = "src" if by == "dst" else "dst"
-    if damping:
-        if small:
-            edges = _beside(edges, degrees(edges, other, "one"), other, True)
-        else:
-            edges = edges.repartition(other).withColumn("one", F.sum("v").over(Window.partitionBy(other)))
-    rows = edges.repartition(by)
     if not damping:
-        return rows.select("src", "dst", F.lit(1).cast("long").alias("n"), F.col("v").cast("double").alias("v"))
-    product = F.col("one") * F.sum("v").over(Window.partitionBy(by))
+        return edges.repartition(by).select("src", "dst", F.lit(1).cast("long").alias("n"), F.col("v").cast("double").alias("v"))
+    if small:
+        # no condition is moved below this filter, which lets all rows pass: else edges that are made by a shuffle were made twice, with null nodes and without
+        edges = edges.where(F.spark_partition_id() >= 0)
+        rows = edges.repartition(by).withColumn("two", F.sum("v").over(Window.partitionBy(by)))
+        rows = _beside(rows, degrees(edges, other, "one"), other, True)  # after the shuffle, which it would make larger
+    else:
+        edges = edges.repartition(other).withColumn("one", F.sum("v").over(Window.partitionBy(other)))
+        rows = edges.repartition(by).withColumn("two", F.sum("v").over(Window.partitionBy(by)))
+    product = F.col("one") * F.col("two")
     weight = F.when(product == 0, 0.0).otherwise(F.pow(product, F.lit(-float(damping))))
     return rows.select("src", "dst", F.lit(1).cast("long").alias("n"), (F.col("v") * weight).cast("double").alias("v"))
 
