@@ -347,10 +347,12 @@ def compose(a: DataFrame, b: DataFrame | Packed, rows: tuple[float, float], targ
         right = right.unionAll(_right(again, True, slices))
     pieces = pieces.unionAll(spark.createDataFrame([(k, PASS, None) for k in ends], "key int, slice int, data binary"))
     leads = [(k, k, None) for k in slices] + [(slices[0], BESIDE, None)] * squares
-    right = right.select("key", F.col("key").alias("to"), "data").unionAll(spark.createDataFrame(leads, "key int, to int, data binary"))
+    # a slice is one row before the stream: all rows of a block are gone through for each row that passes
+    right = right.repartition(len(slices), "key").groupBy("key").agg(F.collect_list("data").alias("data"))
+    right = right.select("key", F.col("key").alias("to"), "data").unionAll(spark.createDataFrame(leads, "key int, to int, data array<binary>"))
     left = pieces.repartition(len(ends), "key").select("key", "slice", F.col("data").alias("a"))
     right = right.repartition(len(slices), "key").sortWithinPartitions("to").select("to", F.col("data").alias("b"))
-    # the slices pass by every block in one stream, each piece once; one row of each slice, without data, brings the rows of the block that lead to it
+    # the slices pass by every block in one stream, each once; another row of each slice, without data, brings the rows of the block that lead to it
     met = F.isnull("b") & (F.col("to") == F.col("slice")) | F.isnotnull("b") & (F.col("slice") == PASS)
     both = right.coalesce(1).join(left.hint("shuffle_replicate_nl"), met).select("key", "to", "a", "b")
     shape, out = (math.ceil(1.1 * (min(sources, rows[0]) if sources is not None else 1) / blocks) + 16, min(math.ceil(targets), TARGETS)), OUT
@@ -386,16 +388,17 @@ def compose(a: DataFrame, b: DataFrame | Packed, rows: tuple[float, float], targ
         while (batch := next(batches, None)) is not None:
             keys, slices_ = batch.column("key").to_pylist(), batch.column("to").to_pylist()
             for i, (key, to) in enumerate(zip(keys, slices_)):
-                some = [batch.column(c)[i].as_py() for c in ("a", "b")]
                 if to == BESIDE:
-                    beside.append((key, some[0]))
+                    beside.append((key, batch.column("a")[i].as_py()))
                     continue
                 if to != last:
                     multiply()
                     last = to
-                for pieces, piece in zip(held.setdefault(key, ([], [])), some):
-                    if piece is not None:
-                        pieces.append(piece)
+                rows, passing = held.setdefault(key, ([], []))
+                if batch.column("b")[i].is_valid:
+                    passing.extend(batch.column("b")[i].as_py())
+                else:
+                    rows.append(batch.column("a")[i].as_py())
             del batch
         multiply()
         for key, piece in beside:

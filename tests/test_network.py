@@ -407,3 +407,22 @@ def test_slices_are_as_a_product_by_rows(spark, monkeypatch):
         assert [r["p"] for r in keys.collect()] == list(range(count))
     with pytest.raises(Exception, match="beyond 64 bits"):
         slices.compose(left, right.withColumn("n", F.col("n") * 16), (len(a), len(b)), 4).collect()
+
+
+def test_one_target_is_cut_by_middle_nodes(spark, monkeypatch):
+    """All rows towards one target are no slice of their own, and a result is packed for the next product where it is made."""
+    from metaweave.operators import slices
+
+    rng = random.Random(10)
+    a = [(s, m, 1, rng.random()) for s in range(20) for m in range(12) if rng.random() < 0.5]
+    b = [(m, "t", 2, rng.random()) for m in range(12)]
+    before = [(f"s{s}", m, 1, rng.random()) for s in range(6) for m in range(20) if rng.random() < 0.5]
+    left, right = spark.createDataFrame(a, "src long, dst long, n long, v double"), spark.createDataFrame(b, "src long, dst string, n long, v double")
+    first = spark.createDataFrame(before, "src string, dst long, n long, v double")
+    for name, value in {"ROWS": 30, "SLICE": 4, "PACKED": 7, "OUT": 3, "CELLS": 6, "PRODUCTS": 5}.items():
+        monkeypatch.setattr(slices, name, value)
+    packed = slices.compose(left, right, (len(a), len(b)), 1, sources=20, onward=20)
+    assert packed.slices == 5
+    made = slices.compose(first, packed, (len(before), 20), 1, sources=6)
+    want, got = ({(r["src"], r["dst"]): (r["n"], r["v"]) for r in x.collect()} for x in (R.compose(first, R.compose(left, right)), made))
+    assert got.keys() == want.keys() and all(got[k][0] == n and math.isclose(got[k][1], v) for k, (n, v) in want.items())
